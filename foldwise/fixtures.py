@@ -63,8 +63,7 @@ def v_coef(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def v_splitpred(spark: SparkSession, directory: str) -> DataFrame:
-    chosen = v_pred(spark, directory).filter(hash32(_text("t:", F.col("record_id"))) % 10 == 0)
-    expanded = chosen.drop("fold_index").withColumn("fold_index", F.explode(_fold_list()))
+    expanded = v_pred(spark, directory).drop("fold_index").withColumn("fold_index", F.explode(_fold_list()))
     return expanded.select(
         "record_id",
         "fold_index",
@@ -89,7 +88,8 @@ def v_stage(spark: SparkSession, directory: str) -> DataFrame:
         .when(F.col("role") == "reserved", F.lit("selection_score"))
         .otherwise(F.lit("scored_prediction"))
     )
-    return v_part(spark, directory).filter("fold_index = 0").select(stage.alias("stage"), "record_id")
+    named = _text(stage, ":", F.col("fold_index").cast("string"))
+    return v_part(spark, directory).select(named.alias("stage"), "record_id")
 
 
 def v_widesplit(spark: SparkSession, directory: str) -> DataFrame:

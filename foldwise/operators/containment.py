@@ -12,23 +12,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small
+from ..session import collect_small, join_small
 
 ANCHOR_WORDS = 5
 SPLIT = r"\s+"
 
 
 def _runs(words: Column, length: int) -> Column:
-    """Digests of all runs of ``length`` words; one per distinct run."""
-    starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, length), " ")))
-    return F.when(F.size(words) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    """Digests of all runs of ``length`` words, each once.
+
+    Shifted copies of the word list are zipped, so that the list is cut into words once per text.
+    """
+    count = F.size(words) - (length - 1)
+    shifted = [F.slice(words, k + 1, F.greatest(count, F.lit(0))) for k in range(length)]
+    digests = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[str(k)] for k in range(length)]))
+    return F.array_distinct(digests)
 
 
 def _substrings(text: Column, length: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - (length - 1))
-    parts = F.transform(starts, lambda i: F.xxhash64(F.substr(text, i, F.lit(length))))
-    return F.when(F.length(text) >= length, F.array_distinct(parts)).otherwise(F.array().cast("array<bigint>"))
+    """Digests of all substrings of ``length`` characters, each once."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    count = F.size(letters) - (length - 1)
+    shifted = [F.slice(letters, k + 1, F.greatest(count, F.lit(0))) for k in range(length)]
+    digests = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[str(k)] for k in range(length)]))
+    return F.array_distinct(digests)
+
+
+def _labelled(digests: Column, kind: int) -> Column:
+    return F.transform(digests, lambda h: F.struct(F.lit(kind).alias("_kind"), h.alias("_anchor")))
+
+
+def _anchor_digest(parts: Column, length: int) -> Column:
+    return F.xxhash64(*[F.element_at(parts, k + 1) for k in range(length)])
 
 
 def passage_overlap(
@@ -46,33 +61,29 @@ def passage_overlap(
     passages = passages.withColumn("_inner", inner).withColumn("_length", F.least(F.size("_inner"), F.lit(anchor_words)))
     # The middle run of the passage: openings and closings are the parts that tend to be shared.
     start = F.floor((F.size("_inner") - F.col("_length")) / 2).cast("int") + 1
-    long_items = passages.filter(F.col("_length") > 0).select(
+    letters = F.filter(F.split("_passage", ""), lambda c: c != "")
+    # Kinds: n > 0 is a run of n inner words, n < 0 a passage of -n characters without an inner word.
+    passages = passages.select(
         item_key,
         "_passage",
-        F.col("_length").alias("_kind"),
-        F.xxhash64(F.array_join(F.slice("_inner", start, F.col("_length")), " ")).alias("_anchor"),
-    )
-    short_items = passages.filter(F.col("_length") <= 0).select(
-        item_key, "_passage", (-F.length("_passage")).alias("_kind"), F.xxhash64("_passage").alias("_anchor")
+        F.when(F.col("_length") > 0, F.col("_length")).otherwise(-F.size(letters)).alias("_kind"),
+        F.when(F.col("_length") > 0, F.slice("_inner", start, F.greatest("_length", F.lit(1)))).otherwise(letters).alias("_parts"),
     )
-    anchors = long_items.unionByName(short_items)
-    # The lengths in use are few: at most ``anchor_words`` run lengths and the lengths of short passages.
-    kinds = sorted(row[0] for row in anchors.select("_kind").distinct().collect())
+    # The kinds in use are few: at most ``anchor_words`` run lengths and the lengths of short passages.
+    kinds = sorted(row[0] for row in collect_small(passages.select("_kind").distinct(), what="anchor lengths"))
     if not kinds:
         return documents.select(document_key).join(items.select(item_key), F.lit(False))
+    anchor = F.lit(None).cast("bigint")
+    for kind in kinds:
+        anchor = F.when(F.col("_kind") == kind, _anchor_digest(F.col("_parts"), abs(kind))).otherwise(anchor)
+    anchors = passages.select("_kind", anchor.alias("_anchor"), item_key)
     body = F.col(text)
     tokens = F.split(body, SPLIT)
-    cut = [
-        F.transform(
-            _runs(tokens, kind) if kind > 0 else _substrings(body, -kind),
-            lambda h, kind=kind: F.struct(F.lit(kind).alias("_kind"), h.alias("_anchor")),
-        )
-        for kind in kinds
-    ]
+    cut = [_labelled(_runs(tokens, k) if k > 0 else _substrings(body, -k), k) for k in kinds]
     pieces = documents.select(document_key, F.explode(F.concat(*cut)).alias("_p")).select(
         document_key, "_p._kind", "_p._anchor"
     )
-    candidates = join_small(pieces, anchors.select("_kind", "_anchor", item_key), ["_kind", "_anchor"])
+    candidates = join_small(pieces, anchors, ["_kind", "_anchor"])
     candidates = candidates.select(document_key, item_key).distinct()
     verified = candidates.join(documents.select(document_key, body.alias("_text")), document_key)
     verified = join_small(verified, passages.select(item_key, "_passage"), item_key)

@@ -131,11 +131,15 @@ def fit_gbt(
 ) -> PipelineModel:
     """Boosted regression trees; with a boolean validation column, stops when that part stops improving."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+    options = {"validationIndicatorCol": validation, "validationTol": float(tolerance)} if validation else {}
     trees = GBTRegressor(
-        featuresCol="_features", labelCol=target, predictionCol="prediction", seed=int(seed), **gbt_parameters(parameters)
+        featuresCol="_features",
+        labelCol=target,
+        predictionCol="prediction",
+        seed=int(seed),
+        **gbt_parameters(parameters),
+        **options,
     )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation).setValidationTol(float(tolerance))
     return Pipeline(stages=[assembler, trees]).fit(df)
 
 
@@ -272,6 +276,7 @@ def predict_batch(
     df: DataFrame,
     make_predict: Callable,
     vector: str = "embedding",
+    dimension: int = 64,
     key: str = "record_id",
     batch_size: int = 4096,
     check: bool = True,
@@ -280,7 +285,7 @@ def predict_batch(
 
     ``make_predict()`` is called once per Python worker and returns ``f(batch) -> vector of results``.
     """
-    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[-1]])
+    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[int(dimension)]])
     result = df.select(key, predict(vector).alias("prediction"))
     if check:
         guarded = F.when(is_finite("prediction"), F.col("prediction"))

@@ -32,13 +32,11 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, which every executor can reach.
 
-    Blocks kept on executors would be lost with them, so only the reliable form is used. A local
-    master without that setting gets a fresh folder of its own; a cluster without it is refused.
+    A local master without that setting gets a fresh folder of its own; a cluster without it is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +45,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise ContractViolation("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder; blocks kept on executors would be lost with them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
