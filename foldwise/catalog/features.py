@@ -140,16 +140,16 @@ def j2(spark, d):
     return dropped.select(F.col("column").alias("later"))
 
 
-@query("j3_apply_filter", with_views("select record_id, n_lines, qty, round(ext,4) as ext, round(avg_ext,4) as avg_ext, max_tax from v_feat"))
+@query("j3_apply_filter", with_views("select record_id, n_lines, qty, ext, avg_ext, max_tax from v_feat"))
 def j3(spark, d):
     features = fx.v_feat(spark, d)
     applied = apply_feature_filter(features, fit_feature_filter(features, fx.FEATURES, CONFIG))
-    return rounded(applied, "ext", "avg_ext", decimals=4).select("record_id", "n_lines", "qty", "ext", "avg_ext", "max_tax")
+    return applied.select("record_id", "n_lines", "qty", "ext", "avg_ext", "max_tax")
 
 
 @query(
     "j4_prepare_unit",
-    with_views("""select p.record_id, case when p.fold_index=0 then 'scored' when p.fold_index=1 then 'selection' else 'fit' end as role, f.n_lines, f.qty, round(f.ext,4) as ext, round(f.avg_ext,4) as avg_ext, f.max_tax,
+    with_views("""select p.record_id, case when p.fold_index=0 then 'scored' when p.fold_index=1 then 'selection' else 'fit' end as role, f.n_lines, f.qty, f.ext, f.avg_ext, f.max_tax,
         case when p.fold_index=0 then null else round(l.target,6) end as target
       from v_pred p join v_feat f using (record_id) join v_label l using (record_id)"""),
 )
@@ -158,7 +158,7 @@ def j4(spark, d):
     roles = fx.v_pred(spark, d).join(features.select("record_id"), "record_id", "left_semi")
     role = F.when(F.col("fold_index") == 0, F.lit("scored")).when(F.col("fold_index") == 1, F.lit("selection")).otherwise(F.lit("fit"))
     unit = prepare_unit(features, roles.select("record_id", role.alias("role")), fx.v_label(spark, d), fx.FEATURES, CONFIG)
-    return rounded(rounded(unit.rows, "ext", "avg_ext", decimals=4), "target").select(
+    return rounded(unit.rows, "target").select(
         "record_id", "role", "n_lines", "qty", "ext", "avg_ext", "max_tax", "target"
     )
 

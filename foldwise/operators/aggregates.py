@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractViolation
 from ..functions.numbers import is_finite
 from ..functions.vectors import as_vector, vector_is_finite
-from .checks import ensure_label_free, finite_violations, key_violations, require_empty
+from .checks import ensure_label_free, require_empty
 
 SCORED_MODES = ("one_held_out", "full_refit", "mean_over_splits")
 
@@ -22,6 +22,41 @@ def fold_coverage(df: DataFrame, folds: Iterable[int], key: str = "record_id", f
     return sets.filter(F.col("folds") != declared)
 
 
+def scored_problems(
+    df: DataFrame,
+    mode: str,
+    folds: Iterable[int],
+    columns: Iterable[str],
+    key: str = "record_id",
+    fold: str = "fold_index",
+) -> DataFrame:
+    """Records whose scored rows break a rule: key, n, problem; all rules in one aggregation by record.
+
+    Values must be finite, folds declared, record-fold pairs unique; split models must cover every
+    fold, the other modes have one row per record.
+    """
+    folds = [int(f) for f in folds]
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | ~is_finite(c)
+    declared = F.coalesce(F.col(fold).isin(folds), F.lit(False))
+    per_key = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.size(F.collect_set(F.when(declared, F.col(fold)))).alias("_folds"),
+        F.count_if(~declared).alias("_undeclared"),
+        F.count_if(bad).alias("_bad"),
+    )
+    required = len(set(folds)) if mode == "mean_over_splits" else 1
+    problem = (
+        F.when(F.col(key).isNull(), F.lit("missing_key"))
+        .when(F.col("_bad") > 0, F.lit("not_finite"))
+        .when(F.col("_undeclared") > 0, F.lit("undeclared_fold"))
+        .when(F.col("n") != F.col("_folds"), F.lit("repeated_fold"))
+        .when(F.col("n") != required, F.lit("row_count"))
+    )
+    return per_key.select(key, "n", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def aggregate_scored(
     df: DataFrame,
     mode: str,
@@ -38,13 +73,7 @@ def aggregate_scored(
         raise ContractViolation(f"unknown aggregation mode: {mode}")
     if check:
         ensure_label_free(df)
-        require_empty(finite_violations(df, [key, fold], columns), "scored predictions must be finite")
-        require_empty(key_violations(df, [key, fold]), "scored predictions need unique record-fold pairs")
-        require_empty(df.filter(~F.col(fold).isin(folds)).select(key, fold), "undeclared fold")
-        if mode == "mean_over_splits":
-            require_empty(fold_coverage(df, folds, key, fold), "split models do not cover every fold")
-        else:
-            require_empty(key_violations(df, [key]), "a record has more than one scored row")
+        require_empty(scored_problems(df, mode, folds, columns, key, fold), "scored rows break their contract")
     if mode == "mean_over_splits":
         result = df.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
     else:

@@ -34,7 +34,8 @@ from .ranking import hashed_rank
 REPLICATES = 10_000
 REPLICATE_BLOCK = 250
 BLOCK_ROWS = 100_000
-MAX_BLOCKS = 1_000_000
+FINE_BUCKETS = 16_384
+MAX_BUCKETS = 4_000_000
 DRAWS_IN_MEMORY = 4_000_000
 
 
@@ -51,21 +52,26 @@ def _difference(metric: str, a: Column, b: Column) -> Column:
     return F.sqrt(a) - F.sqrt(b) if metric == "rmse" else a - b
 
 
-def _losses(df, observed, a, b, metric, by, key):
-    return df.select(*by, key, _loss(metric, a, observed).alias("_a"), _loss(metric, b, observed).alias("_b"))
+def _losses(df, observed, a, b, metric, by, key, seed):
+    seed = seed if isinstance(seed, Column) else F.lit(int(seed))
+    return df.select(
+        *by, key, seed.cast("bigint").alias("_seed"), _loss(metric, a, observed).alias("_a"), _loss(metric, b, observed).alias("_b")
+    )
 
 
-def _summary(losses, replicates_table, metric, by, replicates, seed, method) -> DataFrame:
+def _summary(losses, replicates_table, metric, by, replicates, method) -> DataFrame:
     """Point estimate from the rows, interval from the replicates (at most ``replicates`` per group)."""
     point = losses.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), _difference(metric, F.avg("_a"), F.avg("_b")).alias("delta")
+        F.count(F.lit(1)).alias("n"),
+        F.min("_seed").alias("seed"),
+        _difference(metric, F.avg("_a"), F.avg("_b")).alias("delta"),
     )
     limits = [0.025, 0.975, 0.005, 0.995]
     draws = replicates_table.groupBy(*by).agg(
         F.avg("_delta").alias("bootstrap_mean"),
         F.percentile("_delta", F.array(*[F.lit(q) for q in limits])).alias("_q"),
     )
-    joined = point.join(draws, list(by)) if by else point.crossJoin(F.broadcast(draws))
+    joined = point.join(draws, list(by)) if by else point.crossJoin(F.broadcast(draws))  # one row each
     low, high = F.element_at("_q", 1), F.element_at("_q", 2)
     return joined.select(
         *by,
@@ -78,7 +84,7 @@ def _summary(losses, replicates_table, metric, by, replicates, seed, method) ->
         F.element_at("_q", 4).alias("ci99_high"),
         F.when((low > 0) | (high < 0), F.lit("resolved")).otherwise(F.lit("inconclusive")).alias("inference"),
         F.lit(int(replicates)).alias("replicates"),
-        (seed if isinstance(seed, Column) else F.lit(int(seed))).alias("seed"),
+        "seed",
         F.lit(method).alias("method"),
     )
 
@@ -87,7 +93,7 @@ def paired_bootstrap(
     df: DataFrame,
     a: str,
     b: str,
-    seed: int,
+    seed,
     replicates: int = REPLICATES,
     metric: str = "rmse",
     by: Iterable[str] = (),
@@ -95,34 +101,53 @@ def paired_bootstrap(
     key: str = "record_id",
     method: str = "multinomial",
 ) -> DataFrame:
-    """Difference a - b with bootstrap mean, 95% and 99% percentile intervals and the inference."""
+    """Difference a - b with bootstrap mean, 95% and 99% percentile intervals and the inference.
+
+    ``seed`` is a number or, with ``by``, a column that is constant in each group.
+    """
     by = list(by)
     if replicates < 1:
         raise ContractViolation("replicates must be positive")
-    losses = _losses(df, observed, a, b, metric, by, key)
+    losses = _losses(df, observed, a, b, metric, by, key, seed)
     if method == "hash":
-        table = _hash_replicates(losses, seed, replicates, metric, by, key)
+        table = _hash_replicates(losses, replicates, metric, by, key)
     elif method == "multinomial":
-        table = _multinomial_replicates(losses, seed, replicates, metric, by, key)
+        table = _multinomial_replicates(losses, replicates, metric, by, key)
     elif method == "poisson":
-        table = _poisson_replicates(losses.withColumn("_seed", F.lit(int(seed))), replicates, metric, by, key)
+        table = _poisson_replicates(losses, replicates, metric, by, key)
     else:
         raise ContractViolation(f"unknown bootstrap method: {method}")
-    return _summary(losses, table, metric, by, replicates, seed, method)
+    return _summary(losses, table, metric, by, replicates, method)
+
+
+def paired_comparisons(
+    df: DataFrame, comparisons: dict[str, tuple[str, str, int]], name: str = "comparison", **options
+) -> DataFrame:
+    """Several comparisons (name -> a, b, seed) of the same rows in one run, one row each."""
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias(name), F.col(a).alias("_first"), F.col(b).alias("_second"), F.lit(int(s)).cast("bigint").alias("_s"))
+            for n, (a, b, s) in comparisons.items()
+        ]
+    )
+    kept = [options.get("key", "record_id"), options.get("observed", "target")]
+    long = df.select(*kept, F.inline(rows))
+    return paired_bootstrap(long, "_first", "_second", F.col("_s"), by=[name], **options)
 
 
-def _hash_replicates(losses, seed, replicates, metric, by, key):
-    ranked = hashed_rank(losses, order_hash(seed, key), key, by=tuple(by), name="_rank", total="_n")
-    rows = ranked.select(*by, (F.col("_rank") - 1).alias("_row"), "_n", "_a", "_b")
-    draws = rows.select(*by, "_n", F.col("_row").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_draw").cast("string"))
+def _hash_replicates(losses, replicates, metric, by, key):
+    ranked = hashed_rank(losses, order_hash(F.col("_seed"), key), key, by=tuple(by), name="_rank", total="_n")
+    rows = ranked.select(*by, (F.col("_rank") - 1).alias("_row"), "_n", "_seed", "_a", "_b")
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
+    draws = rows.select(*by, "_n", "_seed", F.col("_row").alias("_draw"), each)
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("_seed", "_rep", "_draw")])
     picked = draws.select(*by, "_rep", hash_below(text, F.col("_n")).alias("_row"))
-    joined = picked.join(rows.drop("_n"), [*by, "_row"])
+    joined = picked.join(rows.drop("_n", "_seed"), [*by, "_row"])
     return joined.groupBy(*by, "_rep").agg(_difference(metric, F.avg("_a"), F.avg("_b")).alias("_delta"))
 
 
 def _node_generator(seed: int, node: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & (2**63 - 1), node])))
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, node])))
 
 
 def block_draws(sizes: np.ndarray, block: int, seed: int, replicates: int) -> np.ndarray:
@@ -159,35 +184,37 @@ def block_sums(a: np.ndarray, b: np.ndarray, draws: np.ndarray, generator: np.ra
     return sums_a, sums_b
 
 
-def _multinomial_replicates(losses, seed, replicates, metric, by, key):
-    total = losses.count()
-    blocks = 1
-    while blocks * BLOCK_ROWS < total:
-        blocks *= 2
+def _multinomial_replicates(losses, replicates, metric, by, key):
     group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
-    placed = losses.withColumn("_group", group).withColumn(
-        "_block", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(blocks))
-    )
-    counts: dict[str, np.ndarray] = {}
-    sizes = placed.groupBy("_group", "_block").agg(F.count(F.lit(1)).alias("n"))
-    for name, block, n in collect_small(sizes, MAX_BLOCKS, "block table"):
-        counts.setdefault(name, np.zeros(blocks, dtype=np.int64))[block] = n
-    shared = losses.sparkSession.sparkContext.broadcast(counts)
-    group_seed = {name: int(pd.util.hash_array(np.array([name], dtype=object))[0] >> 1) for name in counts}
+    # Counts of fine buckets, at most FINE_BUCKETS per group, are merged into blocks of a fair size.
+    fine = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FINE_BUCKETS))
+    placed = losses.withColumn("_group", group).withColumn("_fine", fine)
+    counted = placed.groupBy("_group", "_fine").agg(F.count(F.lit(1)).alias("n"), F.min("_seed").alias("seed"))
+    rows = collect_small(counted, MAX_BUCKETS, "bucket table")
+    total, blocks = sum(r["n"] for r in rows), 1
+    while blocks * BLOCK_ROWS < total and blocks < FINE_BUCKETS:
+        blocks *= 2
+    sizes: dict[str, np.ndarray] = {}
+    seeds: dict[str, int] = {}
+    for r in rows:
+        sizes.setdefault(r["_group"], np.zeros(blocks, dtype=np.int64))[r["_fine"] % blocks] += r["n"]
+        seeds[r["_group"]] = int(r["seed"])
+    shared = losses.sparkSession.sparkContext.broadcast((sizes, seeds))
 
     def one_block(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes, seeds = shared.value
         frame = frame.sort_values(key)
         name, block = frame["_group"].iloc[0], int(frame["_block"].iloc[0])
-        base = (seed * 1_000_003 + (group_seed[name] if name else 0)) & (2**63 - 1)
-        draws = block_draws(shared.value[name], block, base, replicates)
-        inside = np.random.Generator(np.random.Philox(np.random.SeedSequence([base, 0, block])))
+        draws = block_draws(sizes[name], block, seeds[name], replicates)
+        inside = np.random.Generator(np.random.Philox(np.random.SeedSequence([seeds[name], 0, block])))
         sums_a, sums_b = block_sums(frame["_a"].to_numpy(), frame["_b"].to_numpy(), draws, inside)
         out = pd.DataFrame({"_rep": np.arange(replicates), "_sa": sums_a, "_sb": sums_b, "_w": draws.astype(float)})
         for column in by:
             out[column] = frame[column].iloc[0]
         return out[[*by, "_rep", "_sa", "_sb", "_w"]]
 
-    parts = placed.groupBy("_group", "_block").applyInPandas(one_block, _partial_schema(losses, by))
+    blocked = placed.withColumn("_block", F.col("_fine") % F.lit(blocks)).drop("_fine", "_seed")
+    parts = blocked.groupBy("_group", "_block").applyInPandas(one_block, _partial_schema(losses, by))
     return _combine(parts, metric, by)
 
 
@@ -271,8 +298,6 @@ def subgroup_bootstrap(
 
     ``long`` has one row per record and axis (see ``unpivot_axes``) and the number of the level.
     """
-    by = ["axis", "level", level_index]
     seed = F.lit(int(base_seed) + 1000 * int(panel_index)) + F.lit(10) * F.col(level_index)
-    losses = _losses(long, observed, a, b, metric, by, key)
-    table = _poisson_replicates(losses.withColumn("_seed", seed), replicates, metric, by, key)
-    return _summary(losses, table, metric, by, replicates, seed, "poisson")
+    by = ["axis", "level", level_index]
+    return paired_bootstrap(long, a, b, seed, replicates, metric, by, observed, key, method="poisson")

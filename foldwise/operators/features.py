@@ -221,11 +221,16 @@ def fit_block_scaler(
     fit_rows: DataFrame, blocks: Iterable[Iterable[str]], quantile: float | None = None, **options
 ) -> list[Scaler]:
     """Winsorise (optional) and standardise each block of columns from its fit rows; population deviation."""
-    scalers = []
+    blocks = [list(block) for block in blocks]
+    every = [c for block in blocks for c in block]
+    limits = quantile_limits(fit_rows, every, quantile, **options) if quantile is not None else None
+    whole = fit_scaler(fit_rows, every, ddof=0, limits=limits)
+    scalers, start = [], 0
     for block in blocks:
-        block = list(block)
-        limits = quantile_limits(fit_rows, block, quantile, **options) if quantile is not None else None
-        scalers.append(fit_scaler(fit_rows, block, ddof=0, limits=limits))
+        part = slice(start, start + len(block))
+        bounds = whole.limits[part] if whole.limits else None
+        scalers.append(Scaler(whole.columns[part], whole.means[part], whole.scales[part], bounds))
+        start += len(block)
     return scalers
 
 

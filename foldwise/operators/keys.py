@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
-from ..functions.numbers import to_column
-from .checks import ensure_label_free, finite_violations, key_violations, require_empty
+from ..functions.numbers import is_finite, to_column
+from .checks import ensure_label_free, require_empty
 
 FLAT_DIGEST_ROWS = 1_000_000
 
@@ -18,18 +18,34 @@ def text_key(keys: Iterable[str]) -> list[Column]:
     return [F.col(k).cast("string").alias(k) for k in keys]
 
 
-def bind_status(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> DataFrame:
+def bind_status(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Iterable[str],
+    left_values: Iterable[str] = (),
+    right_values: Iterable[str] = (),
+) -> DataFrame:
     """Keys that are not exactly once on both sides: keys, n_left, n_right, status.
 
     One aggregation over the union of both key columns answers uniqueness on each side and equality of
-    the key sets together, and combines repeated keys before the shuffle.
+    the key sets together, and combines repeated keys before the shuffle. Values that must be finite
+    are checked in the same pass.
     """
     keys = list(keys)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    sides = left.select(*text_key(keys), one.alias("_l"), zero.alias("_r")).unionByName(
-        right.select(*text_key(keys), zero.alias("_l"), one.alias("_r"))
+
+    def bad(columns):
+        broken = F.lit(False)
+        for c in columns:
+            broken = broken | ~is_finite(c)
+        return broken.cast("bigint").alias("_bad")
+
+    sides = left.select(*text_key(keys), one.alias("_l"), zero.alias("_r"), bad(left_values)).unionByName(
+        right.select(*text_key(keys), zero.alias("_l"), one.alias("_r"), bad(right_values))
+    )
+    counted = sides.groupBy(*keys).agg(
+        F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"), F.sum("_bad").alias("_bad")
     )
-    counted = sides.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
@@ -38,8 +54,9 @@ def bind_status(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> DataF
         .when(F.col("n_right") == 0, F.lit("left_only"))
         .when(F.col("n_left") == 0, F.lit("right_only"))
         .when((F.col("n_left") > 1) | (F.col("n_right") > 1), F.lit("duplicate"))
+        .when(F.col("_bad") > 0, F.lit("not_finite"))
     )
-    return counted.withColumn("status", status).filter(F.col("status").isNotNull())
+    return counted.withColumn("status", status).filter(F.col("status").isNotNull()).drop("_bad")
 
 
 def bind_exact(
@@ -61,9 +78,8 @@ def bind_exact(
     left = predictions.select(*text_key([key]), *kept, *columns)
     right = labels.select(*text_key([key]), F.col(target))
     if check:
-        require_empty(bind_status(left, right, [key]), "predictions and labels do not match one to one")
-        require_empty(finite_violations(left, [key], columns), "predictions must be finite")
-        require_empty(finite_violations(right, [key], [target]), "labels must be finite")
+        broken = bind_status(left, right, [key], columns, [target])
+        require_empty(broken, "predictions and labels must match one to one and be finite")
     return left.join(right, key).select(key, *kept, target, *columns)
 
 
@@ -82,9 +98,8 @@ def bind_coefficients(
     left = predictions.select(fold, *text_key([key]), *columns)
     right = labels.select(fold, *text_key([key]), F.col(target))
     if check:
-        require_empty(bind_status(left, right, keys), "coefficient predictions and labels do not match one to one")
-        require_empty(finite_violations(left, keys, columns), "coefficient predictions must be finite")
-        require_empty(finite_violations(right, keys, [target]), "coefficient labels must be finite")
+        broken = bind_status(left, right, keys, columns, [target])
+        require_empty(broken, "coefficient predictions and labels must match one to one and be finite")
     return left.join(right, keys).select(*keys, target, *columns)
 
 

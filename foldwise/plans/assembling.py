@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractViolation
 from ..operators.aggregates import SCORED_MODES, aggregate_scored
 from ..operators.blending import attach_alpha, blend, fit_alpha
-from ..operators.bootstrap import REPLICATES, paired_bootstrap
+from ..operators.bootstrap import REPLICATES, paired_comparisons
 from ..operators.checks import ensure_label_free, finite_violations, key_violations, require_columns, require_empty
 from ..operators.keys import bind_coefficients, bind_exact, coefficient_overlap
 from ..operators.metrics import regression_metrics
@@ -121,13 +121,9 @@ def score(
     bound = bind_exact(
         require_columns(predictions, ["record_id", *columns]), require_columns(labels, ["record_id", "target"]), columns
     )
-    parts = [
-        paired_bootstrap(bound, BLEND, component, seed + i, replicates, method=method).withColumn(
-            "comparison", F.lit(f"{BLEND} - {component}")
-        )
-        for i, component in enumerate(COMPONENTS)
-    ]
-    return Score(regression_metrics(bound, "target", columns), parts[0].unionByName(parts[1]))
+    comparisons = {f"{BLEND} - {c}": (BLEND, c, seed + i) for i, c in enumerate(COMPONENTS)}
+    paired = paired_comparisons(bound, comparisons, replicates=replicates, method=method)
+    return Score(regression_metrics(bound, "target", columns), paired)
 
 
 def crossfit_report(bound: DataFrame, coefficients: DataFrame) -> DataFrame:

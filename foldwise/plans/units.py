@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
-from ..operators.checks import conformance, require_empty
+from ..functions.numbers import is_finite
+from ..operators.checks import conformance, require_empty, row_violations
 from ..operators.features import FeatureFilter, FilterConfig, apply_feature_filter, fit_feature_filter
 from ..operators.keys import fingerprint, missing_ids, stage_overlaps
 from ..operators.search import best_iteration, refit_ensemble, save_run, search_trials
@@ -61,6 +62,7 @@ def verify_unit(stages: DataFrame, base: DataFrame, expected: DataFrame | None =
 class PreparedUnit:
     rows: DataFrame
     fitted: FeatureFilter
+    cached: DataFrame
 
 
 def prepare_unit(
@@ -69,18 +71,22 @@ def prepare_unit(
 ) -> PreparedUnit:
     """Join roles, features and labels; fit the filter on ``fit`` rows only, apply it to every role.
 
-    ``partitions`` holds key and role (fit, selection, scored). Scored rows get no label.
+    ``partitions`` holds key and role (fit, selection, scored). Scored rows get no label. The joined
+    table is read by the fit, by the check and by the caller, so it is persisted.
     """
-    staged = partitions.select(key, "role").join(features, key, "left")
-    if check:
-        require_empty(missing_ids(partitions, features, key), "the feature table lacks required records")
-        training = partitions.filter("role <> 'scored'")
-        require_empty(missing_ids(training, labels, key), "training rows lack labels")
-    fitted = fit_feature_filter(staged.filter("role = 'fit'"), columns, config)
-    applied = apply_feature_filter(staged, fitted, [key, "role"], check)
     known = labels.select(key, F.col(target))
-    rows = applied.join(known, key, "left").withColumn(target, F.when(F.col("role") != "scored", F.col(target)))
-    return PreparedUnit(rows, fitted)
+    staged = partitions.select(key, "role").join(features.withColumn("_found", F.lit(True)), key, "left")
+    staged = staged.join(known, key, "left").withColumn(target, F.when(F.col("role") != "scored", F.col(target))).persist()
+    fitted = fit_feature_filter(staged.filter("role = 'fit'"), columns, config)
+    if check:
+        rules = [
+            ("features:absent", F.col("_found").isNull()),
+            ("label:absent", (F.col("role") != "scored") & ~is_finite(target)),
+            *[(f"{c}:not_finite", F.col("_found").isNotNull() & ~is_finite(c)) for c in fitted.retained],
+        ]
+        require_empty(row_violations(staged, [key, "role"], rules), "the unit is not complete")
+    rows = apply_feature_filter(staged, fitted, [key, "role", target], check=False)
+    return PreparedUnit(rows, fitted, staged)
 
 
 def run_fold(
@@ -96,8 +102,9 @@ def run_fold(
 
     Returns (predictions, trial records).
     """
-    features = unit.fitted.retained
-    rows = unit.rows.persist()
+    if not seeds:
+        raise ContractViolation("a refit needs at least one seed")
+    features, rows = unit.fitted.retained, unit.rows
     try:
         result = search_trials(rows, features, candidates, lambda trial: base_seed + trial, early_stopping=early_stopping)
         trees = best_iteration(result.model) + 1
@@ -110,12 +117,10 @@ def run_fold(
             write_predictions(predictions, f"{path}/output", scored.select("record_id"), facts)
             save_run(f"{path}/run", models[0], unit.fitted, facts)
             predictions = predictions.sparkSession.read.parquet(f"{path}/output/predictions")
-        if not models:
-            raise ContractViolation("a refit needs at least one seed")
         return predictions, result.records
     finally:
         if path:
-            rows.unpersist()
+            unit.cached.unpersist()
 
 
 __all__ = ["materialise", "nested_stages", "verify_unit", "prepare_unit", "run_fold", "PreparedUnit", "stage_summary", "assignment_fingerprint"]
