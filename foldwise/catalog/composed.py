@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators.blending import fit_crossfit_alpha
 from ..operators.keys import rows_in
-from ..plans.assembling import Evaluation, assemble, crossfit_report, score, scored_problems
+from ..operators.aggregates import scored_problems
+from ..plans.assembling import Evaluation, assemble, crossfit_report, score
 from ..plans.comparing import comparator_report
 from ..plans.packages import (
     package_violations,
@@ -143,9 +144,16 @@ def l2_paired(spark, d):
     return score(_assembled(spark, d), labels, replicates=500).paired
 
 
-@query("l1_scored_problems", with_views("select record_id, 'duplicate' as problem from v_pred group by record_id, fold_index having count(*)>1"))
+@query(
+    "l1_scored_problems",
+    with_views("""select record_id, count(*) as n, 'row_count' as problem from v_splitpred where not (fold_index=3 and H('q:'||record_id)%20=0)
+      group by record_id having count(*)<>5"""),
+)
 def l1_problems(spark, d):
-    return scored_problems(_scored(spark, d))
+    from ..functions.hashing import hash32
+
+    gone = (F.col("fold_index") == 3) & (hash32(F.concat(F.lit("q:"), F.col("record_id"))) % 20 == 0)
+    return scored_problems(fx.v_splitpred(spark, d).filter(~gone), "mean_over_splits", fx.FOLDS, COMPONENTS)
 
 
 @query(

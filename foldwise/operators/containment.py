@@ -19,25 +19,14 @@ SPLIT = r"\s+"
 
 
 def _runs(words: Column, length: int) -> Column:
-    """Digests of all runs of ``length`` words, each once.
-
-    Shifted copies of the word list are zipped, so that the list is cut into words once per text.
-    """
+    """Digests of all runs of ``length`` words (or letters) of a list column, each once, from shifted
+    copies of the list."""
     count = F.size(words) - (length - 1)
     shifted = [F.slice(words, k + 1, F.greatest(count, F.lit(0))) for k in range(length)]
     digests = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[str(k)] for k in range(length)]))
     return F.array_distinct(digests)
 
 
-def _substrings(text: Column, length: int) -> Column:
-    """Digests of all substrings of ``length`` characters, each once."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    count = F.size(letters) - (length - 1)
-    shifted = [F.slice(letters, k + 1, F.greatest(count, F.lit(0))) for k in range(length)]
-    digests = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[str(k)] for k in range(length)]))
-    return F.array_distinct(digests)
-
-
 def _labelled(digests: Column, kind: int) -> Column:
     return F.transform(digests, lambda h: F.struct(F.lit(kind).alias("_kind"), h.alias("_anchor")))
 
@@ -78,9 +67,14 @@ def passage_overlap(
         anchor = F.when(F.col("_kind") == kind, _anchor_digest(F.col("_parts"), abs(kind))).otherwise(anchor)
     anchors = passages.select("_kind", anchor.alias("_anchor"), item_key)
     body = F.col(text)
-    tokens = F.split(body, SPLIT)
-    cut = [_labelled(_runs(tokens, k) if k > 0 else _substrings(body, -k), k) for k in kinds]
-    pieces = documents.select(document_key, F.explode(F.concat(*cut)).alias("_p")).select(
+    # Words and letters are columns of their own, so that a text is cut once and not per shifted copy.
+    split = documents.select(
+        document_key,
+        F.split(body, SPLIT).alias("_words"),
+        (F.filter(F.split(body, ""), lambda c: c != "") if kinds[0] < 0 else F.array().cast("array<string>")).alias("_letters"),
+    )
+    cut = [_labelled(_runs(F.col("_words" if k > 0 else "_letters"), abs(k)), k) for k in kinds]
+    pieces = split.select(document_key, F.explode(F.concat(*cut)).alias("_p")).select(
         document_key, "_p._kind", "_p._anchor"
     )
     candidates = join_small(pieces, anchors, ["_kind", "_anchor"])

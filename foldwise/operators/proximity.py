@@ -2,24 +2,28 @@
 
 A coordinate never differs by more than the distance, so points within the cutoff lie in the same or
 in neighbouring cells of a grid of that side on a few coordinates. Crowded cells are cut into tiles by
-a hash, and each tile pair is its own join key, so neither a crowded cell nor one hot group ends up in
-one task. The distance is part of the join condition: only true pairs leave the join.
+a hash, and each pair of tiles is a group of its own, so neither a crowded cell nor one hot group ends
+up in one task. A task compares two tiles with one matrix product; only true pairs leave it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import as_vector, distance, l2_norm
+from ..functions.vectors import as_vector
 
 TILE_ROWS = 2_000
 
 
 def _cells(point, axes, cutoff):
-    return [F.floor(F.element_at(point, axis + 1) / F.lit(float(cutoff))) for axis in axes]
+    """Cells centred at zero: points that spread less than the cutoff around it share one cell."""
+    return [F.floor(F.element_at(point, axis + 1) / F.lit(float(cutoff)) + F.lit(0.5)) for axis in axes]
 
 
 def close_pairs(
@@ -38,7 +42,6 @@ def close_pairs(
         F.col(group).alias("_group"),
         F.col(key).alias("_key"),
         point.alias("_point"),
-        l2_norm(vector).alias("_norm"),
         *[c.alias(n) for c, n in zip(_cells(point, axes, cutoff), names)],
     )
     sizes = placed.groupBy("_group", *names).agg(F.count(F.lit(1)).alias("_rows"))
@@ -59,33 +62,48 @@ def close_pairs(
             "_b": F.greatest(F.lit(1), F.ceil(F.col("_target_rows") / F.lit(tile_rows))),
         }
     )
-    spread = F.abs(F.xxhash64("_key"))
+    # A hash of the key, not of the row order, decides the tile.
+    tile = F.pmod(F.xxhash64("_key"), F.col("_of"))
     tiles = [f"_t{n}" for n in names]
+    on = ["_group", *names, *tiles, "_i", "_j"]
     # Source rows: one copy for every tile of every neighbouring cell that has points.
     source = (
         placed.join(cell_pairs.select("_group", *names, *tiles, "_a", "_b"), ["_group", *names])
-        .withColumn("_i", F.pmod(spread, F.col("_a")))
+        .withColumn("_of", F.col("_a"))
+        .withColumn("_i", tile)
         .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)))
-        .select("_group", *names, *tiles, "_i", "_j", F.col("_key").alias("source"), F.col("_point").alias("_p"),
-                F.col("_norm").alias("_pn"))
+        .select(*on, "_key", "_point")
     )
     target = (
-        placed.select("_group", *[F.col(n).alias(t) for n, t in zip(names, tiles)], "_key", "_point", "_norm")
+        placed.select("_group", *[F.col(n).alias(t) for n, t in zip(names, tiles)], "_key", "_point")
         .join(cell_pairs.select("_group", *names, *tiles, "_a", "_b"), ["_group", *tiles])
-        .withColumn("_j", F.pmod(spread, F.col("_b")))
+        .withColumn("_of", F.col("_b"))
+        .withColumn("_j", tile)
         .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_a") - 1)))
-        .select("_group", *names, *tiles, "_i", "_j", F.col("_key").alias("target"), F.col("_point").alias("_q"),
-                F.col("_norm").alias("_qn"))
-    )
-    on = ["_group", *names, *tiles, "_i", "_j"]
-    s, t = source.alias("s"), target.alias("t")
-    condition = reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in on])
-    condition = condition & (F.col("s.source") != F.col("t.target"))
-    condition = condition & (F.abs(F.col("s._pn") - F.col("t._qn")) <= F.lit(float(cutoff) + 1e-9))
-    condition = condition & (distance("s._p", "t._q") <= F.lit(float(cutoff)))
-    return s.join(t, condition).select(
-        F.col("s._group").alias(group), "source", "target", distance("s._p", "t._q").alias("distance")
+        .select(*on, "_key", "_point")
     )
+    # Both sides descend from the same table; new names keep their columns apart.
+    target = target.toDF(*[f"{c}_right" for c in target.columns])
+    limit = float(cutoff)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({group: [], "source": [], "target": [], "distance": []})
+        a, b = np.stack(left["_point"].to_numpy()), np.stack(right["_point_right"].to_numpy())
+        # The product form is fast but rounds; it only picks candidates, with room to spare.
+        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+        slack = 1e-9 * (1.0 + (a * a).sum(axis=1).max() + (b * b).sum(axis=1).max())
+        i, j = np.nonzero(squares <= limit * limit + slack)
+        exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+        sources, targets = left["_key"].to_numpy()[i], right["_key_right"].to_numpy()[j]
+        kept = (exact <= limit) & (sources != targets)
+        out = pd.DataFrame({"source": sources[kept], "target": targets[kept], "distance": exact[kept]})
+        out.insert(0, group, left["_group"].iloc[0])
+        return out
+
+    fields = [(group, nodes.schema[group]), ("source", nodes.schema[key]), ("target", nodes.schema[key])]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in fields] + [T.StructField("distance", T.DoubleType())])
+    return source.groupBy(*on).cogroup(target.groupBy(*[f"{c}_right" for c in on])).applyInPandas(compare, schema)
 
 
 def proximity_edges(

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
-from ..operators.aggregates import SCORED_MODES, aggregate_scored
+from ..operators.aggregates import SCORED_MODES, aggregate_scored, scored_problems
 from ..operators.blending import attach_alpha, blend, fit_alpha
 from ..operators.bootstrap import REPLICATES, paired_comparisons
-from ..operators.checks import ensure_label_free, finite_violations, key_violations, require_columns, require_empty
+from ..operators.checks import ensure_label_free, require_columns, require_empty
 from ..operators.keys import bind_coefficients, bind_exact, coefficient_overlap
 from ..operators.metrics import regression_metrics
 from ..session import collect_small
@@ -91,11 +91,13 @@ def assemble(
     ensure_label_free(scored)
     rows = require_columns(scored, ["record_id", "fold_index", *COMPONENTS])
     rows = rows.withColumns({"record_id": F.col("record_id").cast("string"), "fold_index": F.col("fold_index").cast("int")})
+    broken = scored_problems(rows, evaluation.aggregation, evaluation.folds, COMPONENTS)
+    require_empty(broken, "scored rows break their contract")
     coefficients = fit_coefficients(evaluation, rows, coefficient_predictions, coefficient_labels)
     weighted = attach_alpha(rows, coefficients, single=evaluation.policy == "single")
     blended = weighted.withColumn(BLEND, blend(*COMPONENTS, F.col("alpha"))).drop("alpha")
     predictions = aggregate_scored(
-        blended, evaluation.aggregation, evaluation.folds, [*COMPONENTS, BLEND], evaluation.expected_rows
+        blended, evaluation.aggregation, evaluation.folds, [*COMPONENTS, BLEND], evaluation.expected_rows, check=False
     )
     return Assembly(coefficients, predictions)
 
@@ -131,13 +133,3 @@ def crossfit_report(bound: DataFrame, coefficients: DataFrame) -> DataFrame:
     weighted = attach_alpha(bound, coefficients)
     blended = weighted.withColumn(BLEND, blend(*COMPONENTS, F.col("alpha")))
     return regression_metrics(blended, "target", [*COMPONENTS, BLEND])
-
-
-def scored_problems(scored: DataFrame) -> DataFrame:
-    """Problems of a component table as rows: repeated keys and values that are not finite."""
-    keys = key_violations(scored, ["record_id", "fold_index"]).select("record_id", "problem")
-    values = finite_violations(scored, ["record_id"], COMPONENTS)
-    return keys.unionByName(values.select(F.col("record_id").cast("string").alias("record_id"), "problem"))
-
-
-__all__ = ["Evaluation", "Assembly", "Score", "assemble", "score", "fit_coefficients", "crossfit_report", "scored_problems"]

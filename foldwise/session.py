@@ -32,6 +32,16 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of the rows before a pass that is heavy on the processor.
+
+    A table in fewer files than the cluster has cores is read by as few tasks, however long they take
+    per row. Such a (small) table is dealt out evenly; any other is left as the scan delivers it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``, which every executor can reach.
 
