@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
-from ..functions.numbers import to_column
+from ..functions.numbers import is_finite, to_column
 from ..session import collect_small
 from .checks import enforce_label_access
 
@@ -86,6 +86,48 @@ def fit_crossfit_alpha(
     return others.select("deployment_fold", alpha_value(default, tolerance), "coefficient_rows")
 
 
+def fit_bound_alpha(
+    predictions: DataFrame,
+    labels: DataFrame,
+    scored: DataFrame,
+    single: bool = False,
+    first: str = "descriptor_prediction",
+    second: str = "neural_prediction",
+    target: str = "target",
+    key: str = "record_id",
+    fold: str = "fold_index",
+) -> DataFrame:
+    """Bind, check and fit in one shuffle: deployment_fold, alpha, coefficient_rows, problems, overlaps.
+
+    The three tables are united by (deployment fold, record) and reduced to one row per key, which
+    shows whether it has exactly one finite prediction and one finite label (else it counts under
+    ``problems``) and whether the same deployed model scores it (``overlaps``). With a single weight
+    the rows scored in any fold count.
+    """
+    def side(df, columns, **flags):
+        values = [(F.col(c) if c in columns else F.lit(None)).cast("double").alias(c) for c in (first, second, target)]
+        marks = [F.lit(flags.get(m, 0)).cast("bigint").alias(m) for m in ("_p", "_l", "_s")]
+        bad = F.lit(False)
+        for c in columns:
+            bad = bad | ~is_finite(c)
+        place = F.lit(0).alias("deployment_fold") if single else F.col("deployment_fold").cast("int").alias("deployment_fold")
+        return df.select(place, F.col(key).cast("string").alias(key), *values, *marks, bad.cast("bigint").alias("_bad"))
+
+    united = side(predictions, [first, second], _p=1).unionByName(side(labels, [target], _l=1))
+    united = united.unionByName(side(scored.withColumn("deployment_fold", F.col(fold)), [], _s=1))
+    per_key = united.groupBy("deployment_fold", key).agg(
+        *[F.max(c).alias(c) for c in (first, second, target)], *[F.sum(c).alias(c) for c in ("_p", "_l", "_s", "_bad")]
+    )
+    used = (F.col("_p") > 0) | (F.col("_l") > 0)
+    good = (F.col("_p") == 1) & (F.col("_l") == 1) & (F.col("_bad") == 0) & F.col(key).isNotNull()
+    sums = per_key.filter(used).groupBy("deployment_fold").agg(
+        *alpha_sums(first, second, target),
+        F.count_if(~F.coalesce(good, F.lit(False))).alias("problems"),
+        F.count_if(F.col("_s") > 0).alias("overlaps"),
+    )
+    return sums.select("deployment_fold", alpha_value(), "coefficient_rows", "problems", "overlaps")
+
+
 def crossfit_rows(df: DataFrame, folds: Iterable[int], fold: str = "fold_index") -> DataFrame:
     """Every row once for each fold other than its own, as ``deployment_fold``."""
     others = F.array_except(F.array(*[F.lit(int(f)) for f in folds]), F.array(F.col(fold).cast("int")))

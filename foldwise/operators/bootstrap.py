@@ -33,7 +33,7 @@ from .ranking import hashed_rank
 
 REPLICATES = 10_000
 REPLICATE_BLOCK = 250
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 16_384
 FINE_BUCKETS = 16_384
 MAX_BUCKETS = 4_000_000
 DRAWS_IN_MEMORY = 4_000_000

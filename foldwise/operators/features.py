@@ -21,6 +21,7 @@ from ..errors import ContractViolation
 from ..functions.numbers import as_double, clip, is_missing
 from ..functions.vectors import INV_SQRT2, as_vector, concat_blocks, fit_length, l2_normalise, vector_is_finite
 from ..session import collect_small
+from ..session import kept as held_table
 from .aggregates import mean_vector
 from .checks import finite_violations, require_empty
 from .quantiles import exact_quantiles
@@ -131,6 +132,14 @@ def fit_feature_filter(df: DataFrame, columns: Iterable[str], config: FilterConf
     columns = list(columns)
     if not columns or len(set(columns)) != len(columns):
         raise ContractViolation("feature columns must be unique and not empty")
+    with held_table(df.select(*columns)) as held:
+        decisions = _decide(held, columns, config)
+    if all(s != "retained" for _, s in decisions):
+        raise ContractViolation("the filter removed every column")
+    return FeatureFilter(decisions, config)
+
+
+def _decide(df: DataFrame, columns: list[str], config: FilterConfig) -> tuple[tuple[str, str], ...]:
     status: dict[str, str] = {}
     for row in collect_small(profile_columns(df, columns, config.ddof), max(10_000, len(columns)), "column profile"):
         if row["missing"] > 0:
@@ -146,10 +155,7 @@ def fit_feature_filter(df: DataFrame, columns: Iterable[str], config: FilterConf
         hits = corr_pairs(df, survivors).filter(over & ~F.isnan("correlation")).select("later").distinct()
         for row in collect_small(hits, max(10_000, len(columns)), "correlated columns"):
             status[row["later"]] = "correlated"
-    decisions = tuple((c, status.get(c, "retained")) for c in columns)
-    if all(s != "retained" for _, s in decisions):
-        raise ContractViolation("the filter removed every column")
-    return FeatureFilter(decisions, config)
+    return tuple((c, status.get(c, "retained")) for c in columns)
 
 
 def apply_feature_filter(df: DataFrame, fitted: FeatureFilter, kept: Iterable[str] = ("record_id",), check: bool = True) -> DataFrame:
@@ -223,8 +229,9 @@ def fit_block_scaler(
     """Winsorise (optional) and standardise each block of columns from its fit rows; population deviation."""
     blocks = [list(block) for block in blocks]
     every = [c for block in blocks for c in block]
-    limits = quantile_limits(fit_rows, every, quantile, **options) if quantile is not None else None
-    whole = fit_scaler(fit_rows, every, ddof=0, limits=limits)
+    with held_table(fit_rows.select(*every)) as held:
+        limits = quantile_limits(held, every, quantile, **options) if quantile is not None else None
+        whole = fit_scaler(held, every, ddof=0, limits=limits)
     scalers, start = [], 0
     for block in blocks:
         part = slice(start, start + len(block))
@@ -241,8 +248,9 @@ def apply_block_scaler(df: DataFrame, scalers: Iterable[Scaler], kept: Iterable[
 
 def fit_clip_zscore(fit_rows: DataFrame, columns: list[str], quantile: float = 0.001, floor: float = 1e-8, **options) -> Scaler:
     """Limits from fit rows, then mean and population deviation of the clipped fit rows."""
-    limits = quantile_limits(fit_rows, columns, quantile, **options)
-    return fit_scaler(fit_rows, columns, ddof=0, floor=floor, limits=limits)
+    with held_table(fit_rows.select(*columns)) as held:
+        limits = quantile_limits(held, columns, quantile, **options)
+        return fit_scaler(held, columns, ddof=0, floor=floor, limits=limits)
 
 
 def fit_zscore(fit_rows: DataFrame, columns: Iterable[str], ddof: int = 1) -> Scaler:

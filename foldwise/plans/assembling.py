@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
 from ..operators.aggregates import SCORED_MODES, aggregate_scored, scored_problems
-from ..operators.blending import attach_alpha, blend, fit_alpha
+from ..operators.blending import attach_alpha, blend, fit_bound_alpha
 from ..operators.bootstrap import REPLICATES, paired_comparisons
-from ..operators.checks import ensure_label_free, require_columns, require_empty
-from ..operators.keys import bind_coefficients, bind_exact, coefficient_overlap
+from ..operators.checks import enforce_label_access, ensure_label_free, require_columns, require_empty
+from ..operators.keys import bind_exact, bind_status, coefficient_overlap
 from ..operators.metrics import regression_metrics
 from ..session import collect_small
 
@@ -24,6 +24,10 @@ DEFAULT_SEED = 20260821
 POLICIES = ("fixed_half", "crossfit", "per_split", "single")
 
 
+_UNBOUND = "coefficient predictions and labels must match one to one and be finite"
+_OVERLAP = "coefficient rows overlap the rows scored by the same deployed model"
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """Folds, coefficient policy and scored aggregation of one evaluation."""
@@ -63,15 +67,21 @@ def fit_coefficients(
         return spark.createDataFrame([(f, 0.5, 0) for f in evaluation.folds], schema)
     if coefficient_predictions is None or coefficient_labels is None:
         raise ContractViolation("this policy needs coefficient predictions and labels")
-    bound = bind_coefficients(
-        require_columns(coefficient_predictions, ["deployment_fold", "record_id", *COMPONENTS]),
-        require_columns(coefficient_labels, ["deployment_fold", "record_id", "target"]),
-        COMPONENTS,
-    )
+    predictions = require_columns(coefficient_predictions, ["deployment_fold", "record_id", *COMPONENTS])
+    labels = require_columns(coefficient_labels, ["deployment_fold", "record_id", "target"])
+    single = evaluation.policy == "single"
+    if single:
+        outside = predictions.filter(F.coalesce(F.col("deployment_fold") != 0, F.lit(True)))
+        require_empty(outside.select("deployment_fold").distinct(), "a single coefficient belongs to deployment fold 0")
+    enforce_label_access("coefficient_development", "coefficient_fitting")
     keys = scored.select(F.col("record_id").cast("string").alias("record_id"), "fold_index")
-    overlap = coefficient_overlap(bound.select("deployment_fold", "record_id"), keys, evaluation.policy == "single")
-    require_empty(overlap, "coefficient rows overlap the rows scored by the same deployed model")
-    fitted = collect_small(fit_alpha(bound), what="coefficient table")
+    fitted = collect_small(fit_bound_alpha(predictions, labels, keys, single), what="coefficient table")
+    if any(r["problems"] for r in fitted):
+        require_empty(bind_status(predictions, labels, ["deployment_fold", "record_id"], COMPONENTS, ["target"]), _UNBOUND)
+        raise ContractViolation(_UNBOUND)
+    if any(r["overlaps"] for r in fitted):
+        require_empty(coefficient_overlap(predictions, keys, single), _OVERLAP)
+        raise ContractViolation(_OVERLAP)
     rows = sorted((int(r["deployment_fold"]), float(r["alpha"]), int(r["coefficient_rows"])) for r in fitted)
     if tuple(r[0] for r in rows) != tuple(sorted(evaluation.coefficient_folds)):
         raise ContractViolation("coefficient sources do not cover exactly the required deployment folds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """Hold a derived table for the few passes of one fit; a table already held stays as it is.
+
+    Lost blocks are recomputed from the plan. Select the needed columns before holding them.
+    """
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        yield df
+        return
+    held = df.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of the rows before a pass that is heavy on the processor.
 
