@@ -80,5 +80,6 @@ def passage_overlap(
     candidates = join_small(pieces, anchors, ["_kind", "_anchor"])
     candidates = candidates.select(document_key, item_key).distinct()
     verified = candidates.join(documents.select(document_key, body.alias("_text")), document_key)
-    verified = join_small(verified, passages.select(item_key, "_passage"), item_key)
+    # Passages can be long, so the planner chooses this join by their bytes, not by their number.
+    verified = verified.join(passages.select(item_key, "_passage"), item_key)
     return verified.filter(F.contains("_text", "_passage")).select(document_key, item_key)

@@ -17,7 +17,8 @@ from ..errors import ContractViolation
 from ..functions.numbers import is_missing
 from ..session import collect_small
 
-EXACT_ROWS = 2_000_000
+EXACT_ROWS = 1_000_000
+VALUES_PER_PASS = 4_000_000
 COLUMNS_PER_PASS = 64
 SKETCH_ACCURACY = 10_000
 BRACKET_VALUES = 2_000
@@ -46,7 +47,9 @@ def exact_quantiles(
     if max(counts.values()) <= exact_rows:
         result: dict[str, list[float]] = {}
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        for chunk in _chunks(columns, COLUMNS_PER_PASS):
+        # One buffer per column, with up to as many values as rows: bound their sum.
+        per_pass = max(1, min(COLUMNS_PER_PASS, VALUES_PER_PASS // max(counts.values())))
+        for chunk in _chunks(columns, per_pass):
             row = df.agg(*[F.percentile(_number(c), wanted).alias(f"c{i}") for i, c in enumerate(chunk)]).first()
             result.update(zip(chunk, [list(values) for values in row]))
         return result

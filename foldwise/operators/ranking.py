@@ -66,7 +66,8 @@ def hashed_rank(
 
 
 def ordinal(df: DataFrame, order_columns: list, name: str = "ord", partitions: int | None = None) -> DataFrame:
-    """0-based position in the total order of any sortable columns.
+    """0-based position in the total order of any sortable columns, which must identify a row: equal
+    values cannot be divided between tasks.
 
     Range partitioning samples its input, so the partition of a row is written down with a reliable
     checkpoint before it is counted and used; a recomputed task then cannot see other boundaries.

@@ -214,10 +214,10 @@ def nested_folds(partitions: DataFrame, key: str = "record_id", fold: str = "fol
     """Inner selection sets: for outer fold f and each other fold g, the development rows of f are
     ``selection_fit`` unless g scores them, which makes them ``selection_score``.
 
-    A record is reduced to its list of (fold, role), as long as there are folds, and expanded from it;
-    the table is not joined to itself.
+    A record is reduced to its set of (fold, role) pairs, no more than there are folds, and expanded
+    from it; the table is not joined to itself.
     """
-    rows = partitions.groupBy(key).agg(F.collect_list(F.struct(fold, role)).alias("_roles"))
+    rows = partitions.groupBy(key).agg(F.collect_set(F.struct(fold, role)).alias("_roles"))
     outer = rows.select(key, "_roles", F.explode("_roles").alias("_o")).filter(F.col(f"_o.{role}") != "scored")
     inner = outer.select(key, "_o", F.explode("_roles").alias("_i")).filter(F.col(f"_i.{fold}") != F.col(f"_o.{fold}"))
     stage = F.when(F.col(f"_i.{role}") == "scored", F.lit("selection_score")).otherwise(F.lit("selection_fit"))
