@@ -110,7 +110,7 @@ def d13(spark, d):
 
 # The statuses follow from the rules: gap has missing values, const_one is constant, tiny has almost no
 # variance, and a column goes when an earlier survivor correlates with it.
-_FILTER_SQL = """
+FILTER_SQL = """
 with c as (""" + " union all ".join(
     f"select {i} as position, '{c}' as column_name, count(*)-count({c}) as missing, min({c})=max({c}) as constant, var_pop({c}) as variance from v_feat"
     for i, c in enumerate(fx.FEATURES)
@@ -124,7 +124,7 @@ select cast(position as int) as position, column_name, coalesce(early, case when
    where r.later=s.column_name and e.early is null and r.r>95e-2) then 'correlated' else 'retained' end) as status from s"""
 
 
-@query("j1_feature_filter", with_views(_FILTER_SQL))
+@query("j1_feature_filter", with_views(FILTER_SQL))
 def j1(spark, d):
     fitted = fit_feature_filter(fx.v_feat(spark, d), fx.FEATURES, CONFIG)
     return fitted.report(spark).withColumnRenamed("column", "column_name")

@@ -24,9 +24,11 @@ from ..operators.search import (
     select_trial,
     trial_problems,
 )
-from ..plans.units import prepare_unit, run_fold
+from ..operators.keys import rows_in
+from ..plans.units import prepare_unit, run_fold, run_nested_fold
 from ..session import shared_folder
 from . import query
+from .features import FILTER_SQL
 from .metrics import round_metrics, rounded
 from .views import with_views
 from ..operators.metrics import regression_metrics
@@ -74,9 +76,22 @@ def f2(spark, d):
     )
 
 
-@query("f2_trial_problems", with_views("select cast(trial as varchar) as trial, 'none' as problem from v_trials where trial<0"))
+@query(
+    "f2_trial_problems",
+    with_views("""select cast(trial as varchar) as trial, 'mae:missing' as problem from v_trials where trial=2 and inner_validation_fold=3
+      union all select cast(trial as varchar), 'best_iteration:integer' from v_trials where trial=1
+      union all select 'all', 'inner_folds_differ' from (select count(*) as n from v_trials) where n>0"""),
+)
 def f2_problems(spark, d):
-    return trial_problems(fx.v_trials(spark, d), nested=True)
+    trials = fx.v_trials(spark, d)
+    third = (F.col("trial") == 2) & (F.col("inner_validation_fold") == 3)
+    broken = trials.filter("not (trial = 4 and inner_validation_fold = 0)").withColumns(
+        {
+            "mae": F.when(~third, F.col("mae")),
+            "best_iteration": F.when(F.col("trial") == 1, -F.col("best_iteration")).otherwise(F.col("best_iteration")),
+        }
+    )
+    return trial_problems(broken, nested=True)
 
 
 @query(
@@ -164,10 +179,23 @@ def l7(spark, d):
     return predictions
 
 
-@query(
-    "j1_retained_columns",
-    with_views("select unnest(['n_lines','qty','ext','avg_ext','max_tax']) as column_name from (select count(*) from v_feat)"),
-)
+@query("l7_run_selected_fold")
+def l7_selected(spark, d):
+    return run_fold(_unit(spark, d), CANDIDATES[:2], 260722)[0]
+
+
+@query("l7_run_nested_fold")
+def l7_nested(spark, d):
+    features = fx.v_feat(spark, d)
+    parts = rows_in(fx.v_part(spark, d), features.select("record_id"))
+    candidates = [{k: v for k, v in c.items() if k != "n_estimators"} for c in CANDIDATES[:2]]
+    predictions, _ = run_nested_fold(
+        features, parts, fx.v_label(spark, d), fx.FEATURES, CONFIG, 0, candidates, 260701, [260740, 260717], tree_budget=3
+    )
+    return predictions
+
+
+@query("j1_retained_columns", f"select column_name from ({with_views(FILTER_SQL)}) where status='retained'")
 def retained(spark, d):
     fitted = fit_feature_filter(fx.v_feat(spark, d), fx.FEATURES, CONFIG)
     return fitted.report(spark).filter("status = 'retained'").select(F.col("column").alias("column_name"))

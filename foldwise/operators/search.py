@@ -203,6 +203,51 @@ def search_trials(
     return SearchResult(records, best[0][0], best[1], best[2])
 
 
+NESTED_SCHEMA = "trial int, inner_validation_fold int, n bigint, sse double, rmse double, mae double, best_iteration int"
+
+
+def search_nested(
+    units: Mapping[int, tuple[DataFrame, Sequence[str]]],
+    candidates: Sequence[Mapping],
+    base_seed: int,
+    tree_budget: int | None = None,
+    target: str = "target",
+    parallelism: int = 4,
+) -> tuple[DataFrame, dict[int, dict]]:
+    """Fit every candidate in every inner fold with early stopping: (trial records, parameters by trial).
+
+    ``units`` is inner fold -> (rows with role fit / selection, its own retained features). A trial has
+    the seed ``base_seed + trial`` in all inner folds. Choose with :func:`select_nested`.
+    """
+    if not candidates or not units:
+        raise ContractViolation("a nested search needs candidates and inner folds")
+    trials = [int(c.get("trial", i)) for i, c in enumerate(candidates)]
+    if len(set(trials)) != len(trials) or min(trials) < 0:
+        raise ContractViolation("candidate trial identifiers must be unique non-negative integers")
+    parameters = {}
+    for trial, source in zip(trials, candidates):
+        chosen = {k: v for k, v in source.items() if k != "trial"}
+        if tree_budget is not None:
+            if "n_estimators" in chosen:
+                raise ContractViolation("a tree budget conflicts with a candidate's n_estimators")
+            chosen["n_estimators"] = int(tree_budget)
+        parameters[trial] = chosen
+    spark = next(iter(units.values()))[0].sparkSession
+
+    def run(task):
+        trial, inner = task
+        rows, features = units[inner]
+        marked = rows.filter(F.col("role").isin("fit", "selection")).withColumn("_validation", F.col("role") == "selection")
+        model = fit_gbt(marked, features, parameters[trial], base_seed + trial, target, "_validation")
+        m = regression_metrics(model.transform(marked.filter("_validation")), target, ["prediction"]).first()
+        return (trial, int(inner), m["n"], m["sse"], m["rmse"], m["mae"], best_iteration(model))
+
+    tasks = [(trial, inner) for trial in trials for inner in sorted(units)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        records = list(pool.map(inheritable_thread_target(spark)(run), tasks))
+    return spark.createDataFrame(records, NESTED_SCHEMA), parameters
+
+
 def trial_problems(trials: DataFrame, nested: bool = False, by: Iterable[str] = ()) -> DataFrame:
     """Trial records that are not finite, negative, fractional, repeated, or cover other inner folds."""
     by = list(by)

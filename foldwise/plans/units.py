@@ -8,14 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ContractViolation
 from ..functions.numbers import is_finite
-from ..operators.checks import conformance, require_empty, row_violations
+from ..operators.checks import conformance, finite_violations, require_empty, row_violations
 from ..operators.features import FeatureFilter, FilterConfig, apply_feature_filter, fit_feature_filter
 from ..operators.keys import fingerprint, missing_ids, stage_overlaps
-from ..operators.search import best_iteration, refit_ensemble, save_run, search_trials
+from ..operators.search import (
+    best_iteration,
+    refit_ensemble,
+    save_run,
+    search_nested,
+    search_trials,
+    select_nested,
+)
 from ..operators.splits import nested_folds
 from ..operators.stages import resolve_stages
+from ..session import collect_small
 from ..sources.sinks import SCORED_STAGE, write_predictions
 
 
@@ -89,38 +96,103 @@ def prepare_unit(
     return PreparedUnit(rows, fitted, staged)
 
 
+def refit_unit(unit: PreparedUnit, key: str = "record_id", target: str = "target") -> PreparedUnit:
+    """The same unit with its filter fitted on all development rows, for a refit after the search."""
+    columns = [c for c, _ in unit.fitted.decisions]
+    development = unit.cached.filter("role <> 'scored'")
+    fitted = fit_feature_filter(development, columns, unit.fitted.config)
+    require_empty(finite_violations(unit.cached, [key, "role"], fitted.retained), "retained features must be finite")
+    return PreparedUnit(apply_feature_filter(unit.cached, fitted, [key, "role", target], check=False), fitted, unit.cached)
+
+
+def _scored(unit: PreparedUnit) -> DataFrame:
+    return unit.rows.filter("role = 'scored'").drop("target", "role")
+
+
+def _write(path, predictions, model, unit, facts) -> DataFrame:
+    write_predictions(predictions, f"{path}/output", _scored(unit).select("record_id"), facts)
+    save_run(f"{path}/run", model, unit.fitted, {**facts, "scored_labels_accessed": "False"})
+    return predictions.sparkSession.read.parquet(f"{path}/output/predictions")
+
+
 def run_fold(
     unit: PreparedUnit,
     candidates: Sequence[Mapping],
     base_seed: int,
-    seeds: Sequence[int],
+    seeds: Sequence[int] = (),
     path: str | None = None,
     summary: Mapping[str, str] | None = None,
     early_stopping: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Search, refit on all development rows under several seeds, predict the scored rows, write.
+    """Search on one selection set, predict the scored rows, write: (predictions, trial records).
 
-    Returns (predictions, trial records).
+    Without ``seeds`` the selected model itself predicts. With them the chosen parameters are frozen,
+    the filter and the model are refitted on all development rows under each seed, and the mean is
+    taken; the number of trees is then the one the search settled on.
     """
-    if not seeds:
-        raise ContractViolation("a refit needs at least one seed")
-    features, rows = unit.fitted.retained, unit.rows
-    try:
-        result = search_trials(rows, features, candidates, lambda trial: base_seed + trial, early_stopping=early_stopping)
-        trees = best_iteration(result.model) + 1
-        scored = rows.filter("role = 'scored'").drop("target", "role")
+    result = search_trials(unit.rows, unit.fitted.retained, candidates, lambda t: base_seed + t, early_stopping=early_stopping)
+    trees = best_iteration(result.model) + 1
+    if seeds:
+        unit = refit_unit(unit)
         predictions, models = refit_ensemble(
-            rows.filter("role <> 'scored'"), scored, features, result.parameters, trees, seeds
+            unit.rows.filter("role <> 'scored'"), _scored(unit), unit.fitted.retained, result.parameters, trees, seeds
         )
-        if path:
-            facts = {**(summary or {}), "trial": str(result.trial), "trees": str(trees), "scored_labels_accessed": "False"}
-            write_predictions(predictions, f"{path}/output", scored.select("record_id"), facts)
-            save_run(f"{path}/run", models[0], unit.fitted, facts)
-            predictions = predictions.sparkSession.read.parquet(f"{path}/output/predictions")
-        return predictions, result.records
-    finally:
-        if path:
-            unit.cached.unpersist()
-
+        model = models[0]
+    else:
+        model = result.model
+        predictions = model.transform(_scored(unit)).select("record_id", "prediction")
+    if path:
+        facts = {**(summary or {}), "trial": str(result.trial), "trees": str(trees)}
+        predictions = _write(path, predictions, model, unit, facts)
+        unit.cached.unpersist()
+    return predictions, result.records
+
+
+def run_nested_fold(
+    features: DataFrame,
+    partitions: DataFrame,
+    labels: DataFrame,
+    columns: Sequence[str],
+    config: FilterConfig,
+    fold: int,
+    candidates: Sequence[Mapping],
+    base_seed: int,
+    seeds: Sequence[int],
+    tree_budget: int | None = None,
+    path: str | None = None,
+    summary: Mapping[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Nested search over the other folds, then a seeded refit on all development rows of the fold.
 
-__all__ = ["materialise", "nested_stages", "verify_unit", "prepare_unit", "run_fold", "PreparedUnit", "stage_summary", "assignment_fingerprint"]
+    ``partitions`` is the long table of all folds. Every inner fold fits its own feature filter on its
+    own fit rows. The trial is chosen by pooled squared error; the number of trees is the median of its
+    inner folds. Returns (predictions, trial records).
+    """
+    inner = nested_stages(partitions, fold).persist()
+    units = {}
+    try:
+        for row in sorted(collect_small(inner.select("inner_fold").distinct(), what="inner folds")):
+            role = F.when(F.col("stage") == "selection_fit", F.lit("fit")).otherwise(F.lit("selection"))
+            roles = inner.filter(F.col("inner_fold") == row[0]).select("record_id", role.alias("role"))
+            units[row[0]] = prepare_unit(features, roles, labels, columns, config)
+        rows = {g: (u.rows, u.fitted.retained) for g, u in units.items()}
+        records, parameters = search_nested(rows, candidates, base_seed, tree_budget)
+        best = select_nested(records).first()
+    finally:
+        inner.unpersist()
+        for u in units.values():
+            u.cached.unpersist()
+    role = F.when(F.col("role") == "scored", F.lit("scored")).otherwise(F.lit("fit"))
+    outer = partitions.filter(F.col("fold_index") == int(fold)).select("record_id", role.alias("role"))
+    unit = prepare_unit(features, outer, labels, columns, config)
+    predictions, models = refit_ensemble(
+        unit.rows.filter("role = 'fit'"), _scored(unit), unit.fitted.retained, parameters[best["trial"]], best["final_tree_count"], seeds
+    )
+    if path:
+        facts = {**(summary or {}), "trial": str(best["trial"]), "trees": str(best["final_tree_count"])}
+        predictions = _write(path, predictions, models[0], unit, facts)
+        unit.cached.unpersist()
+    return predictions, records
+
+
+__all__ = ["materialise", "nested_stages", "verify_unit", "prepare_unit", "run_fold", "run_nested_fold", "refit_unit", "PreparedUnit", "stage_summary", "assignment_fingerprint"]

@@ -129,3 +129,30 @@ def test_report(spark):
     broken = spark.createDataFrame([result_row("m1", "p1", 0.5, 0.2, 0.1)], REPORT)
     with pytest.raises(ContractViolation):
         comparator_report(broken, broken, broken)
+
+
+def test_nested_fold_end_to_end(spark, tmp_path):
+    from foldwise.operators.features import FilterConfig
+    from foldwise.plans.units import prepare_unit, run_fold, run_nested_fold
+
+    ids = [f"r{i}" for i in range(90)]
+    features = spark.createDataFrame([(r, float(i % 13), float((i * 5) % 7), 1.0) for i, r in enumerate(ids)], "record_id string, a double, b double, c double")
+    labels = spark.createDataFrame([(r, 0.5 * (i % 13)) for i, r in enumerate(ids)], "record_id string, target double")
+    parts = spark.createDataFrame(
+        [(r, f, "scored" if i % 3 == f else "fit") for i, r in enumerate(ids) for f in range(3)], "record_id string, fold_index int, role string"
+    )
+    path = str(tmp_path / "nested")
+    candidates = [{"trial": 0, "max_depth": 1}, {"trial": 1, "max_depth": 4}]
+    predictions, records = run_nested_fold(
+        features, parts, labels, ["a", "b", "c"], FilterConfig(), 0, candidates, 7, [1, 2], 3, path, {"fold": "0"}
+    )
+    assert sorted(r["record_id"] for r in predictions.collect()) == sorted(ids[0::3])
+    assert sorted((r["trial"], r["inner_validation_fold"], r["n"]) for r in records.collect()) == [(t, g, 30) for t in (0, 1) for g in (1, 2)]
+    assert trial_problems(records, nested=True).count() == 0
+    with pytest.raises(ContractViolation):
+        run_nested_fold(features, parts, labels, ["a"], FilterConfig(), 0, [{"n_estimators": 2}], 7, [1], 3)
+    role = F.when(F.col("role") == "scored", F.lit("scored")).when(F.hash("record_id") % 4 == 0, F.lit("selection")).otherwise(F.lit("fit"))
+    unit = prepare_unit(features, parts.filter("fold_index = 0").select("record_id", role.alias("role")), labels, ["a", "b", "c"], FilterConfig())
+    selected, _ = run_fold(unit, [{"n_estimators": 2, "max_depth": 2}], 3)
+    refitted, _ = run_fold(unit, [{"n_estimators": 2, "max_depth": 2}], 3, [5, 6], str(tmp_path / "refit"))
+    assert selected.count() == refitted.count() == 30
