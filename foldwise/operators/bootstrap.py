@@ -187,8 +187,10 @@ def block_sums(a: np.ndarray, b: np.ndarray, draws: np.ndarray, generator: np.ra
 def _multinomial_replicates(losses, replicates, metric, by, key):
     group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
     # Counts of fine buckets, at most FINE_BUCKETS per group, are merged into blocks of a fair size.
-    fine = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FINE_BUCKETS))
-    placed = losses.withColumn("_group", group).withColumn("_fine", fine)
+    hashed = losses.select(
+        *by, group.alias("_group"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), "_seed", "_a", "_b"
+    )
+    placed = hashed.withColumn("_fine", F.pmod("_hash", F.lit(FINE_BUCKETS)))
     counted = placed.groupBy("_group", "_fine").agg(F.count(F.lit(1)).alias("n"), F.min("_seed").alias("seed"))
     rows = collect_small(counted, MAX_BUCKETS, "bucket table")
     total, blocks = sum(r["n"] for r in rows), 1
@@ -203,7 +205,7 @@ def _multinomial_replicates(losses, replicates, metric, by, key):
 
     def one_block(frame: pd.DataFrame) -> pd.DataFrame:
         sizes, seeds = shared.value
-        frame = frame.sort_values(key)
+        frame = frame.sort_values(["_hash", "_a", "_b"])
         name, block = frame["_group"].iloc[0], int(frame["_block"].iloc[0])
         draws = block_draws(sizes[name], block, seeds[name], replicates)
         inside = np.random.Generator(np.random.Philox(np.random.SeedSequence([seeds[name], 0, block])))

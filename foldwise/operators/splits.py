@@ -95,15 +95,14 @@ def reserve(
     The seed of a fold is ``seed + fold``; scored rows keep their role.
     """
     share = Fraction(str(fraction))
-    scored = partitions.filter(F.col(role) == "scored")
-    development = partitions.filter(F.col(role) != "scored")
-    ranked = hashed_rank(
-        development, order_hash(F.col(fold) + F.lit(int(seed)), key), key, by=(fold,), name="_rank", total="_n"
-    )
+    # Scored rows are ranked as a group of their own and left alone: one pass instead of two and a union.
+    marked = partitions.withColumn("_scored", F.col(role) == "scored")
+    order = order_hash(F.col(fold) + F.lit(int(seed)), key)
+    ranked = hashed_rank(marked, order, key, by=(fold, "_scored"), name="_rank", total="_n")
     # ceil(n * a / b) in integers, so that no binary fraction can move the limit by one row
     quota = F.floor((F.col("_n") * share.numerator + (share.denominator - 1)) / share.denominator)
-    new_role = F.when(F.col("_rank") <= quota, F.lit("reserved")).otherwise(F.col(role))
-    return scored.unionByName(ranked.withColumn(role, new_role).drop("_rank", "_n"))
+    chosen = ~F.col("_scored") & (F.col("_rank") <= quota)
+    return ranked.withColumn(role, F.when(chosen, F.lit("reserved")).otherwise(F.col(role))).drop("_rank", "_n", "_scored")
 
 
 def stratified_kfold(

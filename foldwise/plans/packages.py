@@ -135,14 +135,17 @@ def prepare_round_robin(
     binned = quantile_bins(labels.select("record_id", target), target, bins).drop(target)
     assigned = bin_round_robin(binned, "bin", folds, seed)
     expanded = expand_folds(assigned, range(folds), held_out_role()).drop("assigned_fold")
-    held = expanded.filter("role = 'scored'").select("record_id", "fold_index", F.lit("oof_holdout").alias("role"))
-    rest = stratified_holdout(
-        expanded.filter("role = 'fit'"), "bin", selection_fraction, F.col("fold_index") + F.lit(int(seed)), by=("fold_index",)
+    # Scored rows take part as a group of their own, so that the folds are expanded and read once.
+    seeds = F.col("fold_index") + F.lit(int(seed))
+    chosen = stratified_holdout(expanded, "bin", selection_fraction, seeds, by=("fold_index", "role"))
+    role = (
+        F.when(F.col("role") == "scored", F.lit("oof_holdout"))
+        .when(F.col("held_out"), F.lit("selection"))
+        .otherwise(F.lit("fit"))
     )
-    rest_role = F.when(F.col("held_out"), F.lit("selection")).otherwise(F.lit("fit"))
-    rest = rest.select("record_id", "fold_index", rest_role.alias("role"))
+    development = chosen.select("record_id", "fold_index", role.alias("role"))
     official = expand_folds(test.select("record_id"), range(folds), F.lit("official_test"))
-    native = held.unionByName(rest).unionByName(official)
+    native = development.unionByName(official)
     return map_roles(native, role_map) if role_map else native
 
 
