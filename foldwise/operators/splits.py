@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractViolation
 from ..functions.hashing import order_hash
 from ..functions.numbers import bin_index, is_missing
-from ..session import collect_small, join_small
+from ..session import collect_small, join_small, kept
 from .quantiles import exact_quantiles
 from .ranking import hashed_rank
 
@@ -201,12 +201,12 @@ def group_split(
 
     A hot group needs no single task: members are only joined to the one row of their group.
     """
-    means = df.groupBy(group).agg(F.avg(target).alias("_mean"))
-    means = means.withColumn("_mean", F.round("_mean", EDGE_DECIMALS))
-    binned = adaptive_bins(means, "_mean", highest, lowest, min_rows, name="_bin")
-    sides = stratified_holdout(binned, "_bin", fraction, seed, key=group)
-    side = F.when(F.col("held_out"), F.lit("score")).otherwise(F.lit("fit"))
-    return join_small(df, sides.select(group, side.alias("side")), group, "left")
+    means = df.groupBy(group).agg(F.round(F.avg(target), EDGE_DECIMALS).alias("_mean"))
+    with kept(means) as held:
+        binned = adaptive_bins(held, "_mean", highest, lowest, min_rows, name="_bin")
+        sides = stratified_holdout(binned, "_bin", fraction, seed, key=group)
+        side = F.when(F.col("held_out"), F.lit("score")).otherwise(F.lit("fit"))
+        return join_small(df, sides.select(group, side.alias("side")), group, "left")
 
 
 def nested_folds(partitions: DataFrame, key: str = "record_id", fold: str = "fold_index", role: str = "role") -> DataFrame:
