@@ -24,7 +24,7 @@ from ..functions.hashing import uniform
 from ..functions.numbers import is_finite
 from ..session import collect_small
 from .aggregates import mean_members_wide, nested_summary
-from .checks import finite_violations, key_violations, require_empty
+from .checks import finite_violations, key_violations
 from .features import FeatureFilter, FilterConfig, apply_feature_filter
 from .metrics import regression_metrics
 

@@ -54,17 +54,16 @@ def package_violations(
         columns = {c: F.lit(0).cast("bigint") for c in ("rec", "lab", "par", "sco", "bad_text", "bad_value", "bad_domain")}
         columns[name] = F.lit(1).cast("bigint")
         columns.update({k: v.cast("bigint") for k, v in flags.items()})
-        fold = flags.pop("_fold", None)
-        return df.select(trimmed(F.col("record_id").cast("string")).alias("record_id"), *[c.alias(k) for k, c in columns.items()]), fold
+        return df.select(trimmed(F.col("record_id").cast("string")).alias("record_id"), *[c.alias(k) for k, c in columns.items()])
 
     def empty(column):
         return F.coalesce(F.length(trimmed(F.col(column).cast("string"))), F.lit(0)) == 0
 
     role = trimmed("role")
     known = F.coalesce(F.col("fold_index").isin(folds) & role.isin(list(ROLES)), F.lit(False))
-    a, _ = side(records, "rec", bad_text=empty("record_id") | empty(structure))
-    b, _ = side(labels, "lab", bad_text=empty("record_id"), bad_value=~is_finite(target))
-    c, _ = side(partitions, "par", sco=F.coalesce(role == "scored", F.lit(False)), bad_domain=~known)
+    a = side(records, "rec", bad_text=empty("record_id") | empty(structure))
+    b = side(labels, "lab", bad_text=empty("record_id"), bad_value=~is_finite(target))
+    c = side(partitions, "par", sco=F.coalesce(role == "scored", F.lit(False)), bad_domain=~known)
     per_key = a.unionByName(b).unionByName(c).groupBy("record_id").agg(
         *[F.sum(x).alias(x) for x in ("rec", "lab", "par", "sco", "bad_text", "bad_value", "bad_domain")]
     )
