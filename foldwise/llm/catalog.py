@@ -12,6 +12,7 @@ from .common import id_remainder
 from .decontamination import contaminated, find_passages
 from .language import fit_language, predict_language
 from .quality import BASE, fit_quality, judge_quality
+from .simhash import near_groups, print_hex
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op4_simhash_near_dedup")
+def op4(spark, d):
+    found = near_groups(read_table(spark, d, "documents"))
+    return found.select(F.col("key").alias("doc_id"), print_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
