@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
+from .bpe import Vocabulary, decoded, encode, little_endian, read_ranks
 from .common import id_remainder
 from .decontamination import contaminated, find_passages
 from .language import fit_language, predict_language
@@ -29,6 +31,21 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op1_byte_bpe")
+def op1(spark, d):
+    vocabulary = Vocabulary(read_ranks(VOCABULARY), public_tokenizers.PATTERN)
+    found = encode(read_table(spark, d, "documents"), vocabulary, ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(little_endian(F.col("ids"), vocabulary), 256).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     found = near_groups(read_table(spark, d, "documents"))
