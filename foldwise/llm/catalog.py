@@ -14,6 +14,7 @@ from .common import id_remainder
 from .decontamination import contaminated, find_passages
 from .language import fit_language, predict_language
 from .quality import BASE, fit_quality, judge_quality
+from .sharding import kd_shards
 from .simhash import near_groups, print_hex
 from .url_rules import judge_urls
 
@@ -46,6 +47,14 @@ def op1(spark, d):
     )
 
 
+@query("op2_sharding")
+def op2(spark, d):
+    placed = kd_shards(read_table(spark, d, "documents"), shards=16)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     found = near_groups(read_table(spark, d, "documents"))
