@@ -12,6 +12,7 @@ from ..session import read_table
 from .bpe import Vocabulary, decoded, encode, little_endian, read_ranks
 from .common import id_remainder
 from .decontamination import contaminated, find_passages
+from .hmm import fit_hmm, score_texts
 from .language import fit_language, predict_language
 from .quality import BASE, fit_quality, judge_quality
 from .sharding import kd_shards
@@ -55,6 +56,17 @@ def op2(spark, d):
     )
 
 
+@query("op3_hmm_scores")
+def op3(spark, d):
+    docs = read_table(spark, d, "documents")
+    held_out = id_remainder("doc_id", 10) == 0
+    model = fit_hmm(docs, ~held_out)
+    scored = score_texts(docs, model).withColumnRenamed("key", "doc_id")
+    return scored.withColumns({"held_out": held_out, "train_tokens": F.lit(model.tokens).cast("long")}).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     found = near_groups(read_table(spark, d, "documents"))
