@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, reliable_checkpoint, shared_folder
 from .bpe import Vocabulary, decoded, encode, little_endian, read_ranks
 from .common import id_remainder
 from .decontamination import contaminated, find_passages
+from .derivatives import BLOCKS, ENTITIES, HIDDEN, TAGS, derived_records, record_id
 from .hmm import fit_hmm, score_texts
 from .language import fit_language, predict_language
 from .quality import BASE, fit_quality, judge_quality
+from .rollups import Rollup, revised, signed
 from .sharding import kd_shards
 from .simhash import near_groups, print_hex
 from .url_rules import judge_urls
@@ -113,6 +116,103 @@ def op6(spark, d):
     return judged.select("row.doc_id", *BASE, "base_failed", "kept", "anomaly")
 
 
+WORDS, PARTS = r"[^\x20\x09-\x0D]+", r"[0-9]+|[A-Za-z]+|[^\x00-\x7F]+|[!-/:-@\[-`{-~]"
+
+
+@query(
+    "op7_token_rollups",
+    f"""
+    with d as (
+        select source, lang, lang is not null and lang = 'en' english,
+            coalesce(length(regexp_extract_all(text, '{WORDS}')), 0) words,
+            coalesce(length(regexp_extract_all(text, '{PARTS}')), 0) parts,
+            row_number() over (partition by text order by doc_id) k
+        from documents)
+    select source, lang, case when english then 'words-1' else 'parts-1' end version, count(*) n_docs,
+        sum(case when english then words else parts end)::bigint n_tokens
+    from d where k = 1 group by 1, 2, 3
+    """,
+)
+def op7(spark, d):
+    """All documents come in counted by words; copies are deleted; all but English is recounted; a batch is sent twice."""
+    text = F.col("text")
+    rows = read_table(spark, d, "documents").select(
+        "doc_id", "source", "lang",
+        F.xxhash64("text").alias("content"), F.octet_length("text").alias("size"),
+        F.regexp_count(text, F.lit(WORDS)).alias("words"), F.regexp_count(text, F.lit(PARTS)).alias("parts"),
+    )
+    rows = reliable_checkpoint(rows)
+    first = F.min(F.struct("doc_id", "source", "lang", "words", "parts")).alias("first")
+    single = rows.groupBy("content", "size").agg(first).select("first.*")
+    recounted = single.where(~F.coalesce(F.col("lang") == "en", F.lit(False)))
+    rollup = Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", signed(rows, 1, "words-1", "words"))
+    copies = signed(rows, -1, "words-1", "words").unionAll(signed(single, 1, "words-1", "words"))
+    rollup.commit("copies", copies)
+    rollup.commit("recount", revised(recounted, ("words-1", "words"), ("parts-1", "parts")))
+    rollup.commit("copies", copies)
+    return rollup.totals()
+
+
+def plain_text_sql(html: str) -> str:
+    for pattern, by in ((HIDDEN, ""), (BLOCKS, "\n"), (TAGS, "")):
+        html = f"regexp_replace({html}, '{pattern}', '{by}', 'g')".replace("'\n'", "chr(10)")
+    for name, character in ENTITIES:
+        html = "replace({}, '{}', '{}')".format(html, name, character.replace("'", "''"))
+    html = f"regexp_replace({html}, '[ \\t\\r\\f]+', ' ', 'g')"
+    html = f"regexp_replace({html}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def record_id_sql(seed: str) -> str:
+    cuts = " || '-' || ".join(f"substring(md5({seed}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {cuts} || '>'"
+
+
+CRAWLED = "2026-01-01T00:00:00Z"
+
+
+@query(
+    "op8_warc_derivatives",
+    f"""
+    with r as (
+        select {record_id_sql("'response:' || page_id || ':' || coalesce(url, '')")} refers_to, coalesce(url, '') target_uri,
+            '{CRAWLED}' date, 'text/html' source_content_type, coalesce(html, '') html
+        from pages),
+    f as (
+        select refers_to, target_uri, date, source_content_type, strlen(html) source_content_length,
+            'sha256:' || sha256(html) source_payload_digest, {plain_text_sql('html')} plain,
+            regexp_replace({plain_text_sql("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title', 1)")}, '\n+', ' ', 'g') title,
+            regexp_extract(html, '(?i)<html\\b[^>]*\\blang="?([a-z-]+)', 1) lang,
+            length(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref=')) links
+        from r),
+    m as (
+        select *, 'metadata' warc_type, 'application/warc-fields' content_type,
+            'title: ' || title || e'\r\nlanguage: ' || lang || e'\r\noutlinks: ' || links || e'\r\nsource-target-uri: ' || target_uri
+            || e'\r\nsource-content-type: ' || source_content_type || e'\r\nsource-content-length: ' || source_content_length
+            || e'\r\nsource-payload-digest: ' || source_payload_digest || e'\r\n' block
+        from f
+        union all
+        select *, 'conversion', 'text/plain', plain from f)
+    select {record_id_sql("warc_type || ':' || refers_to")} record_id, warc_type, refers_to, target_uri, date, content_type,
+        strlen(block) content_length, 'sha256:' || sha256(block) block_digest, source_content_type, source_content_length,
+        source_payload_digest, block
+    from m
+    """,
+)
+def op8(spark, d):
+    pages = read_table(spark, d, "pages")
+    name = F.concat_ws(":", F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit("")))
+    responses = pages.select(
+        record_id(name).alias("record_id"),
+        F.col("url").alias("target_uri"),
+        F.lit(CRAWLED).alias("date"),
+        F.lit("text/html").alias("content_type"),
+        F.col("html").alias("payload"),
+    )
+    return derived_records(responses)
+
+
 @query("op9_language_id")
 def op9(spark, d):
     docs = read_table(spark, d, "documents")
