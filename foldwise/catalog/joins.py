@@ -28,7 +28,7 @@ from ..operators.keys import (
     stage_overlaps,
     top_k_per_key,
 )
-from ..session import read_table, spread
+from ..session import read_table
 from . import query
 from .views import with_views
 
@@ -132,7 +132,7 @@ def c7(spark, d):
     "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)",
 )
 def c8(spark, d):
-    return passage_overlap(spread(read_table(spark, d, "documents").select("doc_id", "text")), read_table(spark, d, "benchmark"))
+    return passage_overlap(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "benchmark"))
 
 
 @query(

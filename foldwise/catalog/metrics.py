@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -25,7 +26,7 @@ from ..operators.bootstrap import paired_bootstrap, subgroup_bootstrap
 from ..operators.metrics import band, regression_metrics, subgroup_metrics, unpivot_axes
 from ..operators.reports import display_differences, flag_lowest, panel_tier, report_grid, single_value, sort_report
 from ..operators.splits import role_counts, scored_pattern
-from ..session import read_table, spread
+from ..session import read_table
 from . import query
 from .views import with_views
 
@@ -255,13 +256,13 @@ def e8(spark, d):
 
 @query("e8_paired_bootstrap_blocks")
 def e8_blocks(spark, d):
-    return paired_bootstrap(spread(fx.v_labelled(spark, d)), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000)
+    return paired_bootstrap(fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000)
 
 
 @query("e8_paired_bootstrap_mae")
 def e8_mae(spark, d):
     return paired_bootstrap(
-        spread(fx.v_labelled(spark, d)), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, metric="mae",
+        fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, metric="mae",
         by=["fold_index"],
     )
 
@@ -269,16 +270,17 @@ def e8_mae(spark, d):
 @query("e9_poisson_bootstrap")
 def e9(spark, d):
     return paired_bootstrap(
-        spread(fx.v_labelled(spark, d)), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, method="poisson"
+        fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, method="poisson"
     )
 
 
 @query("e10_subgroup_bootstrap")
 def e10(spark, d):
-    long = unpivot_axes(spread(_order_rows(spark, d)), _axes(), ["record_id", "target", *COMPONENTS])
-    level = F.pmod(F.hash("axis", "level"), F.lit(1000))
+    long = unpivot_axes(_order_rows(spark, d), _axes(), ["record_id", "target", *COMPONENTS])
+    levels = long.groupBy("axis", "level").agg(F.count(F.lit(1)).alias("n"))
+    numbered = levels.select("axis", "level", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("axis", "level")) - 1).alias("level_index"))
     return subgroup_bootstrap(
-        long.withColumn("level_index", level), "neural_prediction", "descriptor_prediction", base_seed=20260823, replicates=200
+        long.join(numbered, ["axis", "level"]), "neural_prediction", "descriptor_prediction", base_seed=20260823, replicates=200
     )
 
 

@@ -29,7 +29,7 @@ from ..operators.checks import (
     validate_predictions,
 )
 from ..operators.splits import role_counts
-from ..session import read_table, spread
+from ..session import read_table
 from . import query
 from .views import with_views
 
@@ -213,7 +213,7 @@ def b12_gaps(spark, d):
     ),
 )
 def b13(spark, d):
-    return scan_patterns(spread(read_table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text", PATTERNS)
+    return scan_patterns(read_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", PATTERNS)
 
 
 @query(

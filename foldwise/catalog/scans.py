@@ -33,6 +33,15 @@ def a1(spark, d):
     return read_contract(spark, f"{d}/labels.parquet", LABELS_SCHEMA, file_format="parquet")
 
 
+@query("a1_read_csv", "select doc_id, quality, toxic from labels")
+def a1_csv(spark, d):
+    """The labels written as CSV files with a header each, and read back under their contract."""
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    labels = read_table(spark, d, "labels").select(LABELS_SCHEMA.fieldNames())
+    labels.write.option("header", True).csv(path)
+    return read_contract(spark, path, LABELS_SCHEMA, rows=labels.count())
+
+
 @query(
     "a2_table_shape",
     " union all ".join(

@@ -7,13 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.numbers import seed_schedule
 from ..operators.features import FilterConfig, fit_feature_filter
 from ..operators.search import (
-    SEARCH_SPACES,
-    TRIALS,
     best_iteration,
-    candidate_grid,
     fit_gbt,
     predict_batch,
     refit_ensemble,
@@ -34,24 +30,6 @@ from .views import with_views
 from ..operators.metrics import regression_metrics
 
 
-def _u(name):
-    return f"(H(cast(seed as varchar)||':{name}:'||cast(trial as varchar))/4294967296e0)"
-
-
-@query(
-    "k1_candidate_grid",
-    with_views(f"""with g as (select fold_index, 260722+fold_index as seed, cast(unnest(range(24)) as int) as trial from v_fold)
-      select fold_index, trial, 3500 as n_estimators, round(power(1e1,-22e-1+14e-1*{_u('learning_rate')}),6) as learning_rate,
-        cast(3+floor({_u('max_depth')}*6) as int) as max_depth, round(power(1e1,-2e-1+145e-2*{_u('min_child_weight')}),6) as min_child_weight,
-        round(62e-2+38e-2*{_u('subsample')},6) as subsample, round(45e-2+55e-2*{_u('colsample_bytree')},6) as colsample_bytree,
-        round(power(1e1,-5e0+5e0*{_u('reg_alpha')}),6) as reg_alpha, round(power(1e1,-1e0+235e-2*{_u('reg_lambda')}),6) as reg_lambda from g"""),
-)
-def k1(spark, d):
-    folds = fx.v_pred(spark, d).select("fold_index").distinct()
-    grid = candidate_grid(folds, SEARCH_SPACES["native"], TRIALS["native"], F.col("fold_index") + 260722)
-    return rounded(grid, "learning_rate", "min_child_weight", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda")
-
-
 @query(
     "f1_select_trial",
     with_views("""select inner_validation_fold, trial, rmse, best_iteration from (select *, row_number() over (partition by inner_validation_fold order by rmse, trial) as r from v_trials) where r=1"""),
@@ -94,16 +72,6 @@ def f2_problems(spark, d):
     return trial_problems(broken, nested=True)
 
 
-@query(
-    "i11_seed_schedule",
-    with_views("select m.member, f.fold_index, 260901+m.member+100000*f.fold_index as seed from (select distinct member from v_members) m cross join v_fold f"),
-)
-def i11(spark, d):
-    members = fx.v_members(spark, d).select("member").distinct()
-    units = members.withColumn("fold_index", F.explode(F.array(*[F.lit(f) for f in fx.FOLDS])))
-    return units.withColumn("seed", seed_schedule(F.lit(260901) + F.col("member"), "fold_index", 100000))
-
-
 CONFIG = FilterConfig(1e-12, 0, 0.95, "gt")
 CANDIDATES = [
     {"trial": 0, "n_estimators": 4, "learning_rate": 0.3, "max_depth": 3, "min_child_weight": 1.0, "subsample": 1.0},

@@ -15,7 +15,7 @@ select record_id, ord, cast(H('f:'||record_id)%5 as int) as fold_index,
        round(target+8e-1*(H('d:'||record_id)/4294967296e0-5e-1),9) as descriptor_prediction,
        round(target+5e-1*(H('n:'||record_id)/4294967296e0-5e-1)+1e-1,9) as neural_prediction from v_label""",
     "v_labelled": "select p.*, l.target from v_pred p join v_label l using (record_id)",
-    "v_fold": "select distinct fold_index from v_pred",
+    "v_fold": "select cast(unnest([0, 1, 2, 3, 4]) as int) as fold_index",
     "v_coef": """
 select f.fold_index as deployment_fold, p.record_id, p.descriptor_prediction, p.neural_prediction, l.target
 from v_pred p join v_label l on p.record_id=l.record_id join v_fold f on p.fold_index<>f.fold_index""",

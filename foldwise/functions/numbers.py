@@ -57,16 +57,16 @@ def display_text(value, decimals: int = 3) -> Column:
 
 
 def bin_index(value, edges) -> Column:
-    """Right-closed bin of a number; the lowest edge belongs to bin 0, the highest to the last bin.
+    """Right-closed bin of a number; the lowest edge belongs to bin 0, the highest to the last bin, a missing number to none.
 
     Written as a sum of comparisons so that it stays inside generated code.
     """
     edges = [float(edge) for edge in edges]
-    if len(edges) < 2:
-        return F.when(to_column(value).isNotNull(), F.lit(0))
     number = to_column(value)
+    if len(edges) < 2:
+        return F.when(~is_missing(number), F.lit(0))
     above = reduce(lambda a, b: a + b, [(number > F.lit(edge)).cast("int") for edge in edges])
-    return F.least(F.lit(len(edges) - 2), F.greatest(F.lit(0), above - 1))
+    return F.when(~is_missing(number), F.least(F.lit(len(edges) - 2), F.greatest(F.lit(0), above - 1)))
 
 
 def seed_schedule(base, fold, multiplier: int, offset: int = 0) -> Column:

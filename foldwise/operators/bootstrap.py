@@ -59,6 +59,11 @@ def _losses(df, observed, a, b, metric, by, key, seed):
     )
 
 
+def _group(by: list[str]) -> Column:
+    """One text per group, different for different groups, with a null apart from an empty text."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+
+
 def _summary(losses, replicates_table, metric, by, replicates, method) -> DataFrame:
     """Point estimate from the rows, interval from the replicates (at most ``replicates`` per group)."""
     point = losses.groupBy(*by).agg(
@@ -71,7 +76,10 @@ def _summary(losses, replicates_table, metric, by, replicates, method) -> DataFr
         F.avg("_delta").alias("bootstrap_mean"),
         F.percentile("_delta", F.array(*[F.lit(q) for q in limits])).alias("_q"),
     )
-    joined = point.join(draws, list(by)) if by else point.crossJoin(F.broadcast(draws))  # one row each
+    if by:  # null is a group like any other, so groups meet by their text
+        joined = point.withColumn("_group", _group(by)).join(draws.withColumn("_group", _group(by)).drop(*by), "_group")
+    else:
+        joined = point.crossJoin(F.broadcast(draws))  # one row each
     low, high = F.element_at("_q", 1), F.element_at("_q", 2)
     return joined.select(
         *by,
@@ -136,13 +144,14 @@ def paired_comparisons(
 
 
 def _hash_replicates(losses, replicates, metric, by, key):
-    ranked = hashed_rank(losses, order_hash(F.col("_seed"), key), key, by=tuple(by), name="_rank", total="_n")
-    rows = ranked.select(*by, (F.col("_rank") - 1).alias("_row"), "_n", "_seed", "_a", "_b")
+    grouped = losses.withColumn("_group", _group(by))
+    ranked = hashed_rank(grouped, order_hash(F.col("_seed"), key), key, by=("_group",), name="_rank", total="_n")
+    rows = ranked.select(*by, "_group", (F.col("_rank") - 1).alias("_row"), "_n", "_seed", "_a", "_b")
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
-    draws = rows.select(*by, "_n", "_seed", F.col("_row").alias("_draw"), each)
+    draws = rows.select("_group", "_n", "_seed", F.col("_row").alias("_draw"), each)
     text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("_seed", "_rep", "_draw")])
-    picked = draws.select(*by, "_rep", hash_below(text, F.col("_n")).alias("_row"))
-    joined = picked.join(rows.drop("_n", "_seed"), [*by, "_row"])
+    picked = draws.select("_group", "_rep", hash_below(text, F.col("_n")).alias("_row"))
+    joined = picked.join(rows.drop("_n", "_seed"), ["_group", "_row"])
     return joined.groupBy(*by, "_rep").agg(_difference(metric, F.avg("_a"), F.avg("_b")).alias("_delta"))
 
 
@@ -185,7 +194,7 @@ def block_sums(a: np.ndarray, b: np.ndarray, draws: np.ndarray, generator: np.ra
 
 
 def _multinomial_replicates(losses, replicates, metric, by, key):
-    group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
+    group = _group(by)
     # Counts of fine buckets, at most FINE_BUCKETS per group, are merged into blocks of a fair size.
     hashed = losses.select(
         *by, group.alias("_group"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), "_seed", "_a", "_b"
@@ -252,7 +261,7 @@ def poisson_weights(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
 
 def _poisson_replicates(losses, replicates, metric, by, key):
     by = list(by)
-    group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
+    group = _group(by)
     rows = losses.select(
         *by, group.alias("_group"), F.xxhash64(F.col(key).cast("string"), "_seed").alias("_hash"), "_a", "_b"
     )

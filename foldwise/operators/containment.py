@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_small, join_small
+from ..session import collect_small
 
 ANCHOR_WORDS = 5
 SPLIT = r"\s+"
@@ -77,7 +77,7 @@ def passage_overlap(
     pieces = split.select(document_key, F.explode(F.concat(*cut)).alias("_p")).select(
         document_key, "_p._kind", "_p._anchor"
     )
-    candidates = join_small(pieces, anchors, ["_kind", "_anchor"])
+    candidates = pieces.join(anchors, ["_kind", "_anchor"])
     candidates = candidates.select(document_key, item_key).distinct()
     verified = candidates.join(documents.select(document_key, body.alias("_text")), document_key)
     # Passages can be long, so the planner chooses this join by their bytes, not by their number.

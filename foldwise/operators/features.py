@@ -7,13 +7,14 @@ projection with literals, so prepared tables need no shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ from .checks import finite_violations, require_empty
 from .quantiles import exact_quantiles
 
 PROFILE_COLUMNS = 64
-PAIR_COLUMNS = 16
 
 
 @dataclass(frozen=True)
@@ -95,32 +95,43 @@ def profile_columns(df: DataFrame, columns: Iterable[str], ddof: int = 0) -> Dat
 
 
 def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Absolute Pearson correlation of each pair (earlier, later) in input order.
+    """Absolute Pearson correlation of each pair (earlier, later) in input order, over the rows that have both values.
 
-    Few columns: one aggregate of ``corr`` terms. Many: the ML correlation matrix, whose partial sums
-    are merged in a tree; its size depends on the columns only.
+    Values are centred at the column's mean; each task multiplies its batches into sums per pair, whose number
+    depends on the columns only, and the sums are added up by Spark. The rule is the same for any number of columns.
     """
-    spark = df.sparkSession
-    pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
+    size = len(columns)
     schema = "earlier string, later string, i int, j int, correlation double"
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    if len(columns) <= PAIR_COLUMNS:
-        structs = [
-            F.struct(
-                F.lit(columns[i]).alias("earlier"),
-                F.lit(columns[j]).alias("later"),
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.abs(F.corr(as_double(columns[i]), as_double(columns[j]))).alias("correlation"),
-            )
-            for i, j in pairs
-        ]
-        return df.agg(F.array(*structs).alias("_p")).select(F.inline("_p"))
-    vectors = df.select(array_to_vector(F.array(*[as_double(c) for c in columns])).alias("v"))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [(columns[i], columns[j], i, j, abs(float(matrix[i, j]))) for i, j in pairs]
-    return spark.createDataFrame(rows, schema)
+    if size < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    present = [F.when(~is_missing(c), as_double(c)) for c in columns]
+    means = [mean or 0.0 for mean in df.agg(*[F.avg(value) for value in present]).first()]
+    centred = df.select(*[(value - F.lit(mean)).alias(f"c{k}") for k, (value, mean) in enumerate(zip(present, means))])
+    upper = np.triu_indices(size, 1)
+
+    def partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((6, size, size))
+        for frame in frames:
+            values = frame.to_numpy(dtype=float)
+            has = (~np.isnan(values)).astype(float)
+            values = np.nan_to_num(values)
+            squares = values**2
+            for k, (a, b) in enumerate(((has, has), (values, has), (has, values), (squares, has), (has, squares), (values, values))):
+                sums[k] += a.T @ b
+        yield pd.DataFrame({"i": upper[0], "j": upper[1]} | {f"s{k}": sums[k][upper] for k in range(6)})
+
+    parts = centred.mapInPandas(partial_sums, "i int, j int, " + ", ".join(f"s{k} double" for k in range(6)))
+    total = parts.groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]).filter("s0 > 0")
+    n, x, y, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
+    spread = F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0)) * F.greatest(yy - y * y / n, F.lit(0.0)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return total.select(
+        F.get(names, F.col("i")).alias("earlier"),
+        F.get(names, F.col("j")).alias("later"),
+        "i",
+        "j",
+        F.when(spread > 0, F.abs(xy - x * y / n) / spread).alias("correlation"),
+    )
 
 
 def fit_feature_filter(df: DataFrame, columns: Iterable[str], config: FilterConfig = FilterConfig()) -> FeatureFilter:
@@ -131,7 +142,7 @@ def fit_feature_filter(df: DataFrame, columns: Iterable[str], config: FilterConf
     """
     columns = list(columns)
     if not columns or len(set(columns)) != len(columns):
-        raise ContractViolation("feature columns must be unique and not empty")
+        raise ContractViolation(f"name each feature column once: {sorted(c for c in set(columns) if columns.count(c) > 1)}")
     with held_table(df.select(*columns)) as held:
         decisions = _decide(held, columns, config)
     if all(s != "retained" for _, s in decisions):
@@ -162,7 +173,7 @@ def apply_feature_filter(df: DataFrame, fitted: FeatureFilter, kept: Iterable[st
     """Keep the retained columns as doubles; a missing column or a value that is not finite is an error."""
     absent = [c for c in fitted.retained if c not in df.columns]
     if absent:
-        raise ContractViolation(f"feature table is missing {len(absent)} retained columns")
+        raise ContractViolation(f"columns that the filter kept are absent: {absent[:10]}")
     kept = list(kept)
     if check:
         require_empty(finite_violations(df, kept, fitted.retained), "retained features must be finite")

@@ -11,7 +11,6 @@ from ..errors import ContractViolation
 from ..functions.numbers import is_finite, to_column
 from .checks import ensure_label_free, require_empty
 
-FLAT_DIGEST_ROWS = 1_000_000
 
 
 def text_key(keys: Iterable[str]) -> list[Column]:
@@ -171,12 +170,17 @@ def content_overlap(train: DataFrame, test: DataFrame, content) -> DataFrame:
 
 
 def override_labels(
-    base: DataFrame, other: DataFrame, tolerance: float, key: str = "record_id", target: str = "target"
+    base: DataFrame, other: DataFrame, tolerance: float, key: str = "record_id", target: str = "target", complete: bool = False
 ) -> DataFrame:
     """Take the label of a second source where it has one; ``delta`` is the absolute change.
 
-    Rows whose change is larger than the tolerance (or not finite) are marked ``rejected``.
+    Rows whose change is larger than the tolerance (or not finite) are marked ``rejected``. The second source
+    may name a record once; with ``complete`` it has to name every record of the first, and no other.
     """
+    repeated = other.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    require_empty(repeated, "the second label source repeats records")
+    if complete:
+        require_empty(population_diff(base, other, [key], [key]), "the two label sources do not hold the same records")
     second = other.select(key, F.col(target).alias("_other"))
     joined = base.join(second, key, "left")
     delta = F.abs(F.col(target) - F.col("_other"))
@@ -239,21 +243,6 @@ def fingerprint(df: DataFrame, by: Iterable[str] = (), line="record_id", name: s
     return level.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(joined, 256).alias(name))
 
 
-def fingerprint_flat(
-    df: DataFrame, by: Iterable[str] = (), line="record_id", max_rows: int = FLAT_DIGEST_ROWS, name: str = "digest"
-) -> DataFrame:
-    """SHA-256 of the sorted lines, each ended by a newline, for digests recorded elsewhere.
-
-    Such a digest is sequential, so it is computed only for groups whose size is checked first; larger
-    groups need :func:`fingerprint`.
-    """
-    by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    require_empty(sizes.filter(F.col("n") > max_rows), "group too large for a sequential digest")
-    ended = F.transform(F.array_sort(F.collect_list(to_column(line).cast("string"))), lambda x: F.concat(x, F.lit("\n")))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ended, ""), 256).alias(name))
-
-
 def top_k_per_key(
     df: DataFrame, keys: Iterable[str], score: Iterable[Column | str], k: int, name: str = "rank"
 ) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import ContractViolation
 from ..functions.hashing import uniform
 from ..functions.numbers import is_finite
-from ..session import collect_small
+from ..session import collect_small, shared_folder
 from .aggregates import mean_members_wide, nested_summary
 from .checks import finite_violations, key_violations
 from .features import FeatureFilter, FilterConfig, apply_feature_filter
@@ -66,7 +66,10 @@ SEARCH_SPACES = {
 # Trials per search space.
 TRIALS = {"native": 24, "global": 36, "supplied": 16}
 
-GBT_PARAMETERS = ("n_estimators", "learning_rate", "max_depth", "min_child_weight", "subsample")
+GBT_PARAMETERS = ("n_estimators", "learning_rate", "max_depth", "min_child_weight", "subsample", "colsample_bytree")
+# Spark ML's trees have no penalty on leaf values: these are recorded with a candidate and have no effect on its fit.
+WITHOUT_EFFECT = ("reg_alpha", "reg_lambda")
+CHECKPOINT_TREES = 10
 
 
 def _draw(rule: Sequence, u: Column) -> Column:
@@ -98,12 +101,20 @@ def candidate_grid(units: DataFrame, space: Mapping[str, Sequence], trials: int,
     return rows.withColumns(drawn).drop("_seed")
 
 
+def check_trials(trials: Sequence[int]) -> None:
+    """Trials are told apart by their number."""
+    wrong = sorted(t for t in set(trials) if t < 0 or list(trials).count(t) > 1)
+    if wrong:
+        raise ContractViolation(f"trial numbers are negative or repeated: {wrong}")
+
+
 def gbt_parameters(parameters: Mapping[str, float]) -> dict:
     """Parameters in Spark ML's terms; one without a twin is refused.
 
-    With squared error each row weighs one, so a minimum child weight is a minimum row count.
+    With squared error each row weighs one, so a minimum child weight is a minimum row count. Penalties on leaf
+    values are accepted, so that a whole search space can be fitted, and have no effect.
     """
-    unknown = sorted(set(parameters) - set(GBT_PARAMETERS) - {"trial"})
+    unknown = sorted(set(parameters) - set(GBT_PARAMETERS) - set(WITHOUT_EFFECT) - {"trial"})
     if unknown:
         raise ContractViolation(f"no Spark ML counterpart for parameters {unknown}")
     values = {}
@@ -117,6 +128,8 @@ def gbt_parameters(parameters: Mapping[str, float]) -> dict:
         values["minInstancesPerNode"] = max(1, math.ceil(float(parameters["min_child_weight"])))
     if "subsample" in parameters:
         values["subsamplingRate"] = float(parameters["subsample"])
+    if "colsample_bytree" in parameters:  # the share of columns is drawn per node there
+        values["featureSubsetStrategy"] = str(float(parameters["colsample_bytree"]))
     return values
 
 
@@ -130,6 +143,7 @@ def fit_gbt(
     tolerance: float = 0.01,
 ) -> PipelineModel:
     """Boosted regression trees; with a boolean validation column, stops when that part stops improving."""
+    shared_folder(df.sparkSession)  # the residuals' lineage grows with every tree and is cut there
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     options = {"validationIndicatorCol": validation, "validationTol": float(tolerance)} if validation else {}
     trees = GBTRegressor(
@@ -137,6 +151,7 @@ def fit_gbt(
         labelCol=target,
         predictionCol="prediction",
         seed=int(seed),
+        checkpointInterval=CHECKPOINT_TREES,
         **gbt_parameters(parameters),
         **options,
     )
@@ -175,10 +190,9 @@ def search_trials(
     (rmse, trial).
     """
     if not candidates:
-        raise ContractViolation("candidate collection cannot be empty")
+        raise ContractViolation("nothing to fit: no candidates given")
     trials = [int(c.get("trial", i)) for i, c in enumerate(candidates)]
-    if len(set(trials)) != len(trials) or min(trials) < 0:
-        raise ContractViolation("candidate trial identifiers must be unique non-negative integers")
+    check_trials(trials)
     rows = df.filter(F.col(role).isin("fit", "selection")).withColumn("_validation", F.col(role) == "selection").persist()
 
     def run(position: int):
@@ -220,16 +234,15 @@ def search_nested(
     the seed ``base_seed + trial`` in all inner folds. Choose with :func:`select_nested`.
     """
     if not candidates or not units:
-        raise ContractViolation("a nested search needs candidates and inner folds")
+        raise ContractViolation(f"nothing to search: {len(candidates)} candidates over {len(units)} inner folds")
     trials = [int(c.get("trial", i)) for i, c in enumerate(candidates)]
-    if len(set(trials)) != len(trials) or min(trials) < 0:
-        raise ContractViolation("candidate trial identifiers must be unique non-negative integers")
+    check_trials(trials)
     parameters = {}
     for trial, source in zip(trials, candidates):
         chosen = {k: v for k, v in source.items() if k != "trial"}
         if tree_budget is not None:
             if "n_estimators" in chosen:
-                raise ContractViolation("a tree budget conflicts with a candidate's n_estimators")
+                raise ContractViolation(f"trial {trial} brings n_estimators although tree_budget sets it")
             chosen["n_estimators"] = int(tree_budget)
         parameters[trial] = chosen
     spark = next(iter(units.values()))[0].sparkSession

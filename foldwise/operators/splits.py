@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractViolation
 from ..functions.hashing import order_hash
 from ..functions.numbers import bin_index, is_missing
-from ..session import collect_small, join_small, kept
+from ..session import collect_small, reliable_checkpoint
 from .quantiles import exact_quantiles
 from .ranking import hashed_rank
 
@@ -133,10 +133,13 @@ def holdout_quotas(counts: DataFrame, bin_column: str, fraction: float, by: Iter
     a, b = share.numerator, share.denominator
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sized = counts.withColumn("_total", F.sum("n").over(whole))
-    sized = sized.withColumn("_want", F.floor((F.col("_total") * a + (b - 1)) / b))
-    sized = sized.withColumn("_floor", F.floor(F.col("_want") * F.col("n") / F.col("_total")))
+    # products of two row counts do not fit into 64 bits, and a double would round them
+    wide = {name: f"cast({name} as decimal(19, 0))" for name in ("n", "_total")}
+    sized = sized.withColumn("_want", F.expr(f"cast((_total div {b}) * {a} + ((_total % {b}) * {a} + {b - 1}) div {b} as bigint)"))
+    product = f"cast(_want as decimal(19, 0)) * {wide['n']}"
+    sized = sized.withColumn("_floor", F.expr(f"cast(({product}) div {wide['_total']} as bigint)"))
     # remainders compared as integers: want * n mod total
-    sized = sized.withColumn("_rest", (F.col("_want") * F.col("n")) % F.col("_total"))
+    sized = sized.withColumn("_rest", F.expr(f"cast(({product}) % {wide['_total']} as bigint)"))
     sized = sized.withColumn("_open", F.col("_want") - F.sum("_floor").over(whole))
     turn = F.row_number().over(whole.orderBy(F.desc("_rest"), bin_column))
     quota = F.col("_floor") + F.when(turn <= F.col("_open"), F.lit(1)).otherwise(F.lit(0))
@@ -158,7 +161,7 @@ def stratified_holdout(
     quotas = holdout_quotas(counts, bin_column, fraction, by)
     order = seed if isinstance(seed, Column) else F.lit(str(seed))
     ranked = hashed_rank(df, order_hash(order, key), key, by=(*by, bin_column), name="_rank")
-    joined = join_small(ranked, quotas, [*by, bin_column], "left")
+    joined = ranked.join(quotas, [*by, bin_column], "left")
     return joined.withColumn(name, F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
 
 
@@ -202,11 +205,11 @@ def group_split(
     A hot group needs no single task: members are only joined to the one row of their group.
     """
     means = df.groupBy(group).agg(F.round(F.avg(target), EDGE_DECIMALS).alias("_mean"))
-    with kept(means) as held:
-        binned = adaptive_bins(held, "_mean", highest, lowest, min_rows, name="_bin")
-        sides = stratified_holdout(binned, "_bin", fraction, seed, key=group)
-        side = F.when(F.col("held_out"), F.lit("score")).otherwise(F.lit("fit"))
-        return join_small(df, sides.select(group, side.alias("side")), group, "left")
+    # the means are read for the edges, the counts and the result, so they are written once
+    binned = adaptive_bins(reliable_checkpoint(means), "_mean", highest, lowest, min_rows, name="_bin")
+    sides = stratified_holdout(binned, "_bin", fraction, seed, key=group)
+    side = F.when(F.col("held_out"), F.lit("score")).otherwise(F.lit("fit"))
+    return df.join(sides.select(group, side.alias("side")), group, "left")
 
 
 def nested_folds(partitions: DataFrame, key: str = "record_id", fold: str = "fold_index", role: str = "role") -> DataFrame:

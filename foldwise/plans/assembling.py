@@ -25,7 +25,7 @@ POLICIES = ("fixed_half", "crossfit", "per_split", "single")
 
 
 _UNBOUND = "coefficient predictions and labels must match one to one and be finite"
-_OVERLAP = "coefficient rows overlap the rows scored by the same deployed model"
+_OVERLAP = "a model was scored on records that its own coefficient was fitted on (overlap)"
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
 from ..functions.numbers import is_finite
-from ..operators.checks import ROLES, domain_violations, require_empty, trimmed
+from ..operators.checks import ROLES, domain_violations, finite_violations, require_empty, trimmed
 from ..operators.keys import override_labels
 from ..operators.splits import (
     bin_round_robin,
@@ -112,6 +112,7 @@ def prepare_shuffled(records: DataFrame, folds: int, seed: int, reserved_fractio
 
 def prepare_stratified(labels: DataFrame, folds: int, bins: int, seed: int, target: str = "target") -> DataFrame:
     """Folds that are stratified by target quantiles; rows are scored once and fit otherwise."""
+    require_empty(finite_violations(labels, ["record_id"], [target]), "records without a finite target cannot be stratified")
     binned = quantile_bins(labels.select("record_id", target), target, bins)
     assigned = stratified_kfold(binned, "bin", folds, seed)
     return expand_folds(assigned, range(folds), held_out_role()).select("record_id", "fold_index", "role")
@@ -131,6 +132,7 @@ def prepare_round_robin(
 
     ``role_map`` turns them into contract roles.
     """
+    require_empty(finite_violations(labels, ["record_id"], [target]), "records without a finite target cannot be stratified")
     binned = quantile_bins(labels.select("record_id", target), target, bins).drop(target)
     assigned = bin_round_robin(binned, "bin", folds, seed)
     expanded = expand_folds(assigned, range(folds), held_out_role()).drop("assigned_fold")

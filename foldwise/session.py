@@ -6,7 +6,6 @@ import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .errors import ContractViolation
 
@@ -49,16 +48,6 @@ def kept(df: DataFrame):
         held.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of the rows before a pass that is heavy on the processor.
-
-    A table in fewer files than the cluster has cores is read by as few tasks, however long they take
-    per row. Such a (small) table is dealt out evenly; any other is left as the scan delivers it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -87,14 +76,3 @@ def collect_small(df: DataFrame, max_rows: int = SMALL_ROWS, what: str = "table"
     if len(rows) > max_rows:
         raise ContractViolation(f"{what} has more than {max_rows} rows and cannot be read on the driver")
     return rows
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join with a table expected to be small: broadcast once its size is known, else shuffle.
-
-    The small side is computed once, so the big side is never shuffled when the check holds.
-    """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return big.join(small, on, how)
-    return big.join(F.broadcast(big.sparkSession.createDataFrame(rows, small.schema)), on, how)

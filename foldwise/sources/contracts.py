@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from ..errors import ContractViolation
 from ..operators.checks import require_empty
 from ..operators.keys import missing_ids, rows_in
-from ..session import join_small
 
 
 def read_contract(
@@ -17,17 +16,19 @@ def read_contract(
 ) -> DataFrame:
     """Read a table whose columns, in order, and types are given; optionally its row count.
 
-    CSV fields that do not fit their type fail the read, and so does any other header; a byte order
-    mark is tolerated. For Parquet the file schema must equal the contract, and only the columns used
+    CSV fields that do not fit their type fail the read at once, and so does any other header in any file of a
+    folder; a byte order mark is tolerated. For Parquet the file schema must equal the contract, and only the columns used
     later are read.
     """
     if file_format == "csv":
-        header = spark.read.option("header", True).csv(path).columns
-        header = [name.lstrip("﻿") for name in header]
-        if header != schema.fieldNames():
-            raise ContractViolation(f"header {header} differs from the contract {schema.fieldNames()}")
-        reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-        df = reader.option("enforceSchema", True).csv(path)
+        require_headers(spark, path, schema.fieldNames())
+        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
+        # every contracted field is parsed once, also those that no later step reads
+        parsed = df.select(F.struct(*schema.fieldNames()).alias("row")).agg(F.count("row").alias("rows"), F.bit_xor(F.xxhash64("row")))
+        found = parsed.first()["rows"]
+        if rows is not None and found != rows:
+            raise ContractViolation(f"{path} has {found} rows instead of {rows}")
+        return df
     elif file_format == "parquet":
         df = spark.read.parquet(path)
         found = [(f.name, f.dataType.simpleString()) for f in df.schema]
@@ -41,6 +42,23 @@ def read_contract(
     return df
 
 
+def require_headers(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Each CSV file begins with these column names: the first line of every file, in one pass over first lines only."""
+    lines = spark.read.option("wholetext", False).text(path)
+    first = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    ).filter("start = 0")
+    heads = first.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    named = F.regexp_replace("head", "^\ufeff|\r$", "")
+    wrong = heads.select("file", named.alias("head")).filter(~F.col("head").isin(_header_lines(names)))
+    require_empty(wrong, f"CSV headers differ from the contract {names}")
+
+
+def _header_lines(names: list[str]) -> list[str]:
+    """The header as it may be written: bare or with every name in quotes."""
+    return [",".join(names), ",".join(f'"{name}"' for name in names)]
+
+
 def table_shapes(tables: dict[str, DataFrame]) -> DataFrame:
     """Name, rows and columns of each table; counts come from file metadata where the format has it."""
     parts = [
@@ -70,4 +88,4 @@ def align_vectors(
         counted = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         status = ids.select(key).join(counted, key, "left").filter(F.coalesce("n", F.lit(0)) != 1)
         require_empty(status, "vectors are missing or repeated")
-    return join_small(vectors.select(key, vector), ids.select(key, order), key)
+    return vectors.select(key, vector).join(ids.select(key, order), key)

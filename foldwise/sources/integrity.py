@@ -12,14 +12,16 @@ MAX_FILE_BYTES = 2**31 - 1
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, sha256 and bytes of every file below a folder; one file per row, hashed where it is read."""
+    """name (path below the folder), sha256 and bytes of every file; one file per row, hashed where it is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     # Listing without the content column reads no bytes.
     large = files.select("path", "length").filter(F.col("length") > MAX_FILE_BYTES).limit(5).collect()
     if large:
         raise ContractViolation(f"files too large for one binary value; fingerprint their rows instead: {large}")
+    # paths come back with a scheme in front, so the folder is cut off at its own, absolute path
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.substring_index("path", root, -1).alias("name"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("bytes"),
     )

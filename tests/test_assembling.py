@@ -1,3 +1,6 @@
+"""Assemblies on random folds and weights: the weights come back, and blends equal a plain computation."""
+
+import numpy as np
 import pytest
 
 from foldwise import ContractViolation
@@ -6,105 +9,110 @@ from foldwise.plans.assembling import Evaluation, assemble, fit_coefficients, sc
 SCORED = "record_id string, fold_index int, descriptor_prediction double, neural_prediction double"
 COEF = "deployment_fold int, record_id string, descriptor_prediction double, neural_prediction double"
 LABELS = "deployment_fold int, record_id string, target double"
-
-
-def coefficient_rows(spark, folds, alphas):
-    predictions, labels = [], []
-    for fold, alpha in zip(folds, alphas):
-        for i, direction in enumerate((1.0, 2.0)):
-            predictions.append((fold, f"c{fold}_{i}", 0.0, direction))
-            labels.append((fold, f"c{fold}_{i}", alpha * direction))
-    return spark.createDataFrame(predictions, COEF), spark.createDataFrame(labels, LABELS)
-
-
-def blends(assembly):
-    return {r["record_id"]: r["blend"] for r in assembly.predictions.collect()}
-
-
-def test_fixed_half_takes_no_coefficient_tables(spark):
-    evaluation = Evaluation((0, 1), "fixed_half", "one_held_out", 2)
-    scored = spark.createDataFrame([("a", 0, 0.0, 2.0), ("b", 1, 2.0, 4.0)], SCORED)
-    result = assemble(evaluation, scored)
-    assert blends(result) == {"a": 1.0, "b": 3.0}
-    assert [r["alpha"] for r in result.coefficients.collect()] == [0.5, 0.5]
+PREDICTED = "record_id string, descriptor_prediction double, neural_prediction double, blend double"
+
+
+class Study:
+    """Random predictions of records in folds, and for each weight the coefficient rows that determine it."""
+
+    def __init__(self, spark, seed, folds, records=12, repeats=False):
+        self.spark, rng = spark, np.random.default_rng(seed)
+        self.folds = folds
+        self.weights = dict(zip(folds, rng.uniform(0, 1, len(folds)).tolist()))
+        homes = [(f"r{i}", fold) for i in range(records) for fold in (folds if repeats else [folds[i % len(folds)]])]
+        self.rows = [(name, fold, *rng.normal(size=2).tolist()) for name, fold in homes]
+        self.scored = spark.createDataFrame(self.rows, SCORED)
+
+    def coefficients(self, folds=None, name=lambda fold, i: f"fit{fold}_{i}"):
+        rng = np.random.default_rng(99)
+        predictions, labels = [], []
+        for fold in self.folds if folds is None else folds:
+            for i in range(5):
+                a, b = rng.normal(size=2).tolist()
+                predictions.append((fold, name(fold, i), a, b))
+                labels.append((fold, name(fold, i), a + self.weights[fold] * (b - a)))
+        return self.spark.createDataFrame(predictions, COEF), self.spark.createDataFrame(labels, LABELS)
+
+    def mean_of(self, value):
+        found = {}
+        for name, fold, a, b in self.rows:
+            found.setdefault(name, []).append(value(fold, a, b))
+        return {name: float(np.mean(values)) for name, values in found.items()}
+
+
+def blends(result):
+    return {row["record_id"]: row["blend"] for row in result.predictions.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weights_of_each_fold_come_back_and_blend_its_records(spark, seed):
+    study = Study(spark, seed, [3, 5, 8])
+    evaluation = Evaluation(tuple(study.folds), "crossfit", "one_held_out", 12)
+    fitted = fit_coefficients(evaluation, study.scored, *study.coefficients())
+    assert {row[0]: row[1] for row in fitted.collect()} == pytest.approx(study.weights)
+    expected = study.mean_of(lambda fold, a, b: a + study.weights[fold] * (b - a))
+    assert blends(assemble(evaluation, study.scored, *study.coefficients())) == pytest.approx(expected)
+
+
+def test_halves_need_no_coefficient_rows_and_take_none(spark):
+    study = Study(spark, 3, [0, 1])
+    evaluation = Evaluation((0, 1), "fixed_half", "one_held_out", 12)
+    assert blends(assemble(evaluation, study.scored)) == pytest.approx(study.mean_of(lambda fold, a, b: (a + b) / 2))
     with pytest.raises(ContractViolation):
-        fit_coefficients(evaluation, scored, *coefficient_rows(spark, (0, 1), (0.5, 0.5)))
+        fit_coefficients(evaluation, study.scored, *study.coefficients())
 
 
-def test_crossfit_weights_belong_to_their_fold(spark):
-    evaluation = Evaluation((0, 1), "crossfit", "one_held_out", 2)
-    scored = spark.createDataFrame([("a", 0, 0.0, 10.0), ("b", 1, 0.0, 10.0)], SCORED)
-    result = assemble(evaluation, scored, *coefficient_rows(spark, (0, 1), (0.25, 0.75)))
-    assert blends(result) == pytest.approx({"a": 2.5, "b": 7.5})
+def test_means_over_splits_blend_before_the_mean(spark):
+    study = Study(spark, 4, [2, 4, 6], records=5, repeats=True)
+    each = Evaluation((2, 4, 6), "per_split", "mean_over_splits", 5)
+    expected = study.mean_of(lambda fold, a, b: a + study.weights[fold] * (b - a))
+    assert blends(assemble(each, study.scored, *study.coefficients())) == pytest.approx(expected)
+    one = Evaluation((2, 4, 6), "single", "mean_over_splits", 5)
+    study.weights[0] = 0.3  # a single weight is filed under fold 0
+    expected = study.mean_of(lambda fold, a, b: a + 0.3 * (b - a))
+    rows = assemble(one, study.scored, *study.coefficients([0])).predictions.collect()
+    assert {row["record_id"]: row["blend"] for row in rows} == pytest.approx(expected)
+    assert {row["record_id"]: row["neural_prediction"] for row in rows} == pytest.approx(study.mean_of(lambda fold, a, b: b))
 
 
-def test_rows_of_other_folds_are_allowed_and_of_the_same_fold_refused(spark):
-    evaluation = Evaluation((0, 1), "crossfit", "one_held_out", 2)
-    scored = spark.createDataFrame([("a", 0, 0.0, 1.0), ("b", 1, 0.0, 1.0)], SCORED)
-    predictions = spark.createDataFrame([(0, "b", 0.0, 1.0), (1, "a", 0.0, 1.0)], COEF)
-    labels = spark.createDataFrame([(0, "b", 0.4), (1, "a", 0.6)], LABELS)
-    fitted = {r[0]: r[1] for r in fit_coefficients(evaluation, scored, predictions, labels).collect()}
-    assert fitted == pytest.approx({0: 0.4, 1: 0.6})
-    bad = spark.createDataFrame([(0, "a", 0.0, 1.0), (1, "a", 0.0, 1.0)], COEF)
-    bad_labels = spark.createDataFrame([(0, "a", 0.4), (1, "a", 0.6)], LABELS)
-    with pytest.raises(ContractViolation, match="overlap"):
-        fit_coefficients(evaluation, scored, bad, bad_labels)
+def test_a_full_refit_has_one_weight_and_one_row_per_record(spark):
+    study = Study(spark, 5, [0], records=7)
+    expected = study.mean_of(lambda fold, a, b: a + study.weights[0] * (b - a))
+    assert blends(assemble(Evaluation((0,), "single", "full_refit", 7), study.scored, *study.coefficients())) == pytest.approx(expected)
 
 
-def test_a_missing_deployment_fold_is_refused(spark):
-    evaluation = Evaluation((0, 1), "crossfit", "one_held_out", 2)
-    scored = spark.createDataFrame([("a", 0, 0.0, 1.0), ("b", 1, 0.0, 1.0)], SCORED)
+def test_coefficients_of_a_model_must_not_rest_on_its_scored_records(spark):
+    study = Study(spark, 6, [0, 1])
+    evaluation = Evaluation((0, 1), "crossfit", "one_held_out", 12)
+    others = study.coefficients(name=lambda fold, i: f"r{2 * i + 1 - fold}")  # records of the other fold
+    assert {row[0]: row[1] for row in fit_coefficients(evaluation, study.scored, *others).collect()} == pytest.approx(study.weights)
+    with pytest.raises(ContractViolation, match="overlap"):
+        fit_coefficients(evaluation, study.scored, *study.coefficients(name=lambda fold, i: f"r{2 * i + fold}"))
     with pytest.raises(ContractViolation, match="deployment folds"):
-        assemble(evaluation, scored, *coefficient_rows(spark, (0,), (0.5,)))
+        assemble(evaluation, study.scored, *study.coefficients([1]))
 
 
-def test_single_weight_before_the_mean(spark):
-    evaluation = Evaluation((0, 1), "single", "mean_over_splits", 1)
-    scored = spark.createDataFrame([("a", 0, 0.0, 4.0), ("a", 1, 4.0, 8.0)], SCORED)
-    row = assemble(evaluation, scored, *coefficient_rows(spark, (0,), (0.25,))).predictions.first()
-    assert (row["descriptor_prediction"], row["neural_prediction"], row["blend"]) == pytest.approx((2.0, 6.0, 3.0))
-
-
-def test_per_split_blend_comes_before_the_mean(spark):
-    evaluation = Evaluation((1, 2), "per_split", "mean_over_splits", 1)
-    scored = spark.createDataFrame([("a", 1, 0.0, 10.0), ("a", 2, 0.0, 30.0)], SCORED)
-    row = assemble(evaluation, scored, *coefficient_rows(spark, (1, 2), (0.0, 1.0))).predictions.first()
-    assert (row["descriptor_prediction"], row["neural_prediction"]) == pytest.approx((0.0, 20.0))
-    assert row["blend"] == pytest.approx(15.0)
-
-
-def test_full_refit(spark):
-    evaluation = Evaluation((0,), "single", "full_refit", 1)
-    scored = spark.createDataFrame([("a", 0, 2.0, 6.0)], SCORED)
-    assert blends(assemble(evaluation, scored, *coefficient_rows(spark, (0,), (0.75,)))) == {"a": 5.0}
-
-
-@pytest.mark.parametrize(
-    "rows",
-    [
-        [("a", 1, 0.0, 1.0)],
-        [("a", 1, 0.0, 1.0), ("a", 1, 0.0, 1.0)],
-        [("a", 1, 0.0, 1.0), ("a", 2, 0.0, float("nan"))],
-        [("a", 1, 0.0, 1.0), ("a", 3, 0.0, 1.0)],
-    ],
-)
-def test_broken_scored_tables_are_refused(spark, rows):
-    evaluation = Evaluation((1, 2), "per_split", "mean_over_splits", 1)
+@pytest.mark.parametrize("fault", ["dropped", "repeated", "not finite", "foreign fold"])
+def test_broken_scored_tables_are_refused(spark, fault):
+    study = Study(spark, 7, [1, 2], records=4, repeats=True)
+    name, fold, a, b = study.rows[-1]
+    last = {"dropped": [], "repeated": [study.rows[-1]] * 2, "not finite": [(name, fold, a, float("inf"))], "foreign fold": [(name, 9, a, b)]}
+    broken = spark.createDataFrame(study.rows[:-1] + last[fault], SCORED)
     with pytest.raises(ContractViolation):
-        assemble(evaluation, spark.createDataFrame(rows, SCORED), *coefficient_rows(spark, (1, 2), (0.5, 0.5)))
+        assemble(Evaluation((1, 2), "per_split", "mean_over_splits", 4), broken, *study.coefficients())
 
 
-def test_score_is_exact_and_repeatable(spark):
-    predictions = spark.createDataFrame(
-        [("b", 2.0, 0.0, 1.0), ("a", 0.0, 2.0, 1.0)],
-        "record_id string, descriptor_prediction double, neural_prediction double, blend double",
-    )
-    labels = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "record_id string, target double")
-    first, second = (score(predictions, labels, seed=17, replicates=100) for _ in range(2))
+def test_scores_equal_a_plain_computation_and_repeat(spark):
+    rng = np.random.default_rng(8)
+    table, target = rng.normal(size=(30, 3)), rng.normal(size=30)
+    predictions = spark.createDataFrame([(f"r{i}", *row) for i, row in enumerate(table.tolist())], PREDICTED)
+    labels = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(target.tolist())], "record_id string, target double")
+    first, second = (score(predictions, labels, seed=40, replicates=60) for _ in range(2))
     assert sorted(first.paired.collect()) == sorted(second.paired.collect())
-    assert {r["predictor"]: r["rmse"] for r in first.metrics.collect()}["blend"] == 0.0
-    assert sorted(r["seed"] for r in first.paired.collect()) == [17, 18]
-    with pytest.raises(ContractViolation):
-        score(predictions, labels.filter("record_id = 'a'"), replicates=10)
-    with pytest.raises(ContractViolation):
-        score(predictions.drop("blend"), labels, replicates=10)
+    found = {row["predictor"]: row["rmse"] for row in first.metrics.collect()}
+    names = ["descriptor_prediction", "neural_prediction", "blend"]
+    assert found == pytest.approx({n: float(np.sqrt(np.mean((table[:, k] - target) ** 2))) for k, n in enumerate(names)})
+    assert len({row["seed"] for row in first.paired.collect()}) == first.paired.count()
+    for wrong in ((predictions, labels.filter("record_id <> 'r3'")), (predictions.drop("blend"), labels)):
+        with pytest.raises(ContractViolation):
+            score(*wrong, replicates=5)

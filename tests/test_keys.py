@@ -71,11 +71,6 @@ def test_fingerprints(spark):
     assert a == b and [x[1] for x in a] == [500, 400]
     fewer = spark.createDataFrame(rows[:-1], df.schema)
     assert sorted(map(tuple, keys.fingerprint(fewer, ["stage"]).collect()))[1][2] != a[1][2]
-    flat = {r["stage"]: r["digest"] for r in keys.fingerprint_flat(df, ["stage"]).collect()}
-    lines = sorted(r for s, r in rows if s == "s")
-    assert flat["s"] == hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
-    with pytest.raises(ContractViolation):
-        keys.fingerprint_flat(df, ["stage"], max_rows=450)
 
 
 def test_top_first_and_union(spark):
@@ -143,3 +138,14 @@ def test_edges_keep_listed_and_give_loops_to_lonely_groups(spark):
     listed = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c")], "label string, source string, target string")
     found = sorted(tuple(r) for r in proximity_edges(nodes, listed, 1.5).select("label", "source", "target", "kind").collect())
     assert found == [("g", "a", "b", "listed"), ("g", "b", "a", "proximity"), ("g", "b", "c", "listed"), ("h", "d", "d", "self")]
+
+
+def test_a_second_label_source_names_each_record_once(spark):
+    base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "record_id string, target double")
+    repeated = spark.createDataFrame([("a", 1.0), ("a", 1.1)], base.schema)
+    with pytest.raises(ContractViolation, match="repeats"):
+        keys.override_labels(base, repeated, 0.5)
+    part = spark.createDataFrame([("a", 1.25)], base.schema)
+    assert keys.override_labels(base, part, 0.5).count() == 2
+    with pytest.raises(ContractViolation, match="same records"):
+        keys.override_labels(base, part, 0.5, complete=True)

@@ -1,4 +1,6 @@
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,26 +25,33 @@ from foldwise.plans.comparing import comparator_report
 NESTED = "trial int, inner_validation_fold int, n bigint, sse double, rmse double, mae double, best_iteration int"
 
 
-def test_ties_go_to_the_lower_trial(spark):
-    df = spark.createDataFrame([(4, 0.8, 10), (2, 0.8, 20), (7, 0.9, 30)], "trial int, rmse double, best_iteration int")
-    row = select_trial(df).first()
-    assert (row["trial"], row["best_iteration"]) == (2, 20)
+def test_the_smallest_error_wins_and_ties_go_to_the_lower_trial(spark):
+    rng = random.Random(21)
+    for _ in range(3):
+        rows = [(trial, rng.choice([0.25, 0.5, 0.75]), rng.randrange(50)) for trial in rng.sample(range(90), 12)]
+        row = select_trial(spark.createDataFrame(rows, "trial int, rmse double, best_iteration int")).first()
+        assert (row["rmse"], row["trial"], row["best_iteration"]) == min((e, t, b) for t, e, b in rows)
 
 
 def test_nested_selection_pools_squared_errors(spark):
-    rows = [
-        (0, 1, 1, 0.01, 0.1, 0.1, 9),
-        (0, 2, 9, 8.91, math.sqrt(0.99), 0.8, 19),
-        (1, 1, 1, 0.81, 0.9, 0.9, 29),
-        (1, 2, 9, 0.81, 0.3, 0.3, 39),
-    ]
+    rng = random.Random(22)
+    sizes = {fold: rng.randint(1, 40) for fold in range(5)}
+    rows = []
+    for trial in range(7):
+        for fold, n in sizes.items():
+            sse = rng.uniform(0, 3) * n
+            rows.append((trial, fold, n, sse, math.sqrt(sse / n), rng.random(), rng.randrange(60)))
     df = spark.createDataFrame(rows, NESTED)
+    pooled = {t: math.sqrt(sum(r[3] for r in rows if r[0] == t) / sum(sizes.values())) for t in range(7)}
+    best = min(pooled, key=pooled.get)
+    kept = [r[6] for r in sorted(r for r in rows if r[0] == best)]
     row = select_nested(df).first()
-    assert row["trial"] == 1 and row["final_tree_count"] == 35 and row["inner_best_iterations"] == [29, 39]
-    assert row["pooled_inner_rmse"] == pytest.approx(math.sqrt(0.162))
+    assert row["trial"] == best and row["inner_best_iterations"] == kept
+    assert row["pooled_inner_rmse"] == pytest.approx(pooled[best])
+    assert row["final_tree_count"] == math.floor(statistics.median(k + 1 for k in kept))
     assert trial_problems(df, nested=True).count() == 0
-    odd = select_nested(spark.createDataFrame([(0, 1, 1, 0.1, 0.1, 0.1, 29), (0, 2, 1, 0.1, 0.1, 0.1, 40)], NESTED)).first()
-    assert odd["final_tree_count"] == 35
+    two = select_nested(df.filter(f"trial = {best} and inner_validation_fold < 2")).first()
+    assert two["final_tree_count"] == math.floor((kept[0] + kept[1]) / 2 + 1)
 
 
 def test_broken_trial_records_are_found(spark):
@@ -71,7 +80,7 @@ def test_grids_respect_their_bounds(spark):
 def test_parameters_without_a_twin_are_refused():
     assert gbt_parameters({"trial": 3, "min_child_weight": 2.2, "max_depth": 4}) == {"minInstancesPerNode": 3, "maxDepth": 4}
     with pytest.raises(ContractViolation):
-        gbt_parameters({"reg_lambda": 1.0})
+        gbt_parameters({"gamma": 1.0})
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +165,14 @@ def test_nested_fold_end_to_end(spark, tmp_path):
     selected, _ = run_fold(unit, [{"n_estimators": 2, "max_depth": 2}], 3)
     refitted, _ = run_fold(unit, [{"n_estimators": 2, "max_depth": 2}], 3, [5, 6], str(tmp_path / "refit"))
     assert selected.count() == refitted.count() == 30
+
+
+def test_every_drawn_candidate_can_be_fitted(spark):
+    units = spark.createDataFrame([(0,)], "fold_index int")
+    for name, space in SEARCH_SPACES.items():
+        for row in candidate_grid(units, space, 3, F.lit(5)).collect():
+            drawn = {k: v for k, v in row.asDict().items() if k not in ("fold_index", "trial")}
+            values = gbt_parameters(drawn)
+            assert 0 < float(values["featureSubsetStrategy"]) <= 1, name
+    with pytest.raises(ContractViolation):
+        gbt_parameters({"gamma": 1.0})
