@@ -22,7 +22,7 @@ from ..operators.aggregates import (
     pivot_members,
 )
 from ..operators.blending import blend, fit_alpha
-from ..operators.bootstrap import paired_bootstrap, subgroup_bootstrap
+from ..operators.bootstrap import _poisson_table, paired_bootstrap, subgroup_bootstrap
 from ..operators.metrics import band, regression_metrics, subgroup_metrics, unpivot_axes
 from ..operators.reports import display_differences, flag_lowest, panel_tier, report_grid, single_value, sort_report
 from ..operators.splits import role_counts, scored_pattern
@@ -267,21 +267,62 @@ def e8_mae(spark, d):
     )
 
 
-@query("e9_poisson_bootstrap")
+def _poisson_sql(rows: str, by: str, replicates: int) -> str:
+    """The Poisson bootstrap of ``rows`` (group columns, seed, record_id, squared errors a and b) in 128-bit integers."""
+    two64 = "18446744073709551616::uhugeint"
+    steps = " + ".join(f"(u >= {step!r}::double)::int" for step in _poisson_table().tolist())
+    keys = f"{by}, " if by else ""
+    group = f"group by {by}" if by else ""
+    joined = f"p join q on {' and '.join(f'p.{c.strip()} = q.{c.strip()}' for c in by.split(','))}" if by else "p cross join q"
+    shown = ", ".join(f"p.{c.strip()}" for c in by.split(",")) + ", " if by else ""
+    return f"""
+with r as materialized ({rows}),
+x0 as (select r.*, k, (cast('0x'||substr(md5(cast(seed as varchar)||':'||record_id),1,15) as bigint)::uhugeint
+    + (k+1)::uhugeint * 11400714819323198485::uhugeint) % {two64} x from r, (select unnest(range({replicates})) k)),
+x1 as (select * replace (xor(x, x >> 30::uhugeint) * 13787848793156543929::uhugeint % {two64} as x) from x0),
+x2 as (select * replace (xor(x, x >> 27::uhugeint) * 10723151780598845931::uhugeint % {two64} as x) from x1),
+x3 as (select {keys}k, a, b, (xor(x, x >> 31::uhugeint) >> 11::uhugeint)::double / 9007199254740992e0 u from x2),
+w as (select {keys}k, a, b, {steps} w from x3),
+reps as (select {keys}k, sqrt(sum(w*a)/sum(w))-sqrt(sum(w*b)/sum(w)) delta from w group by {keys}k having sum(w) > 0),
+p as (select {keys}count(*) n, round(sqrt(avg(a))-sqrt(avg(b)),6) delta from r {group}),
+q as (select {keys}round(avg(delta),6) bootstrap_mean, quantile_cont(delta,25e-3) l95, quantile_cont(delta,975e-3) h95,
+    quantile_cont(delta,5e-3) l99, quantile_cont(delta,995e-3) h99 from reps {group})
+select {shown}n, delta, bootstrap_mean, round(l95,6) ci95_low, round(h95,6) ci95_high, round(l99,6) ci99_low, round(h99,6) ci99_high,
+    case when l95>0 or h95<0 then 'resolved' else 'inconclusive' end inference from {joined}"""
+
+
+@query(
+    "e9_poisson_bootstrap",
+    with_views(_poisson_sql("""select 17 seed, record_id, power(neural_prediction-target,2) a, power(descriptor_prediction-target,2) b
+    from v_labelled""", "", 1000)),
+)
 def e9(spark, d):
-    return paired_bootstrap(
+    result = paired_bootstrap(
         fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, method="poisson"
     )
+    return rounded(result, *_BOOT_COLUMNS).drop("replicates", "seed", "method")
 
 
-@query("e10_subgroup_bootstrap")
+@query(
+    "e10_subgroup_bootstrap",
+    with_views(
+        _ORDERS_SQL
+        + _poisson_sql(
+            f"""select axis, level, 20260823 + 10*(dense_rank() over (order by axis, level)-1) seed, record_id,
+    power(neural_prediction-target,2) a, power(descriptor_prediction-target,2) b from {_AXES_SQL}""",
+            "axis, level",
+            200,
+        ).replace("\nwith r as", ", r as", 1)
+    ),
+)
 def e10(spark, d):
     long = unpivot_axes(_order_rows(spark, d), _axes(), ["record_id", "target", *COMPONENTS])
     levels = long.groupBy("axis", "level").agg(F.count(F.lit(1)).alias("n"))
     numbered = levels.select("axis", "level", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("axis", "level")) - 1).alias("level_index"))
-    return subgroup_bootstrap(
+    result = subgroup_bootstrap(
         long.join(numbered, ["axis", "level"]), "neural_prediction", "descriptor_prediction", base_seed=20260823, replicates=200
     )
+    return rounded(result, *_BOOT_COLUMNS).drop("replicates", "seed", "method", "level_index")
 
 
 @query("i1_blend", with_views("select record_id, round((1-25e-2)*descriptor_prediction+25e-2*neural_prediction,11) as blend from v_pred"))

@@ -240,6 +240,11 @@ def _combine(parts, metric, by):
     return parts.groupBy(*by, "_rep").agg(F.when(F.sum("_w") > 0, means).alias("_delta"))
 
 
+def _row_number_hash(key: str) -> Column:
+    """60 bits of the MD5 of seed and key, so that any engine with MD5 makes the same weights."""
+    return F.conv(F.substring(order_hash(F.col("_seed"), key), 1, 15), 16, 10).cast("bigint")
+
+
 def _poisson_table(length: int = 24) -> np.ndarray:
     steps = np.array([math.exp(-1.0) / math.factorial(k) for k in range(length)])
     return np.cumsum(steps)
@@ -263,7 +268,7 @@ def _poisson_replicates(losses, replicates, metric, by, key):
     by = list(by)
     group = _group(by)
     rows = losses.select(
-        *by, group.alias("_group"), F.xxhash64(F.col(key).cast("string"), "_seed").alias("_hash"), "_a", "_b"
+        *by, group.alias("_group"), _row_number_hash(key).alias("_hash"), "_a", "_b"
     )
 
     def partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
