@@ -161,7 +161,7 @@ def plain_text_sql(html: str) -> str:
         html = "replace({}, '{}', '{}')".format(html, name, character.replace("'", "''"))
     html = f"regexp_replace({html}, '[ \\t\\r\\f]+', ' ', 'g')"
     html = f"regexp_replace({html}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return f"trim({html}, ' ' || chr(10))"
 
 
 def record_id_sql(seed: str) -> str:

@@ -39,7 +39,7 @@ def plain_text(html: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(character))
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def digest(block: Column) -> Column:
@@ -53,7 +53,7 @@ def record_id(seed: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
-def metadata_block(html: Column, target: Column, content_type: Column) -> Column:
+def metadata_block(html: Column, target: Column, content_type: Column, payload_digest: Column) -> Column:
     """What is known of the response, as named fields, one per line."""
     title = F.regexp_replace(plain_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)), r"\n+", " ")
     fields = {
@@ -63,7 +63,7 @@ def metadata_block(html: Column, target: Column, content_type: Column) -> Column
         "source-target-uri": target,
         "source-content-type": content_type,
         "source-content-length": F.octet_length(html).cast("string"),
-        "source-payload-digest": digest(html),
+        "source-payload-digest": payload_digest,
     }
     return F.concat(*[part for name, value in fields.items() for part in (F.lit(f"{name}: "), value, F.lit("\r\n"))])
 
@@ -72,11 +72,12 @@ def derived_records(responses: DataFrame) -> DataFrame:
     """Records from ``record_id``, ``target_uri``, ``date``, ``content_type`` and ``payload`` of responses; other columns are not read."""
     names = ("record_id", "target_uri", "date", "content_type", "payload")
     held = responses.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in names])
+    held = held.withColumn("payload_digest", digest(F.col("payload")))
     made = F.array(
         F.struct(
             F.lit(METADATA).alias("warc_type"),
             F.lit("application/warc-fields").alias("content_type"),
-            metadata_block(F.col("payload"), F.col("target_uri"), F.col("content_type")).alias("block"),
+            metadata_block(*[F.col(name) for name in ("payload", "target_uri", "content_type", "payload_digest")]).alias("block"),
         ),
         F.struct(
             F.lit(CONVERSION).alias("warc_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block")
@@ -88,7 +89,7 @@ def derived_records(responses: DataFrame) -> DataFrame:
         "date",
         F.col("content_type").alias("source_content_type"),
         F.octet_length("payload").cast("long").alias("source_content_length"),
-        digest(F.col("payload")).alias("source_payload_digest"),
+        F.col("payload_digest").alias("source_payload_digest"),
         F.explode(made).alias("made"),
     )
     return rows.select(
