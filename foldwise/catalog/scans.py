@@ -12,7 +12,7 @@ from ..functions.vectors import as_vector
 from ..operators.keys import row_ids, union_distinct
 from ..operators.ranking import ordinal, source_row_number
 from ..session import read_table, shared_folder
-from ..sources.contracts import align_vectors, read_contract, scan_features, table_shapes
+from ..sources.contracts import align_vectors, read_contract, scan_features, shape_violations, table_shapes
 from ..sources.integrity import file_digests, file_integrity
 from ..sources.sinks import SCORED_STAGE, write_predictions, write_stages
 from . import query
@@ -56,6 +56,26 @@ def a2(spark, d):
     return shapes.select(F.col("table").alias("table_name"), "rows", F.array_join("columns", ",").alias("columns"))
 
 
+@query(
+    "a2_shape_violations",
+    """select t as table_name, p as problem from (
+        select 'orders' t, 'rows' p, (select count(*) from orders) <> (select count(*) from customer) bad union all
+        select 'customer', 'rows', (select count(*) from customer) <> (select count(*) from customer) union all
+        select 'supplier', 'columns', true union all select 'part', 'undeclared', true union all select 'invoices', 'missing', true)
+    where bad""",
+)
+def a2_violations(spark, d):
+    tables = {name: read_table(spark, d, name) for name in ("orders", "customer", "supplier", "part")}
+    customers = tables["customer"].count()
+    declared = {
+        "orders": (customers, tables["orders"].columns),
+        "customer": (customers, tables["customer"].columns),
+        "supplier": (tables["supplier"].count(), sorted(tables["supplier"].columns)),
+        "invoices": (0, ["id"]),
+    }
+    return shape_violations(tables, declared).withColumnRenamed("table", "table_name")
+
+
 @query("a3_file_digests")
 def a3(spark, d):
     return file_digests(spark, d, "*.parquet")

@@ -73,6 +73,22 @@ def table_shapes(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+def shape_violations(tables: dict[str, DataFrame], declared: dict[str, tuple[int, list[str]]]) -> DataFrame:
+    """Tables whose rows or columns (names, in order) differ from the declaration, or that only one side has: table, problem."""
+    both = {name: df for name, df in tables.items() if name in declared}
+    spark = next(iter(tables.values())).sparkSession
+    sides = [(name, "undeclared") for name in tables if name not in declared] + [(name, "missing") for name in declared if name not in tables]
+    one_sided = spark.createDataFrame(sides, "table string, problem string")
+    if not both:
+        return one_sided
+    wanted = spark.createDataFrame([(name, *declared[name]) for name in both], "table string, _rows long, _columns array<string>")
+    found = table_shapes(both).join(wanted, "table")
+    problems = F.array(
+        F.when(F.col("rows") != F.col("_rows"), F.lit("rows")), F.when(F.col("columns") != F.col("_columns"), F.lit("columns"))
+    )
+    return one_sided.unionByName(found.select("table", F.explode(F.array_compact(problems)).alias("problem")))
+
+
 def scan_features(cache: DataFrame, ids: DataFrame, key: str = "record_id", check: bool = True) -> DataFrame:
     """Rows of a feature cache for the needed ids; an id the cache lacks is an error."""
     if check:

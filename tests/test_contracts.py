@@ -9,7 +9,7 @@ from foldwise.functions.numbers import bin_index
 from foldwise.operators.bootstrap import paired_bootstrap
 from foldwise.operators.splits import group_split, holdout_quotas
 from foldwise.plans.packages import prepare_round_robin, prepare_stratified
-from foldwise.sources.contracts import read_contract
+from foldwise.sources.contracts import read_contract, shape_violations
 from foldwise.sources.integrity import file_digests, file_integrity
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.IntegerType())])
@@ -91,3 +91,12 @@ def test_group_split_keeps_groups_whole_without_held_tables(spark):
     sides = group_split(df, "g", "target", 0.25, 5)
     assert sides.count() == 400 and sides.filter(F.col("side").isNull()).count() == 0
     assert sides.groupBy("g").agg(F.countDistinct("side").alias("n")).filter("n > 1").count() == 0
+
+
+def test_shapes_are_compared_with_their_declaration(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    declared = {"good": (2, ["k", "n"]), "short": (3, ["k", "n"]), "turned": (1, ["n", "k"]), "gone": (0, [])}
+    found = shape_violations({"good": df, "short": df, "turned": df, "extra": df}, declared).collect()
+    expected = [("extra", "undeclared"), ("gone", "missing"), ("short", "rows"), ("turned", "columns"), ("turned", "rows")]
+    assert sorted(map(tuple, found)) == expected
+    assert shape_violations({"extra": df}, {}).count() == 1
