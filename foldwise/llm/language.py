@@ -181,10 +181,11 @@ def fit_language(
     idf = np.log((1 + total) / (1 + frequencies)) + 1
     place = {name: i for i, name in enumerate(languages)}
     examples = []
-    for row in taken.orderBy("row.lang", "row.key").toArrow().to_pylist():
-        found = np.array(row["found"], np.int64)
+    table = taken.select("row.lang", "row.key", "found", "counts").orderBy("lang", "key").toArrow().combine_chunks()
+    for name, columns_of, counts in zip(*[table.column(c) for c in ("lang", "found", "counts")], strict=True):
+        found = columns_of.values.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(found):
-            examples.append((found, weighted(np.array(row["counts"]), idf[found]), place[row["row"]["lang"]]))
+            examples.append((found, weighted(counts.values.to_numpy(zero_copy_only=False).astype(float), idf[found]), place[name.as_py()]))
     order = np.random.default_rng(seed).permutation(len(examples))
     held = [examples[i] for i in order[: len(examples) // 5]]
     fitted = [examples[i] for i in order[len(examples) // 5 :]]
