@@ -2,14 +2,14 @@
 
 A text is cut by the tokenizer's pattern. The bytes of a piece start as one token each; a fold then replaces, again
 and again, the leftmost of the adjacent pairs with the lowest rank, which is what the byte-pair rule asks for. The
-ranks are a literal: for every token, the ways to put it together from two others, in buckets of a map from pair to
-token. After a merge only the two pairs beside it are looked up again.
+rank map holds, for every token, the ways to put it together from two others, in buckets of maps from pair to token.
+After a merge only the two pairs beside it are looked up again.
 
 Distinct words that are frequent in a hash sample of the documents (at most ``known_pieces`` of at most ``PIECE_BYTES``
-bytes, which bounds the size of the table) are encoded once; the table is a scalar subquery, so it goes from the
-executors into the tasks without becoming part of the plan. Every other piece is folded where it stands. The sample
-decides how often the fold runs, never what comes out. A text is encoded inside its own row, so neither a hot source
-nor a frequent word is gathered anywhere, and what is shuffled does not grow with the documents' text.
+bytes, which bounds the size of the table) are encoded once. Every other piece is folded where it stands. The sample
+decides how often the fold runs, never what comes out. Both tables are scalar subqueries, computed once and put into
+the tasks as literals. A text is encoded inside its own row, so neither a hot source nor a frequent word is gathered
+anywhere, and what is shuffled does not grow with the documents' text.
 
 Decoding looks up the bytes of each id and concatenates them. A null text is encoded as an empty one: no ids. An id
 outside the vocabulary makes the decoded bytes null. A piece of n bytes costs up to n steps over n tokens, so one
@@ -19,10 +19,9 @@ unbroken run of letters of many thousand characters is slow, but right. Repeated
 from __future__ import annotations
 
 import base64
-import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import kept, reliable_checkpoint
@@ -35,7 +34,9 @@ BUCKETS = 1 << 16
 KNOWN_PIECES = 1 << 20
 PIECE_BYTES = 48
 SAMPLE = 8
-BEFORE, AFTER = "\x01", "\x02"
+# fixed value: the characters with Unicode's White_Space property
+WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+KNOWN_BUCKETS = 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -69,12 +70,11 @@ class Vocabulary:
             if token[:cut] in self.ids and token[cut:] in self.ids
         ]
 
-    def merges(self) -> Column:
-        """Literal: buckets of maps from ``left:right`` as one number to the joined token, which is also the rank."""
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for left, right, whole in self.pairs():
-            buckets[pair_bucket(left, right)][str(left << 32 | right)] = whole
-        return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    def merges(self, spark: SparkSession) -> DataFrame:
+        """One row: buckets of maps from a pair, as one number, to the joined token, which is also the rank."""
+        pairs = spark.createDataFrame(self.pairs(), "left long, right long, whole int")
+        entry = F.struct(pair_key(F.col("left"), F.col("right")).alias("key"), F.col("whole").alias("value"))
+        return bucketed(pairs.select((pair_bucket(F.col("left"), F.col("right")) + 1).alias("bucket"), entry.alias("entry")), BUCKETS)
 
     def byte_ids(self) -> Column:
         return literal([str(self.ids[bytes([b])]) for b in range(256)]).cast("array<int>")
@@ -88,16 +88,33 @@ class Vocabulary:
 
     @property
     def java_pattern(self) -> str:
-        """White space by Unicode, as in the tokenizer's own regular expressions."""
-        return f"(?U){self.pattern}"
+        """The pattern with Unicode's white space spelled out, as Java's own class holds only ASCII."""
+        inside = self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]")
+        return inside.replace(r"\s", f"[{WHITE}]")
 
 
 def literal(texts: list[str]) -> Column:
     return F.split(F.lit(" ".join(texts)), " ")
 
 
-def pair_bucket(left: int, right: int) -> int:
-    return (left * 40503 + right) % BUCKETS
+def pair_bucket(left: Column, right: Column) -> Column:
+    return F.pmod(left * 40503 + right, F.lit(BUCKETS)).cast("int")
+
+
+def pair_key(left: Column, right: Column) -> Column:
+    return F.shiftleft(left, 32).bitwiseOR(right)
+
+
+def bucketed(entries: DataFrame, buckets: int) -> DataFrame:
+    """One row with an array of ``buckets`` maps, from ``entries`` of a bucket (from 1) and a (key, value) entry.
+
+    As a scalar subquery it is computed once and becomes a literal of the tasks, but not of the printed plan.
+    """
+    nothing = F.lit(None).cast(entries.schema["entry"].dataType).alias("entry")
+    every = entries.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("bucket"), nothing)
+    maps = entries.union(every).groupBy("bucket").agg(F.map_from_entries(F.collect_list("entry")).alias("found"))
+    rows = F.array_sort(F.collect_list(F.struct("bucket", "found")), lambda a, b: a["bucket"] - b["bucket"])
+    return maps.agg(F.transform(rows, lambda row: row["found"]).alias("maps"))
 
 
 def bound(value: Column, body) -> Column:
@@ -113,8 +130,8 @@ def encode_piece(piece: Column, vocabulary: Vocabulary, merges: Column) -> Colum
 
         def one(pair: Column) -> Column:
             left, right = pair["left"], pair["right"]
-            bucket = F.element_at(merges, F.pmod(left * 40503 + right, F.lit(BUCKETS)).cast("int") + 1)
-            return F.coalesce(F.element_at(bucket, F.shiftleft(left, 32).bitwiseOR(right)), F.lit(NO_MERGE))
+            found = F.try_element_at(F.get(merges, pair_bucket(left, right)), pair_key(left, right))
+            return F.coalesce(found, F.lit(NO_MERGE))
 
         return F.transform(pairs, one)
 
@@ -152,24 +169,20 @@ def encode_piece(piece: Column, vocabulary: Vocabulary, merges: Column) -> Colum
     return bound(F.concat(edge, single, edge), folded)
 
 
-def spelled(ids: Column) -> Column:
-    """Ids as decimal numbers set apart by blanks."""
-    return F.array_join(ids.cast("array<string>"), " ")
-
-
 def pieces_of(text: Column, vocabulary: Vocabulary) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(vocabulary.java_pattern), F.lit(0))
 
 
-def known_table(docs: DataFrame, text: str, vocabulary: Vocabulary, known_pieces: int, sample: int) -> DataFrame:
-    """One row with an array of ``BUCKETS`` texts: the frequent pieces of a bucket with their ids, marked off.
+def known_table(
+    docs: DataFrame, text: str, vocabulary: Vocabulary, merges: DataFrame, known_pieces: int, sample: int
+) -> DataFrame:
+    """One row with an array of ``KNOWN_BUCKETS`` maps, from the frequent pieces of a bucket to their ids.
 
     The least count that leaves at most ``known_pieces`` pieces is read from a histogram of the counts.
     """
     drawn = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    marks = F.col("piece").contains(BEFORE) | F.col("piece").contains(AFTER)
     counts = drawn.select(F.explode(pieces_of(F.col("text"), vocabulary)).alias("piece")).groupBy("piece").count()
-    counts = counts.where((F.octet_length("piece") <= PIECE_BYTES) & ~marks)
+    counts = counts.where(F.octet_length("piece") <= PIECE_BYTES)
     with kept(counts) as counted:
         histogram = counted.groupBy("count").agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.desc("count")).collect()
         least, room = 2**62, known_pieces
@@ -179,20 +192,15 @@ def known_table(docs: DataFrame, text: str, vocabulary: Vocabulary, known_pieces
                 break
             least = row["count"]
         chosen = counted.where(F.col("count") >= least).select("piece")
-        ids = bound(vocabulary.merges(), lambda merges: encode_piece(F.col("piece"), vocabulary, merges))
-        encoded = chosen.select(known_bucket(F.col("piece")).alias("bucket"), "piece", spelled(ids).alias("ids"))
-        entry = F.concat(F.lit(BEFORE), F.col("piece"), F.lit(AFTER), F.col("ids"))
-        buckets = encoded.groupBy("bucket").agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+        ids = bound(F.col("merges"), lambda merges: encode_piece(F.col("piece"), vocabulary, merges))
         # written once: the counts behind it are let go, and the subquery below only gathers it
-        buckets = reliable_checkpoint(buckets)
-    every = docs.sparkSession.range(1, BUCKETS + 1).select(F.col("id").cast("int").alias("bucket"), F.lit("").alias("entries"))
-    filled = buckets.union(every).groupBy("bucket").agg(F.max("entries").alias("entries"))
-    rows = F.array_sort(F.collect_list(F.struct("bucket", "entries")))
-    return filled.agg(F.transform(rows, lambda row: row["entries"]).alias("known"))
+        encoded = reliable_checkpoint(chosen.select("piece", merges.scalar().alias("merges")).select("piece", ids.alias("ids")))
+    entry = F.struct(F.col("piece").alias("key"), F.col("ids").alias("value"))
+    return bucketed(encoded.select((known_bucket(F.col("piece")) + 1).alias("bucket"), entry.alias("entry")), KNOWN_BUCKETS)
 
 
 def known_bucket(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int") + 1
+    return F.pmod(F.hash(piece), F.lit(KNOWN_BUCKETS))
 
 
 def encode(
@@ -204,34 +212,29 @@ def encode(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """Documents as ``row``, with the array ``ids``."""
-    table = known_table(docs, text, vocabulary, known_pieces, sample)
-    cut = docs.select(packed(docs, keep), pieces_of(F.col(text), vocabulary).alias("pieces"), table.scalar().alias("known"))
+    merges = vocabulary.merges(docs.sparkSession)
+    known = known_table(docs, text, vocabulary, merges, known_pieces, sample)
+    tables = F.struct(known.scalar().alias("known"), merges.scalar().alias("merges")).alias("tables")
+    cut = docs.select(packed(docs, keep), pieces_of(F.col(text), vocabulary).alias("pieces"), tables)
 
-    def spell(known: Column, merges: Column) -> Column:
+    def ids_of(known: Column, merges: Column) -> Column:
         def one(piece: Column) -> Column:
-            mark = F.concat(F.lit(BEFORE), piece, F.lit(AFTER))
-            entry = F.call_function("substring_index", F.element_at(known, known_bucket(piece)), mark, F.lit(-1))
-            found = F.substring_index(entry, BEFORE, 1)  # empty if the bucket lacks the mark, as entries start with one
-            return bound(found, lambda ids: F.when(ids != "", ids).otherwise(spelled(encode_piece(piece, vocabulary, merges))))
+            found = F.try_element_at(F.get(known, known_bucket(piece)), piece)
+            return F.coalesce(found, encode_piece(piece, vocabulary, merges))
 
-        return F.array_join(F.transform(F.col("pieces"), one), " ")
+        return F.flatten(F.transform(F.col("pieces"), one))
 
-    both = F.struct(F.col("known").alias("known"), vocabulary.merges().alias("merges"))
-    ids = bound(both, lambda tables: spell(tables["known"], tables["merges"]))
-    spelt = cut.select("row", ids.alias("ids"))
-    numbers = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return spelt.select("row", numbers.alias("ids"))
+    return cut.select("row", bound(F.col("tables"), lambda tables: ids_of(tables["known"], tables["merges"])).alias("ids"))
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes behind an array of ids: binary pieces, concatenated; null if an id is unknown."""
     digits = vocabulary.token_hex()
-    known = F.forall(ids, lambda i: (i >= 0) & (i < len(vocabulary.tokens)))
-    pieces = F.transform(ids, lambda i: F.element_at(digits, i + 1))
-    return F.when(known, F.unhex(F.array_join(pieces, "")))
+    known = (F.size(ids) == 0) | ((F.array_min(ids) >= 0) & (F.array_max(ids) < len(vocabulary.tokens)))
+    return F.when(known, F.unhex(F.array_join(F.transform(ids, lambda i: F.get(digits, i)), "")))
 
 
 def little_endian(ids: Column, vocabulary: Vocabulary) -> Column:
     """An array of ids of the vocabulary as unsigned 32-bit numbers, one after another."""
     digits = vocabulary.id_hex()
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(digits, i + 1)), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(digits, i)), ""))
