@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,7 @@ class Hmm:
     emit: np.ndarray
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        find = self.words.get
-        return [*[find(word, RARE) for word in words], END]
+        return [*map(self.words.get, words, repeat(RARE)), END]
 
 
 class Packed:
@@ -286,32 +286,39 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, counts, base_mass, class_mass = shared.value
-        base = {word: float(np.log10((n + SMOOTHING) / base_mass)) for word, n in counts.items()}
         shift = float(np.log10(base_mass / class_mass))  # from a word's base to its share of the rare class
+        bases = {word: float(np.log10((n + SMOOTHING) / base_mass)) for word, n in counts.items()}
+        # per word: its base, and what its share of the rare class adds to the score
+        known = {word: (base, 0.0 if not word or word in hmm.words else base + shift) for word, base in bases.items()}
+        no_end = not counts[b""]
         for batch in batches:
             keys, ids = batch.column("key").to_pylist(), batch.column("row_id").to_pylist()
             rows = zip(keys, ids, map(words_of, batch.column("text").to_pylist()), strict=True)
             for group in batches_of(rows, size=lambda row: len(row[2]) + 1):
                 scores = Packed([hmm.numbers(words) for _, _, words in group]).log_probabilities(hmm)
-                out = {name: [] for name in ("row_id", "key", "word", "times", *FIELDS)}
-                for (name, row_id, words), score in zip(group, scores.tolist(), strict=True):
+                own: dict[str, list] = {name: [] for name in FIELDS}
+                rare: tuple[list, list, list] = ([], [], [])
+                for (_, row_id, words), score in zip(group, scores.tolist(), strict=True):
                     tally = Counter(words)
-                    tally[b""] = 1
-                    known, total = 0, 0.0
+                    seen, base = len(words) + 1 - no_end, known[b""][0]
                     for word, times in tally.items():
-                        if word not in base:
-                            add(out, row_id, None, word, times, 0, 0, 0.0, 0.0)
-                            continue
-                        known += times if counts[word] else 0
-                        total += times * base[word]
-                        if word and word not in hmm.words:
-                            score += times * (base[word] + shift)
-                    add(out, row_id, name, b" %d" % row_id, 0, len(words) + 1, known, total, score)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
-
-    def add(out: dict, *values) -> None:
-        for column, value in zip(out.values(), values, strict=True):
-            column.append(value)
+                        if hit := known.get(word):
+                            base += times * hit[0]
+                            score += times * hit[1]
+                        else:
+                            seen -= times
+                            rare[0].append(row_id)
+                            rare[1].append(word)
+                            rare[2].append(times)
+                    for name, value in zip(FIELDS, (len(words) + 1, seen, base, score), strict=True):
+                        own[name].append(value)
+                marks = [b" %d" % row_id for _, row_id, _ in group]
+                yield rows_of(key=[name for name, _, _ in group], row_id=[at for _, at, _ in group], word=marks, times=[0] * len(group), **own)
+                yield rows_of(row_id=rare[0], word=rare[1], times=rare[2])
+
+    def rows_of(**columns: list) -> pa.RecordBatch:
+        size = len(columns["row_id"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
 
     key_type = numbered.schema["key"].dataType
     schema = (
@@ -324,19 +331,18 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
     )
     parts = numbered.mapInArrow(run, schema).join(model.table, "word", "left")
     seen, times = F.coalesce("count", F.lit(0)), F.col("times")
-    full = parts.select(
+    full = parts.select(  # a document's own row brings its values, the row of a rare word what that word adds
         "row_id",
         "key",
         "n_tokens",
-        F.when(seen > 0, times).otherwise(0).alias("more"),
-        "n_known",
-        (F.col("base_score") + F.when(times > 0, times * model.base(seen)).otherwise(0.0)).alias("base_score"),
-        (F.col("score") + F.when(times > 0, times * model.in_class(seen)).otherwise(0.0)).alias("score"),
+        F.coalesce("n_known", F.when(seen > 0, times), F.lit(0)).alias("n_known"),
+        F.coalesce("base_score", times * model.base(seen)).alias("base_score"),
+        F.coalesce("score", times * model.in_class(seen)).alias("score"),
     )
     return full.groupBy("row_id").agg(
         F.max("key").alias("key"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.col("more")).alias("n_known"),
+        F.sum("n_known").alias("n_known"),
         F.sum("base_score").alias("base_score"),
         F.sum("score").alias("score"),
     ).drop("row_id")
