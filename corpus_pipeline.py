@@ -25,7 +25,7 @@ from foldwise.llm.simhash import one_of_each_group
 from foldwise.session import read_table, shared_folder
 
 MIN_LANGUAGE_SCORE = 0.4
-SHINGLE_WORDS = 5
+KNOWN_PIECES = 1 << 18  # a table a quarter as large as the operator's own, for a driver that has run four stages before
 ORACLE_SQL = None  # the forest, the classifier and the byte-pair fold cannot be said in SQL
 
 
@@ -43,8 +43,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return one_of_each_group(docs, shingle=SHINGLE_WORDS)
+    """Of each group of near copies (the operator's own shingles and radius) the document with the smallest id stays."""
+    return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the bytes they decode to."""
     vocabulary = Vocabulary(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
-    found = encode(docs, vocabulary, ["doc_id", "lang", "source"])
+    found = encode(docs, vocabulary, ["doc_id", "lang", "source"], known_pieces=KNOWN_PIECES)
     ids = F.col("ids")
     return found.select(
         "row.doc_id",

@@ -53,7 +53,7 @@ def test_quality_and_language_decisions(spark, small, stages):
 
 def test_one_of_each_near_group_stays_and_passages_go(spark, small, stages):
     before = rows_of(stages[2])
-    prints = {key: simhash.fingerprint(row["text"], pipeline.SHINGLE_WORDS) & (1 << 64) - 1 for key, row in before.items()}
+    prints = {key: simhash.fingerprint(row["text"]) & (1 << 64) - 1 for key, row in before.items()}
     roots = brute_roots(sorted(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 3)
     assert set(rows_of(stages[3])) == set(roots.values())
     items = [(row["item_id"], row["text"]) for row in read_table(spark, small, "benchmark").collect()]
