@@ -43,8 +43,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (the operator's own shingles and radius) the document with the smallest id stays."""
-    return one_of_each_group(docs)
+    """Of each group of near copies the document with the smallest id stays.
+
+    Near are texts within the operator's own radius, and texts with a similarity of 0.8 or more over five-word shingles.
+    """
+    return one_of_each_group(docs, overlap=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

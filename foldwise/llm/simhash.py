@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from ..session import reliable_checkpoint
 from .common import annotate
 from .components import component_roots
+from .jaccard import overlap_links
 
 BITS = 64
 RADIUS = 3
@@ -169,11 +170,18 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle:
 
 
 def near_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    bucket: int = BUCKET,
+    overlap: bool = False,
 ) -> DataFrame:
     """One row per document: ``key``, ``text_hash``, ``print``, ``root`` (a fingerprint) and ``component_id``.
 
-    Fingerprints are computed once and written to the shared folder; links and groups work on distinct ones.
+    Fingerprints are computed once and written to the shared folder; links and groups work on distinct ones. With
+    ``overlap`` texts with four fifths of their five-word shingles in common (``jaccard.py``) are linked as well.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     source = source.withColumn("text_hash", F.xxhash64("text"))
@@ -181,7 +189,12 @@ def near_groups(
         fingerprints(source, ["key", "text_hash"], shingle=shingle).select("row.key", "row.text_hash", "print")
     )
     unique = known.groupBy("print").agg(F.min("key").alias("least"))
-    roots = component_roots(print_links(unique.select("print"), radius, bucket))
+    links = print_links(unique.select("print"), radius, bucket)
+    if overlap:
+        links = reliable_checkpoint(links)
+        prints = known.select("text_hash", "print").distinct()
+        links = links.unionByName(overlap_links(source.select("text_hash", "text"), prints, links))
+    roots = component_roots(links)
     placed = unique.join(roots, unique["print"] == roots["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
