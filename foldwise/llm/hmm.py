@@ -7,9 +7,9 @@ has a probability, and the probabilities of all types sum to one in every state.
 
 Counts of words are taken over the whole corpus. Each round of Baum-Welch sends the model to the tasks; a task runs the
 scaled forward and backward recursion over packed batches of texts and gives back expected counts: of starts and
-transitions, and of emissions per word. These are summed by Spark and are the next model. The first rounds run on a
-hash sample of the training texts to break the symmetry of the states; at least one runs over all of them. A score is
-the logarithm of the text's probability by the scaled forward recursion: no pruning, no window.
+transitions, and of emissions per word. These are summed by Spark and are the next model. Every round runs
+over all training texts; the seeded start breaks the symmetry of the states. A score is the logarithm of the text's
+probability by the scaled forward recursion: no pruning, no window.
 
 Only the model goes through the driver: states x (frequent + 2) numbers, whatever the size of the corpus. The counts of
 rare words stay distributed and meet the documents in a join of (document, rare words) rows.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import kept, reliable_checkpoint
+from ..session import reliable_checkpoint
 
 END, RARE = 0, 1
 SMOOTHING = 0.1
@@ -224,11 +224,10 @@ def fit_hmm(
     frequent: int = 32_768,
     known: int = 131_072,
     warm_rounds: int = 8,
-    warm_rows: int = 2_000,
     rounds: int = 2,
     seed: int = 3,
 ) -> LanguageModel:
-    """Train on the rows where ``trained`` holds: ``warm_rounds`` on about ``warm_rows`` of them, ``rounds`` on all.
+    """Train on the rows where ``trained`` holds: ``warm_rounds`` and then ``rounds``, each over all of them.
 
     ``frequent`` words have own emissions, the counts of ``known`` words travel with the model.
     """
@@ -244,11 +243,7 @@ def fit_hmm(
     frequencies = np.array([counts[b""], rare + SMOOTHING, *[counts[word] for word in words]]) + SMOOTHING
     model = first_model(words, frequencies, states, seed)
     background = frequencies / frequencies.sum()
-    part = max(1, counts[b""] // warm_rows)
-    with kept(texts.where(F.pmod(F.xxhash64(F.lit(seed), F.col("text")), F.lit(part)) == 0)) as warm:
-        for _ in range(warm_rounds):
-            model = baum_welch_round(warm, model, background)
-    for _ in range(rounds):
+    for _ in range(warm_rounds + rounds):
         model = baum_welch_round(texts, model, background)
     rare_types = types - len(words) - bool(ends)
     return LanguageModel(

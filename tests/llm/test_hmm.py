@@ -99,3 +99,11 @@ def test_nothing_to_learn_from(spark):
     assert model.tokens == 0 and found[1]["n_known"] == 0 and found[1]["n_tokens"] == 3
     assert found[1]["base_score"] == pytest.approx(0.0)
     assert H.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_every_round_sees_all_training_texts(spark, monkeypatch):
+    docs = spark.range(9_000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 7, ' u', id) as text")
+    seen, one_round = [], H.baum_welch_round
+    monkeypatch.setattr(H, "baum_welch_round", lambda texts, *more: seen.append(texts.count()) or one_round(texts, *more))
+    H.fit_hmm(docs, F.col("doc_id") % 10 != 0, states=2, frequent=20, known=40, warm_rounds=2, rounds=1)
+    assert seen == [8_100] * 3
