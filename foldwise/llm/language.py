@@ -29,14 +29,22 @@ from .common import annotate
 
 COLUMNS = 1 << 15
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits, such as fractions
 MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)  # odd multipliers of the n-gram hash
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """Runs of letters (Unicode's category L), lower-cased."""
+    runs = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def gram_counts(text: str | None, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed columns of the n-grams of a text, ascending, and how often each occurs."""
-    runs = LETTERS.findall(text.lower()) if text else []
+    runs = letter_runs(text)
     if not runs:
         return np.zeros(0, np.int64), np.zeros(0)
     points = np.frombuffer(f" {' '.join(runs)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)

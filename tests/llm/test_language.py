@@ -24,7 +24,7 @@ def corpus(n):
 
 def test_held_out_documents_get_their_language(table):
     rows = corpus(400)
-    odd = [(900, None, "aa", ""), (901, "12 34 !?", "bb", ""), (902, "", None, ""), (None, "kato mine", None, ""), (903, "ñandú", None, ""), (5, *rows[5][1:])]
+    odd = [(900, None, "aa", ""), (901, "12 34 !?", "bb", ""), (902, "", None, ""), (None, "kato mine", None, ""), (904, "½ ² Ⅷ ٣", "aa", ""), (903, "ñandú", None, ""), (5, *rows[5][1:])]
     docs = table(rows + odd, "doc_id long, text string, lang string, score string")
     held_out = id_remainder("doc_id", 4) == 2
     model = L.fit_language(docs, ~held_out, sample_rows=150)
@@ -35,7 +35,7 @@ def test_held_out_documents_get_their_language(table):
     for row in answers:
         key, source = row["row"]["doc_id"], row["row"]
         assert 0 <= row["score"] <= 1
-        if key in (900, 901, 902):
+        if key in (900, 901, 902, 904):
             assert (row["lang_pred"], row["score"]) == (L.UNKNOWN, 0.0)
         elif key is not None and key < 400:
             assert row["lang_pred"] == source["lang"]
@@ -77,3 +77,8 @@ def test_one_language_none_and_no_rows(table):
     empty = L.fit_language(docs, F.lit(False))
     assert [r["lang_pred"] for r in L.predict_language(docs, empty, ["doc_id"]).collect()] == ["und", "und"]
     assert L.predict_language(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_letters_are_those_of_category_l():
+    assert L.letter_runs("a½b Ⅷx x² ²x 一二 _É9") == ["a", "b", "x", "x", "x", "一二", "é"]
+    assert L.letter_runs("½ ² Ⅷ") == [] == L.letter_runs(None)
