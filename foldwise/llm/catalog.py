@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,6 +17,7 @@ from .decontamination import contaminated, find_passages
 from .derivatives import BLOCKS, ENTITIES, HIDDEN, TAGS, derived_records, record_id
 from .hmm import fit_hmm, score_texts
 from .language import fit_language, predict_language
+from .periodic import find_runs
 from .quality import BASE, fit_quality, judge_quality
 from .rollups import Rollup, revised, signed
 from .sharding import kd_shards
@@ -260,3 +262,30 @@ def op10(spark, d):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )
+
+
+def with_periodic_tail(key: str, words: list[bytes]) -> list[bytes]:
+    """The words of the contract: of a tenth of the documents the words from one on repeat with a period."""
+    h, n = zlib.crc32(key.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op11_periodic_runs")
+def op11(spark, d):
+    found = find_runs(read_table(spark, d, "documents"), ["doc_id"], rewrite=with_periodic_tail)
+    line = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
