@@ -17,12 +17,14 @@ from .decontamination import contaminated, find_passages
 from .derivatives import BLOCKS, ENTITIES, HIDDEN, TAGS, derived_records, record_id
 from .hmm import fit_hmm, score_texts
 from .language import fit_language, predict_language
+from .passages import remove_passages
 from .periodic import find_runs
 from .quality import BASE, fit_quality, judge_quality
 from .rollups import Rollup, revised, signed
 from .sharding import kd_shards
 from .simhash import near_groups, print_hex
 from .url_rules import judge_urls
+from .variants import count_words, group_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -289,3 +291,36 @@ def op11(spark, d):
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_suffix_dedup")
+def op12(spark, d):
+    found = remove_passages(read_table(spark, d, "documents"), ["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["stop"] - span["start"])
+    return found.select(
+        "row.doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def dropped_letter(key: str) -> Callable[[str], str]:
+    """The runs of the contract: in one of 31 a letter goes, by a checksum of id and run."""
+    begun = zlib.crc32(f"{key}:".encode())
+
+    def change(run: str) -> str:
+        h = zlib.crc32(run.encode(), begun)
+        if h % 31:
+            return run
+        at = h % len(run)
+        return run[:at] + run[at + 1 :]
+
+    return change
+
+
+@query("op13_spelling_variants")
+def op13(spark, d):
+    words = count_words(read_table(spark, d, "documents"), rewrite=dropped_letter)
+    return group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
