@@ -20,7 +20,7 @@ from ..plans.packages import (
 from ..plans.units import assignment_fingerprint, materialise, nested_stages, stage_summary, verify_unit
 from . import query
 from .joins import _FINGERPRINT
-from .metrics import metric_sql, round_metrics, rounded
+from .metrics import facts, facts_sql, metric_sql, round_metrics, rounded
 from .splits import KFOLD_SQL, MELT_SQL, RESERVE_SQL, SPLIT_ROLES
 from .views import with_views
 
@@ -135,13 +135,23 @@ def _assembled(spark, d):
 @query("l2_score_metrics", FLAGSHIP_SQL)
 def l2(spark, d):
     labels = fx.v_label(spark, d).select("record_id", "target")
-    return round_metrics(score(_assembled(spark, d), labels, replicates=20).metrics)
+    return round_metrics(score(_assembled(spark, d), labels).metrics)
 
 
-@query("l2_score_paired")
+_BLENDED = "(select target, descriptor_prediction, neural_prediction, (1-alpha)*descriptor_prediction+alpha*neural_prediction as blend from v_labelled join v_alpha on fold_index=deployment_fold)"
+_PAIRS = " union all ".join(
+    f"select 'blend - {c}' as comparison, {20260821 + i} as s, target, blend as a, {c} as b from {_BLENDED}" for i, c in enumerate(COMPONENTS)
+)
+
+
+@query("l2_score_paired", with_views(facts_sql(_PAIRS, by="comparison", seed="min(s)")))
 def l2_paired(spark, d):
     labels = fx.v_label(spark, d).select("record_id", "target")
-    return score(_assembled(spark, d), labels, replicates=500).paired
+    predictions = _assembled(spark, d)
+    bound = predictions.join(labels, "record_id")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"blend - {c}").alias("comparison"), F.col(c).alias("b")) for c in COMPONENTS]))
+    long = bound.select("target", F.col("blend").alias("a"), pairs.alias("p")).select("target", "a", "p.*")
+    return facts(score(predictions, labels, seed=20260821).paired, long, "a", "b", by=["comparison"])
 
 
 @query(

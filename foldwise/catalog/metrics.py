@@ -22,7 +22,7 @@ from ..operators.aggregates import (
     pivot_members,
 )
 from ..operators.blending import blend, fit_alpha
-from ..operators.bootstrap import _poisson_table, paired_bootstrap, subgroup_bootstrap
+from ..operators.bootstrap import _poisson_table, against_theory, asymptotic_error, paired_bootstrap, subgroup_bootstrap
 from ..operators.metrics import band, regression_metrics, subgroup_metrics, unpivot_axes
 from ..operators.reports import display_differences, flag_lowest, panel_tier, report_grid, single_value, sort_report
 from ..operators.splits import role_counts, scored_pattern
@@ -236,7 +236,7 @@ def d21(spark, d):
 _BOOT_SQL = """
 with r as (select (descriptor_prediction-target)*(descriptor_prediction-target) as b, (neural_prediction-target)*(neural_prediction-target) as a,
     row_number() over (order by md5('17:'||record_id), record_id)-1 as i, count(*) over () as n from v_labelled),
-draws as (select k.rep, H('17:'||cast(k.rep as varchar)||':'||cast(r.i as varchar)) % r.n as i from r cross join (select unnest(range(20)) as rep) k),
+draws as (select k.rep, cast('0x'||substr(md5('17:'||cast(k.rep as varchar)||':'||cast(r.i as varchar)),1,15) as bigint) % r.n as i from r cross join (select unnest(range(20)) as rep) k),
 reps as (select draws.rep, sqrt(avg(r.a))-sqrt(avg(r.b)) as delta from draws join r on r.i=draws.i group by draws.rep),
 p as (select count(*) as n, round(sqrt(avg(a))-sqrt(avg(b)),6) as delta from r),
 q as (select round(avg(delta),6) as bootstrap_mean, quantile_cont(delta,25e-3) as l95, quantile_cont(delta,975e-3) as h95,
@@ -254,17 +254,49 @@ def e8(spark, d):
     return rounded(result, *_BOOT_COLUMNS).drop("replicates", "seed", "method")
 
 
-@query("e8_paired_bootstrap_blocks")
+def facts_sql(rows: str, metric: str = "rmse", by: str = "", seed: str = "17", replicates: int = 10_000, method: str = "multinomial") -> str:
+    """The facts of :func:`facts` for ``rows`` (group columns, target, a, b): point, seed, and the large-sample inference."""
+    loss = "power({c}-target,2)" if metric == "rmse" else "abs({c}-target)"
+    root = "sqrt" if metric == "rmse" else ""
+    slope = "1e0/(2*sqrt(avg({c})))" if metric == "rmse" else "1e0"
+    sa, sb = slope.format(c="la"), slope.format(c="lb")
+    head, tail = (f"{by}, ", f" group by {by}") if by else ("", "")
+    return f"""with f as (select *, {loss.format(c='a')} la, {loss.format(c='b')} lb from ({rows})),
+g as (select {head}count(*) n, {seed} seed, {root}(avg(la))-{root}(avg(lb)) delta,
+    sqrt((power({sa},2)*var_pop(la)+power({sb},2)*var_pop(lb)-2*({sa})*({sb})*covar_pop(la,lb))/count(*)) error from f{tail})
+select {head}n, cast(seed as bigint) seed, round(delta,6) delta, {replicates} replicates, '{method}' as method,
+    case when abs(delta)>1.959963985*error then 'resolved' else 'inconclusive' end inference,
+    true mean_fits, true ci95_fits, true ci99_fits from g"""
+
+
+def facts(result, rows, a, b, metric="rmse", by=(), tolerance=0.1):
+    """What is certain of a bootstrap: its point, its settings, and that mean and intervals fit the large-sample error."""
+    checked = against_theory(result, asymptotic_error(rows, a, b, metric, by), by, tolerance)
+    shown = ["n", "seed", "delta", "replicates", "method", "inference", "mean_fits", "ci95_fits", "ci99_fits"]
+    return rounded(checked.select(*by, *shown), "delta")
+
+
+PAIR = ("neural_prediction", "descriptor_prediction")
+_PAIR_ROWS = "select fold_index, target, neural_prediction a, descriptor_prediction b from v_labelled"
+
+
+@query("e8_paired_bootstrap_blocks", with_views(facts_sql(_PAIR_ROWS)))
 def e8_blocks(spark, d):
-    return paired_bootstrap(fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000)
+    rows = fx.v_labelled(spark, d)
+    return facts(paired_bootstrap(rows, *PAIR, seed=17), rows, *PAIR)
 
 
-@query("e8_paired_bootstrap_mae")
+@query("e8_paired_bootstrap_mae", with_views(facts_sql(_PAIR_ROWS, "mae", "fold_index")))
 def e8_mae(spark, d):
-    return paired_bootstrap(
-        fx.v_labelled(spark, d), "neural_prediction", "descriptor_prediction", seed=17, replicates=1000, metric="mae",
-        by=["fold_index"],
-    )
+    rows = fx.v_labelled(spark, d)
+    result = paired_bootstrap(rows, *PAIR, seed=17, metric="mae", by=["fold_index"])
+    return facts(result, rows, *PAIR, metric="mae", by=["fold_index"])
+
+
+@query("e9_poisson_replicates", with_views(facts_sql(_PAIR_ROWS, method="poisson")))
+def e9_replicates(spark, d):
+    rows = fx.v_labelled(spark, d)
+    return facts(paired_bootstrap(rows, *PAIR, seed=17, method="poisson"), rows, *PAIR)
 
 
 def _poisson_sql(rows: str, by: str, replicates: int) -> str:
@@ -325,6 +357,23 @@ def e10(spark, d):
     return rounded(result, *_BOOT_COLUMNS).drop("replicates", "seed", "method", "level_index")
 
 
+@query(
+    "e10_subgroup_replicates",
+    with_views(
+        _ORDERS_SQL
+        + facts_sql(f"select *, neural_prediction a, descriptor_prediction b from {_AXES_SQL}", "mae", "axis, level", "20260823 + 10*(dense_rank() over (order by axis, level)-1)", method="poisson")
+        .replace("with f as", ", f as", 1)
+    ),
+)
+def e10_replicates(spark, d):
+    long = unpivot_axes(_order_rows(spark, d), _axes(), ["record_id", "target", *COMPONENTS])
+    levels = long.groupBy("axis", "level").agg(F.count(F.lit(1)).alias("n"))
+    numbered = levels.select("axis", "level", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("axis", "level")) - 1).alias("level_index"))
+    long = long.join(numbered, ["axis", "level"])
+    result = subgroup_bootstrap(long, *PAIR, base_seed=20260823, metric="mae")
+    return facts(result, long, *PAIR, metric="mae", by=["axis", "level"])
+
+
 @query("i1_blend", with_views("select record_id, round((1-25e-2)*descriptor_prediction+25e-2*neural_prediction,11) as blend from v_pred"))
 def i1(spark, d):
     mixed = fx.v_pred(spark, d).select("record_id", blend(*COMPONENTS, 0.25).alias("blend"))

@@ -37,6 +37,6 @@ def uniform(text: Column) -> Column:
     return hash32(text) / F.lit(UINT32)
 
 
-def hash_below(text: Column, modulus) -> Column:
-    """Uniform integer in [0, modulus) from a text."""
-    return F.pmod(hash32(text), modulus if isinstance(modulus, Column) else F.lit(int(modulus)))
+def hash60(text: Column) -> Column:
+    """First 60 bits of the MD5 of a text, as a non-negative bigint; modulo n it is fair to any number of rows."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -4,9 +4,10 @@ Both predictors always see the same draws. Three ways to draw:
 
 ``hash``         n draws with replacement per replicate, each a hash of (seed, replicate, draw). Plain
                  SQL, equal in any engine; it shuffles n x replicates rows, so it is for small tables.
-``multinomial``  n draws with replacement, exactly distributed, without a row per draw: the draws of a
-                 replicate are split over blocks of rows by a seeded binomial tree that every block
-                 walks by itself, and the draws inside a block are made there with NumPy.
+``multinomial``  n draws with replacement, exactly distributed, without a row per draw: rows are cut into
+                 blocks by the bits of a hash, each group as deep as its size asks for; the draws of a
+                 replicate are split down the binary tree of hash prefixes by seeded binomials, and the
+                 draws inside a block are made there with NumPy. The tree is a table in Spark.
 ``poisson``      every row gets an independent Poisson(1) weight per replicate, a hash of (record,
                  replicate); one narrow pass and no ordinals. The replicate size varies, so this is an
                  approximation, and the output says so.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,17 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractViolation
-from ..functions.hashing import hash_below, order_hash
+from ..functions.hashing import hash60, order_hash, seeded_text
 from ..functions.numbers import to_column
-from ..session import collect_small
 from .ranking import hashed_rank
 
 REPLICATES = 10_000
 REPLICATE_BLOCK = 250
 BLOCK_ROWS = 16_384
-FINE_BUCKETS = 16_384
-MAX_BUCKETS = 4_000_000
 DRAWS_IN_MEMORY = 4_000_000
+COARSE_BITS = 12
 
 
 def _loss(metric: str, prediction, observed) -> Column:
@@ -128,6 +128,33 @@ def paired_bootstrap(
     return _summary(losses, table, metric, by, replicates, method)
 
 
+def asymptotic_error(df: DataFrame, a: str, b: str, metric: str = "rmse", by: Iterable[str] = (), observed: str = "target") -> DataFrame:
+    """(by, n, error): the large-sample standard error of the difference, from one pass of variances and covariance."""
+    losses = df.select(*by, _loss(metric, a, observed).alias("_a"), _loss(metric, b, observed).alias("_b"))
+    slopes = [1 / (2 * F.sqrt(F.avg(c))) if metric == "rmse" else F.lit(1.0) for c in ("_a", "_b")]
+    variance = slopes[0] ** 2 * F.var_pop("_a") + slopes[1] ** 2 * F.var_pop("_b") - 2 * slopes[0] * slopes[1] * F.covar_pop("_a", "_b")
+    return losses.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.greatest(variance, F.lit(0.0)) / F.count(F.lit(1))).alias("error"))
+
+
+def against_theory(result: DataFrame, errors: DataFrame, by: Iterable[str] = (), tolerance: float = 0.1) -> DataFrame:
+    """``result`` of :func:`paired_bootstrap` with booleans: do its mean and both intervals fit the large-sample error?"""
+    by = list(by)
+    errors = errors.select(*by, "error")
+    joined = result.join(errors, by) if by else result.crossJoin(F.broadcast(errors))  # one row each
+
+    def fits(name: str, quantile: float):
+        width = (F.col(f"{name}_high") - F.col(f"{name}_low")) / (2 * quantile * F.col("error"))
+        return F.abs(width - 1) < tolerance
+
+    return joined.withColumns(
+        {
+            "mean_fits": F.abs(F.col("bootstrap_mean") - F.col("delta")) < tolerance * F.col("error"),
+            "ci95_fits": fits("ci95", 1.959963985),
+            "ci99_fits": fits("ci99", 2.575829304),
+        }
+    ).drop("error")
+
+
 def paired_comparisons(
     df: DataFrame, comparisons: dict[str, tuple[str, str, int]], name: str = "comparison", **options
 ) -> DataFrame:
@@ -150,83 +177,88 @@ def _hash_replicates(losses, replicates, metric, by, key):
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
     draws = rows.select("_group", "_n", "_seed", F.col("_row").alias("_draw"), each)
     text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("_seed", "_rep", "_draw")])
-    picked = draws.select("_group", "_rep", hash_below(text, F.col("_n")).alias("_row"))
+    picked = draws.select("_group", "_rep", F.pmod(hash60(text), F.col("_n")).alias("_row"))
     joined = picked.join(rows.drop("_n", "_seed"), ["_group", "_row"])
     return joined.groupBy(*by, "_rep").agg(_difference(metric, F.avg("_a"), F.avg("_b")).alias("_delta"))
 
 
-def _node_generator(seed: int, node: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, node])))
-
-
-def block_draws(sizes: np.ndarray, block: int, seed: int, replicates: int) -> np.ndarray:
+def path_draws(total: int, depth: int, block: int, path: list, seed: int, replicates: int) -> np.ndarray:
     """Number of draws that fall into one block, for every replicate.
 
-    Walks a binary tree over the blocks from the root; at each node the draws are split between the
-    halves by a binomial of the row shares, seeded by the node. Every block that passes a node makes
-    the same numbers there, so the counts over all blocks are one multinomial draw.
+    ``path`` has a (level, node, rows, rows of the left half) for each node above the block, from the root on. At a node
+    the draws are split between its halves by a binomial of their rows, seeded by the node. Every block that passes a
+    node makes the same numbers there, so the counts over all blocks are one multinomial draw.
     """
-    low, high, node = 0, len(sizes), 1
-    draws = np.full(replicates, int(sizes.sum()), dtype=np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        total, left = sizes[low:high].sum(), sizes[low:middle].sum()
-        to_left = _node_generator(seed, node).binomial(draws, left / total)
-        if block < middle:
-            draws, high, node = to_left, middle, 2 * node
-        else:
-            draws, low, node = draws - to_left, middle, 2 * node + 1
+    draws = np.full(replicates, total, dtype=np.int64)
+    for level, node, rows, left in path:
+        to_left = _generator(seed, level, node).binomial(draws, left / rows)
+        draws = draws - to_left if block >> (depth - level) & 1 else to_left
     return draws
 
 
+def _generator(seed: int, level: int, node: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed % 2**64, level, node])))
+
+
 def block_sums(a: np.ndarray, b: np.ndarray, draws: np.ndarray, generator: np.random.Generator) -> tuple:
     """Sums of both losses over the drawn rows of one block, for every replicate."""
-    replicates, rows = len(draws), len(a)
-    sums_a, sums_b = np.zeros(replicates), np.zeros(replicates)
+    sums = np.zeros(len(draws), dtype=np.complex128)
+    pairs = a + 1j * b  # one look-up for both losses
+    drawn = np.flatnonzero(draws)
     step = max(1, DRAWS_IN_MEMORY // max(1, int(draws.max(initial=1))))
-    for start in range(0, replicates, step):
-        part = draws[start : start + step]
-        owner = np.repeat(np.arange(len(part)), part)
-        picked = generator.integers(0, rows, size=len(owner))
-        sums_a[start : start + step] = np.bincount(owner, weights=a[picked], minlength=len(part))
-        sums_b[start : start + step] = np.bincount(owner, weights=b[picked], minlength=len(part))
-    return sums_a, sums_b
+    for start in range(0, len(drawn), step):
+        part = drawn[start : start + step]
+        ends = np.cumsum(draws[part])
+        picked = generator.integers(0, len(a), size=ends[-1], dtype=np.uint32 if len(a) < 2**32 else np.uint64)
+        sums[part] = np.add.reduceat(pairs[picked], ends - draws[part])
+    return sums.real.copy(), sums.imag.copy()
+
+
+def block_tree(placed: DataFrame) -> DataFrame:
+    """(_group, _block, _path) for rows with _group, _depth and _block: the nodes above each block, with their row counts.
+
+    A block is the first ``_depth`` bits of a row's hash, a node a shorter prefix. Counts are summed per node, and every
+    block is joined with the nodes of its own path; nothing passes through the driver.
+    """
+    counted = placed.where("_depth > 0").groupBy("_group", "_depth", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    steps = counted.withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_depth")))).withColumns(
+        {
+            "_node": F.expr("shiftright(_block, _depth - _level + 1)"),
+            "_left": F.expr("if(shiftright(_block, _depth - _level) % 2 = 0, _rows, 0)"),
+        }
+    )
+    at = ["_group", "_level", "_node"]
+    nodes = steps.groupBy(*at).agg(F.sum("_rows").alias("_total"), F.sum("_left").alias("_of_left"))
+    step = F.struct("_level", "_node", "_total", "_of_left")
+    return steps.select("_group", "_block", *at[1:]).join(nodes, at).groupBy("_group", "_block").agg(F.sort_array(F.collect_list(step)).alias("_path"))
 
 
 def _multinomial_replicates(losses, replicates, metric, by, key):
-    group = _group(by)
-    # Counts of fine buckets, at most FINE_BUCKETS per group, are merged into blocks of a fair size.
+    bits = 60
+    mask = (1 << bits) - 1
     hashed = losses.select(
-        *by, group.alias("_group"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), "_seed", "_a", "_b"
+        *by, _group(by).alias("_group"), F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit(mask)).alias("_hash"), "_seed", "_a", "_b"
     )
-    placed = hashed.withColumn("_fine", F.pmod("_hash", F.lit(FINE_BUCKETS)))
-    counted = placed.groupBy("_group", "_fine").agg(F.count(F.lit(1)).alias("n"), F.min("_seed").alias("seed"))
-    rows = collect_small(counted, MAX_BUCKETS, "bucket table")
-    total, blocks = sum(r["n"] for r in rows), 1
-    while blocks * BLOCK_ROWS < total and blocks < FINE_BUCKETS:
-        blocks *= 2
-    sizes: dict[str, np.ndarray] = {}
-    seeds: dict[str, int] = {}
-    for r in rows:
-        sizes.setdefault(r["_group"], np.zeros(blocks, dtype=np.int64))[r["_fine"] % blocks] += r["n"]
-        seeds[r["_group"]] = int(r["seed"])
-    shared = losses.sparkSession.sparkContext.broadcast((sizes, seeds))
-
-    def one_block(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes, seeds = shared.value
+    sizes = hashed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_seed").alias("_seed"))
+    halvings = F.ceil(F.log2(F.col("_n") / F.lit(BLOCK_ROWS)))  # expected rows of a block: BLOCK_ROWS / 2 to BLOCK_ROWS
+    sizes = sizes.withColumn("_depth", F.least(F.greatest(halvings, F.lit(0)), F.lit(bits)).cast("int"))
+    placed = hashed.drop("_seed").join(sizes, "_group").withColumn("_block", F.expr(f"shiftright(_hash, {bits} - _depth)"))
+    tree = block_tree(placed).toDF("_of_group", "_of_block", "_path")  # both descend from one table
+
+    def one_block(frame: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_hash", "_a", "_b"])
-        name, block = frame["_group"].iloc[0], int(frame["_block"].iloc[0])
-        draws = block_draws(sizes[name], block, seeds[name], replicates)
-        inside = np.random.Generator(np.random.Philox(np.random.SeedSequence([seeds[name], 0, block])))
-        sums_a, sums_b = block_sums(frame["_a"].to_numpy(), frame["_b"].to_numpy(), draws, inside)
+        head = frame.iloc[0]
+        total, depth, block, seed = (int(head[c]) for c in ("_n", "_depth", "_block", "_seed"))
+        nodes = [tuple(int(node[c]) for c in ("_level", "_node", "_total", "_of_left")) for node in path["_path"].iloc[0]] if len(path) else []
+        draws = path_draws(total, depth, block, nodes, seed, replicates)
+        sums_a, sums_b = block_sums(frame["_a"].to_numpy(), frame["_b"].to_numpy(), draws, _generator(seed, 0, block))
         out = pd.DataFrame({"_rep": np.arange(replicates), "_sa": sums_a, "_sb": sums_b, "_w": draws.astype(float)})
         for column in by:
             out[column] = frame[column].iloc[0]
         return out[[*by, "_rep", "_sa", "_sb", "_w"]]
 
-    blocked = placed.withColumn("_block", F.col("_fine") % F.lit(blocks)).drop("_fine", "_seed")
-    parts = blocked.groupBy("_group", "_block").applyInPandas(one_block, _partial_schema(losses, by))
-    return _combine(parts, metric, by)
+    blocks, paths = placed.groupBy("_group", "_block"), tree.groupBy("_of_group", "_of_block")
+    return _combine(blocks.cogroup(paths).applyInPandas(one_block, _partial_schema(losses, by)), metric, by)
 
 
 def _partial_schema(losses: DataFrame, by: list[str]) -> T.StructType:
@@ -240,11 +272,6 @@ def _combine(parts, metric, by):
     return parts.groupBy(*by, "_rep").agg(F.when(F.sum("_w") > 0, means).alias("_delta"))
 
 
-def _row_number_hash(key: str) -> Column:
-    """60 bits of the MD5 of seed and key, so that any engine with MD5 makes the same weights."""
-    return F.conv(F.substring(order_hash(F.col("_seed"), key), 1, 15), 16, 10).cast("bigint")
-
-
 def _poisson_table(length: int = 24) -> np.ndarray:
     steps = np.array([math.exp(-1.0) / math.factorial(k) for k in range(length)])
     return np.cumsum(steps)
@@ -261,40 +288,54 @@ def poisson_weights(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     uniform = (x >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
-    return np.searchsorted(_poisson_table(), uniform, side="right").astype(np.float64)
+    coarse, unsure = _coarse_table()
+    step = (x >> np.uint64(64 - COARSE_BITS)).astype(np.intp)
+    weights = coarse[step]
+    again = np.nonzero(unsure[step])  # steps with a limit inside
+    weights[again] = np.searchsorted(_poisson_table(), uniform[again], side="right")
+    return weights
+
+
+@cache
+def _coarse_table() -> tuple[np.ndarray, np.ndarray]:
+    """Weight at the start of each of 2^COARSE_BITS equal steps of the unit interval, and whether a limit lies in the step."""
+    edges = np.arange(2**COARSE_BITS + 1) / 2**COARSE_BITS
+    found = np.searchsorted(_poisson_table(), edges, side="right").astype(np.float64)
+    return found[:-1], found[:-1] != found[1:]
 
 
 def _poisson_replicates(losses, replicates, metric, by, key):
     by = list(by)
     group = _group(by)
     rows = losses.select(
-        *by, group.alias("_group"), _row_number_hash(key).alias("_hash"), "_a", "_b"
+        *by, group.alias("_group"), hash60(seeded_text(F.col("_seed"), key)).alias("_hash"), "_a", "_b"
     )
 
     def partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        heads: dict[str, pd.Series] = {}
-        for frame in frames:
-            hashes = frame["_hash"].to_numpy().astype(np.int64)
-            codes, names = pd.factorize(frame["_group"])
-            values = np.stack([frame["_a"].to_numpy(), frame["_b"].to_numpy(), np.ones(len(frame))], axis=1)
-            members = [np.flatnonzero(codes == code) for code in range(len(names))]
-            for name, chosen in zip(names, members):
-                sums.setdefault(name, np.zeros((replicates, 3)))
-                heads.setdefault(name, frame[by].iloc[chosen[0]] if by else None)
-            for first in range(0, replicates, REPLICATE_BLOCK):
-                count = min(REPLICATE_BLOCK, replicates - first)
-                weights = poisson_weights(hashes, first, count)
-                for name, chosen in zip(names, members):
-                    part = weights if len(names) == 1 else weights[chosen]
-                    rows_of = values if len(names) == 1 else values[chosen]
-                    sums[name][first : first + count] += part.T @ rows_of
-        for name, total in sums.items():
-            out = pd.DataFrame({"_rep": np.arange(replicates), "_sa": total[:, 0], "_sb": total[:, 1], "_w": total[:, 2]})
+        held = head = None  # rows are sorted by group, so the sums of one group are held at a time
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame({"_rep": np.arange(replicates), "_sa": held[:, 0], "_sb": held[:, 1], "_w": held[:, 2]})
             for column in by:
-                out[column] = heads[name][column]
-            yield out[[*by, "_rep", "_sa", "_sb", "_w"]]
+                made[column] = head[column]
+            return made[[*by, "_rep", "_sa", "_sb", "_w"]]
 
+        for frame in frames:
+            for name, rows_of in frame.groupby("_group", sort=False):
+                if head is None or head["_group"] != name:
+                    if head is not None:
+                        yield out()
+                    held, head = np.zeros((replicates, 3)), rows_of.iloc[0]
+                hashes = rows_of["_hash"].to_numpy().astype(np.int64)
+                values = np.stack([rows_of["_a"].to_numpy(), rows_of["_b"].to_numpy(), np.ones(len(rows_of))], axis=1)
+                for first in range(0, replicates, REPLICATE_BLOCK):
+                    count = min(REPLICATE_BLOCK, replicates - first)
+                    held[first : first + count] += poisson_weights(hashes, first, count).T @ values
+        if head is not None:
+            yield out()
+
+    if by:
+        rows = rows.sortWithinPartitions("_group")
     return _combine(rows.mapInPandas(partial_sums, _partial_schema(losses, by)), metric, by)
 
 

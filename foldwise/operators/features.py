@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ from .checks import finite_violations, require_empty
 from .quantiles import exact_quantiles
 
 PROFILE_COLUMNS = 64
+TILE_COLUMNS = 64
+FAN_IN = 256
 
 
 @dataclass(frozen=True)
@@ -94,11 +97,12 @@ def profile_columns(df: DataFrame, columns: Iterable[str], ddof: int = 0) -> Dat
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+def corr_pairs(df: DataFrame, columns: list[str], tile: int = TILE_COLUMNS, fan_in: int = FAN_IN) -> DataFrame:
     """Absolute Pearson correlation of each pair (earlier, later) in input order, over the rows that have both values.
 
-    Values are centred at the column's mean; each task multiplies its batches into sums per pair, whose number
-    depends on the columns only, and the sums are added up by Spark. The rule is the same for any number of columns.
+    Values are centred at the column's mean. Columns are cut into tiles; a task multiplies its batches into the sums of
+    each pair of tiles and hands on one block of numbers per pair of tiles. Blocks are added up in a tree, ``fan_in``
+    tasks at a time, and only the last step makes a row per pair of columns. The rule is the same at any width.
     """
     size = len(columns)
     schema = "earlier string, later string, i int, j int, correlation double"
@@ -107,30 +111,54 @@ def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     present = [F.when(~is_missing(c), as_double(c)) for c in columns]
     means = [mean or 0.0 for mean in df.agg(*[F.avg(value) for value in present]).first()]
     centred = df.select(*[(value - F.lit(mean)).alias(f"c{k}") for k, (value, mean) in enumerate(zip(present, means))])
-    upper = np.triu_indices(size, 1)
+    cuts = [slice(at, min(at + tile, size)) for at in range(0, size, tile)]
+    pairs = [(a, b) for a in range(len(cuts)) for b in range(a, len(cuts))]
+    block_schema = "a int, b int, slot int, sums binary"
 
     def partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((6, size, size))
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
             values = frame.to_numpy(dtype=float)
             has = (~np.isnan(values)).astype(float)
             values = np.nan_to_num(values)
             squares = values**2
-            for k, (a, b) in enumerate(((has, has), (values, has), (has, values), (squares, has), (has, squares), (values, values))):
-                sums[k] += a.T @ b
-        yield pd.DataFrame({"i": upper[0], "j": upper[1]} | {f"s{k}": sums[k][upper] for k in range(6)})
-
-    parts = centred.mapInPandas(partial_sums, "i int, j int, " + ", ".join(f"s{k} double" for k in range(6)))
-    total = parts.groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]).filter("s0 > 0")
-    n, x, y, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
-    spread = F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0)) * F.greatest(yy - y * y / n, F.lit(0.0)))
+            sides = ((has, has), (values, has), (has, values), (squares, has), (has, squares), (values, values))
+            for a, b in pairs:
+                made = np.stack([x[:, cuts[a]].T @ y[:, cuts[b]] for x, y in sides])
+                sums[a, b] = sums[a, b] + made if (a, b) in sums else made
+        slot = TaskContext.get().partitionId() // fan_in
+        for (a, b), block in sums.items():
+            yield pd.DataFrame({"a": [a], "b": [b], "slot": [slot], "sums": [block.tobytes()]})
+
+    def total(frame: pd.DataFrame) -> np.ndarray:
+        a, b = cuts[frame["a"].iloc[0]], cuts[frame["b"].iloc[0]]
+        added = np.zeros((6, a.stop - a.start, b.stop - b.start))
+        for block in frame["sums"]:
+            added += np.frombuffer(block).reshape(added.shape)
+        return added
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.head(1).assign(slot=0, sums=[total(frame).tobytes()])
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        n, x, y, xx, yy, xy = total(frame)
+        a, b = cuts[frame["a"].iloc[0]], cuts[frame["b"].iloc[0]]
+        i, j = np.meshgrid(np.arange(a.start, a.stop), np.arange(b.start, b.stop), indexing="ij")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.sqrt(np.maximum(xx - x * x / n, 0.0) * np.maximum(yy - y * y / n, 0.0))
+            found = np.where(spread > 0, np.abs(xy - x * y / n) / spread, np.nan)
+        used = (i < j) & (n > 0)
+        return pd.DataFrame({"i": i[used], "j": j[used], "found": found[used], "flat": ~(spread[used] > 0)})
+
+    blocks = centred.mapInPandas(partial_sums, block_schema).groupBy("a", "b", "slot").applyInPandas(merged, block_schema)
+    rows = blocks.groupBy("a", "b").applyInPandas(finished, "i int, j int, found double, flat boolean")
     names = F.array(*[F.lit(c) for c in columns])
-    return total.select(
+    return rows.select(
         F.get(names, F.col("i")).alias("earlier"),
         F.get(names, F.col("j")).alias("later"),
         "i",
         "j",
-        F.when(spread > 0, F.abs(xy - x * y / n) / spread).alias("correlation"),
+        F.when(~F.col("flat"), F.col("found")).alias("correlation"),
     )
 
 
@@ -180,11 +208,11 @@ def apply_feature_filter(df: DataFrame, fitted: FeatureFilter, kept: Iterable[st
     return df.select(*kept, *[as_double(c).alias(c) for c in fitted.retained])
 
 
-def quantile_limits(df: DataFrame, columns: list[str], quantile: float, **options) -> dict[str, tuple[float, float]]:
+def quantile_limits(df: DataFrame, columns: list[str], quantile: float) -> dict[str, tuple[float, float]]:
     """Exact lower and upper quantile of each column."""
     if not 0.0 <= quantile < 0.5:
         raise ContractViolation("the winsor quantile must be in [0, 0.5)")
-    found = exact_quantiles(df, columns, [quantile, 1.0 - quantile], **options)
+    found = exact_quantiles(df, columns, [quantile, 1.0 - quantile])
     return {c: (values[0], values[1]) for c, values in found.items()}
 
 

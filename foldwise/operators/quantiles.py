@@ -1,27 +1,30 @@
-"""Exact quantiles (linear interpolation) of any number of columns, at any table size.
+"""Exact quantiles (linear interpolation) of any number of columns, by one plan at any table size.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. It is used while the
-table is small enough for that. Beyond it the wanted order statistics are bracketed with the bounded
-``percentile_approx`` sketch, the rows below each bracket are counted exactly, and the bracket is
-narrowed until its few values can be read; each pass shrinks it by about three orders of magnitude.
+1. One aggregation makes a bounded, mergeable sketch of every column and reads a bracket for each quantile from it.
+2. One aggregation counts, for all brackets at once, the rows below and inside.
+3. One pass takes out the values inside the brackets, a few rows in ten thousand, counted per distinct value.
+
+The wanted values are then found among these. Where a bracket still has more than ``READ_VALUES`` distinct values, it is
+narrowed by a sketch of its own rows, which are counted exactly again, until it can be read. So nothing depends on how
+the values are distributed, and the driver reads a bounded number of them for each quantile.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
 from ..functions.numbers import is_missing
-from ..session import collect_small
+from ..session import collect_small, kept
 
-EXACT_ROWS = 1_000_000
-VALUES_PER_PASS = 4_000_000
-COLUMNS_PER_PASS = 64
+COLUMNS_PER_PASS = 128  # sketches held side by side in a task; a pass reads only its own columns
 SKETCH_ACCURACY = 10_000
-BRACKET_VALUES = 2_000
+READ_VALUES = 2_000
+CUTS = 64
 
 
 def _number(name: str):
@@ -33,119 +36,137 @@ def _chunks(items: list, size: int):
         yield items[start : start + size]
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], exact_rows: int = EXACT_ROWS
-) -> dict[str, list[float]]:
-    """Quantiles of each column, in the order of ``probabilities``; missing values are ignored."""
-    counts: dict[str, int] = {}
-    for chunk in _chunks(columns, COLUMNS_PER_PASS):
-        row = df.agg(*[F.count(_number(c)).alias(f"c{i}") for i, c in enumerate(chunk)]).first()
-        counts.update(zip(chunk, row))
-    empty = [c for c in columns if counts[c] == 0]
-    if empty:
-        raise ContractViolation(f"no usable values for quantiles in columns {empty}")
-    if max(counts.values()) <= exact_rows:
-        result: dict[str, list[float]] = {}
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        # One buffer per column, with up to as many values as rows: bound their sum.
-        per_pass = max(1, min(COLUMNS_PER_PASS, VALUES_PER_PASS // max(counts.values())))
-        for chunk in _chunks(columns, per_pass):
-            row = df.agg(*[F.percentile(_number(c), wanted).alias(f"c{i}") for i, c in enumerate(chunk)]).first()
-            result.update(zip(chunk, [list(values) for values in row]))
-        return result
-    return _bracketed(df, columns, probabilities, counts)
-
-
-def _bracketed(df, columns, probabilities, counts):
-    needed: set[tuple[str, int]] = set()
-    for column in columns:
-        for p in probabilities:
-            position = (counts[column] - 1) * p
-            needed.add((column, math.floor(position)))
-            needed.add((column, math.ceil(position)))
-    values: dict[tuple[str, int], float] = {}
-    # bracket of a target: (low, high, rows below low, rows inside, slack of the next sketch)
-    brackets = {t: (None, None, 0, counts[t[0]], 2.0 / SKETCH_ACCURACY) for t in needed}
-    while brackets:
-        ready = []
-        for chunk in _chunks(sorted(brackets), COLUMNS_PER_PASS):
-            ready += _narrow(df, chunk, brackets, values)
-        for chunk in _chunks(ready, COLUMNS_PER_PASS):
-            _read_brackets(df, chunk, brackets, values)
-        for target in list(brackets):
-            if target in values:
-                del brackets[target]
-    result = {}
-    for column in columns:
-        row = []
-        for p in probabilities:
-            position = (counts[column] - 1) * p
-            low, high = values[column, math.floor(position)], values[column, math.ceil(position)]
-            row.append(low + (high - low) * (position - math.floor(position)))
-        result[column] = row
-    return result
-
-
-def _inside(target, bracket):
-    number = _number(target[0])
-    low, high = bracket[0], bracket[1]
-    return number if low is None else F.when((number >= low) & (number <= high), number)
-
-
-def _narrow(df, targets, brackets, values):
-    """One sketch pass and one counting pass; returns the targets whose bracket can be read."""
+@dataclass
+class _Target:
+    """A quantile: its two neighbouring ranks (from 0), and a bracket of values that holds both."""
+
+    column: str
+    first: int
+    last: int
+    share: float
+    low: float = 0.0
+    high: float = 0.0
+    below: int = 0  # rows with a value less than ``low``
+
+    def inside(self):
+        number = _number(self.column)
+        return (number >= F.lit(self.low)) & (number <= F.lit(self.high))
+
+
+def _sketch(df: DataFrame, columns: list[str], probabilities: list[float], slack: float, accuracy: int) -> tuple[dict, list[_Target]]:
+    """Counts of the columns, and a target with its bracket for each column and probability."""
+    edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
     asked = []
-    for i, target in enumerate(targets):
-        low, high, below, inside, slack = brackets[target]
-        p = (target[1] - below + 0.5) / inside
-        edges = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-        asked.append(F.percentile_approx(_inside(target, brackets[target]), edges, SKETCH_ACCURACY).alias(f"t{i}"))
-    sketch = df.agg(*asked).first()
+    for i, c in enumerate(columns):
+        asked += [F.count(_number(c)).alias(f"c{i}"), F.percentile_approx(_number(c), F.array(*map(F.lit, edges)), accuracy).alias(f"e{i}")]
+    row = df.agg(*asked).first()
+    counts, targets = {}, []
+    for i, c in enumerate(columns):
+        counts[c] = row[f"c{i}"]
+        for j, p in enumerate(probabilities if counts[c] else []):
+            position = (counts[c] - 1) * p
+            low, high = row[f"e{i}"][2 * j : 2 * j + 2]
+            targets.append(_Target(c, math.floor(position), math.ceil(position), position - math.floor(position), low, high))
+    return counts, targets
+
+
+def _missed(df: DataFrame, targets: list[_Target]) -> list[_Target]:
+    """Counts the rows below each bracket; the targets whose ranks are outside of it."""
     counting = []
-    for i, target in enumerate(targets):
-        low, high = sketch[i]
-        number = _number(target[0])
-        between = (number >= low) & (number <= high)
-        counting += [
-            F.count_if(number < low).alias(f"b{i}"),
-            F.count_if(between).alias(f"n{i}"),
-            F.approx_count_distinct(F.when(between, number)).alias(f"d{i}"),
-        ]
-    exact = df.agg(*counting).first()
-    ready = []
-    for i, target in enumerate(targets):
-        low, high = sketch[i]
-        below, inside, distinct = exact[3 * i], exact[3 * i + 1], exact[3 * i + 2]
-        if not below <= target[1] < below + inside:
-            old = brackets[target]
-            brackets[target] = (*old[:4], old[4] * 4)
-        elif low == high:
-            values[target] = float(low)
-        else:
-            brackets[target] = (low, high, below, inside, 2.0 / SKETCH_ACCURACY)
-            if min(inside, distinct) <= BRACKET_VALUES:
-                ready.append(target)
-    return ready
-
-
-def _read_brackets(df, targets, brackets, values):
-    hits = [
-        F.when(_inside(t, brackets[t]).isNotNull(), F.struct(F.lit(i).alias("target"), _number(t[0]).alias("value")))
-        for i, t in enumerate(targets)
-    ]
-    grouped = (
-        df.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        .groupBy("hit.target", "hit.value")
-        .count()
-    )
-    rows = collect_small(grouped, 3 * BRACKET_VALUES * len(targets), "quantile bracket")
-    by_target: dict[int, list] = {}
-    for target, value, count in rows:
-        by_target.setdefault(target, []).append((value, count))
-    for i, target in enumerate(targets):
-        position = brackets[target][2]
-        for value, count in sorted(by_target[i]):
-            if position <= target[1] < position + count:
-                values[target] = float(value)
+    for i, t in enumerate(targets):
+        counting += [F.count_if(_number(t.column) < F.lit(t.low)).alias(f"b{i}"), F.count_if(t.inside()).alias(f"n{i}")]
+    row = df.agg(*counting).first()
+    missed = []
+    for i, t in enumerate(targets):
+        t.below = row[f"b{i}"]
+        if not (t.below <= t.first and t.last < t.below + row[f"n{i}"]):
+            missed.append(t)
+    return missed
+
+
+def _bracket_values(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    """(target, value, rows) of the distinct values inside each bracket."""
+    hits = [F.when(t.inside(), F.struct(F.lit(i).alias("target"), _number(t.column).alias("value"))) for i, t in enumerate(targets)]
+    inside = df.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return inside.groupBy("hit.target", "hit.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _narrowed(values: DataFrame, targets: list[_Target], which: list[int]) -> DataFrame:
+    """The rows of the targets ``which`` between two cuts around their ranks; a cut is a value, so brackets shrink."""
+    shares = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
+    cuts = values.where(F.col("target").isin(which)).groupBy("target").agg(F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"))
+    edges = {row["target"]: sorted(set(row["cuts"])) for row in cuts.collect()}
+    limits = F.lit(None).cast("array<double>")
+    for t, e in edges.items():
+        limits = F.when(F.col("target") == t, F.array(*map(F.lit, e))).otherwise(limits)
+    # an interval is [cut, next cut), the last one holds its upper end
+    interval = F.size(F.filter(F.slice(limits, 2, CUTS), lambda cut: cut <= F.col("value")))
+    counted = values.where(F.col("target").isin(which)).groupBy("target", interval.alias("interval")).agg(F.sum("rows").alias("rows"))
+    rows = {}
+    for row in counted.collect():
+        rows.setdefault(row["target"], {})[row["interval"]] = row["rows"]
+    keep = F.lit(False)
+    for t, by_interval in rows.items():
+        target, position, low, high = targets[t], targets[t].below, None, None
+        for interval in sorted(by_interval):
+            after = position + by_interval[interval]
+            if low is None and target.first < after:
+                low, target.below = edges[t][interval], position
+            if target.last < after:
+                high = edges[t][interval + 1] if interval + 1 < len(edges[t]) else None
                 break
-            position += count
+            position = after
+        keep = keep | ((F.col("target") == t) & (F.col("value") >= F.lit(low)) & ((F.col("value") < F.lit(high)) if high is not None else F.lit(True)))
+    return values.where(keep)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
+    """Quantiles of each column, in the order of ``probabilities``; missing values are ignored."""
+    counts: dict[str, int] = {}
+    found: dict[str, list[float]] = {}
+    for chunk in _chunks(columns, COLUMNS_PER_PASS):
+        counted, targets = _sketch(df, chunk, probabilities, 2.0 / SKETCH_ACCURACY, SKETCH_ACCURACY)
+        counts.update(counted)
+        empty = [c for c in chunk if not counted[c]]
+        if empty:
+            raise ContractViolation(f"no usable values for quantiles in columns {empty}")
+        slack, missed = 2.0 / SKETCH_ACCURACY, _missed(df, targets)
+        while missed:
+            slack, again = 4 * slack, {t.column for t in missed}
+            wider = _sketch(df, sorted(again), probabilities, slack, SKETCH_ACCURACY)[1]
+            missed = _missed(df, wider)
+            targets = [t for t in targets if t.column not in again] + wider
+        order = {c: [t for t in targets if t.column == c] for c in chunk}
+        with kept(_bracket_values(df, targets)) as values:
+            numbers = _read(values, targets)
+        for c in chunk:
+            found[c] = [numbers[id(t)] for t in order[c]]
+    return found
+
+
+def _read(values: DataFrame, targets: list[_Target]) -> dict[int, float]:
+    """The quantile of each target from the (target, value, rows) inside its bracket."""
+    found: dict[int, float] = {}
+    while True:
+        sizes = {row["target"]: row["count"] for row in values.groupBy("target").count().collect()}
+        ready = [t for t, size in sizes.items() if size <= READ_VALUES]
+        if ready:
+            rows: dict[int, list] = {}
+            for row in collect_small(values.where(F.col("target").isin(ready)), READ_VALUES * len(ready), "quantile bracket"):
+                rows.setdefault(row["target"], []).append((row["value"], row["rows"]))
+            for t, inside in rows.items():
+                found[id(targets[t])] = _between(targets[t], sorted(inside))
+        rest = [t for t in sizes if t not in ready]
+        if not rest:
+            return found
+        values = _narrowed(values, targets, rest)
+
+
+def _between(target: _Target, inside: list[tuple[float, int]]) -> float:
+    position, ends = target.below, []
+    for value, rows in inside:
+        position += rows
+        while len(ends) < 2 and (target.first, target.last)[len(ends)] < position:
+            ends.append(float(value))
+    low, high = ends
+    return low if low == high else low + (high - low) * target.share

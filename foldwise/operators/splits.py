@@ -55,10 +55,10 @@ def unscored(partitions: DataFrame, key: str = "record_id", role: str = "role")
     return counted.filter(F.col("n") == 0)
 
 
-def quantile_edges(df: DataFrame, column: str, bins: int, decimals: int = EDGE_DECIMALS, **options) -> list[float]:
+def quantile_edges(df: DataFrame, column: str, bins: int, decimals: int = EDGE_DECIMALS) -> list[float]:
     """Distinct quantile edges of a column, lowest to highest."""
     probabilities = [i / bins for i in range(bins + 1)]
-    return _distinct_edges(exact_quantiles(df, [column], probabilities, **options)[column], decimals)
+    return _distinct_edges(exact_quantiles(df, [column], probabilities)[column], decimals)
 
 
 def _distinct_edges(values: list[float], decimals: int) -> list[float]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,18 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: lineage is cut, and columns take less room than rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans behind them, which a large heap may put off for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def collect_small(df: DataFrame, max_rows: int = SMALL_ROWS, what: str = "table") -> list:
     """Rows of a table that must stay small; one row too many is an error, never a cut."""
     rows = df.limit(max_rows + 1).collect()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.operators.bootstrap import block_draws, block_sums, paired_bootstrap, paired_comparisons, poisson_weights
+from foldwise.operators.bootstrap import against_theory, asymptotic_error, block_sums, block_tree, paired_bootstrap, paired_comparisons, path_draws, poisson_weights
 from foldwise.operators.metrics import unpivot_axes
 
 
@@ -47,22 +47,73 @@ def test_partitions_do_not_matter(rows, method):
         assert first[c] == pytest.approx(second[c], abs=1e-12)
 
 
-def test_draws_over_blocks_are_one_multinomial():
-    sizes = np.array([500, 0, 100, 400], dtype=np.int64)
-    draws = np.array([block_draws(sizes, b, 5, 2000) for b in (0, 2, 3)])
+def test_draws_over_blocks_are_one_multinomial(spark):
+    sizes = {0: 500, 2: 100, 3: 400}
+    rows = [("g", 2, block) for block, n in sizes.items() for _ in range(n)] + [("small", 0, 0)] * 3
+    tree = block_tree(spark.createDataFrame(rows, "_group string, _depth int, _block long")).collect()
+    paths = {row["_block"]: [tuple(node) for node in row["_path"]] for row in tree}
+    assert {row["_group"] for row in tree} == {"g"}
+    assert paths == {0: [(1, 0, 1000, 500), (2, 0, 500, 500)], 2: [(1, 0, 1000, 500), (2, 1, 500, 100)], 3: [(1, 0, 1000, 500), (2, 1, 500, 100)]}
+    draws = np.array([path_draws(1000, 2, block, paths[block], 5, 2000) for block in sizes])
     assert (draws.sum(axis=0) == 1000).all()
     assert draws.mean(axis=1) == pytest.approx([500, 100, 400], rel=0.02)
     assert draws[0].var() == pytest.approx(1000 * 0.5 * 0.5, rel=0.15)
     assert draws[1].var() == pytest.approx(1000 * 0.1 * 0.9, rel=0.15)
+    assert (path_draws(7, 0, 0, [], -3, 4) == 7).all()
+    draws[1][:3] = 0
     sums, other = block_sums(np.ones(50), np.full(50, 2.0), draws[1], np.random.default_rng(0))
     assert (sums == draws[1]).all() and (other == 2.0 * draws[1]).all()
 
 
+def test_each_row_of_a_block_is_drawn_equally_often():
+    one_hot = np.eye(5)
+    draws = np.array([0, 40_000, 1, 0, 60_000])
+    sums = np.array([block_sums(row, row * 2, draws, np.random.default_rng(4))[0] for row in one_hot])
+    assert (sums.sum(axis=0) == draws).all()
+    assert sums[:, 1] == pytest.approx([8000] * 5, rel=0.05) and sums[:, 4] == pytest.approx([12000] * 5, rel=0.05)
+
+
+def test_many_groups_and_one_deep_tree(spark, monkeypatch):
+    from foldwise.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 4)
+    ids = spark.range(5_000 * 20).withColumn("g", F.col("id") % 5_000)
+    noise = [F.rand(seed) for seed in (1, 2)]
+    rows = ids.select(F.col("id").alias("record_id"), "g", F.lit(0.0).alias("target"), noise[0].alias("a"), noise[1].alias("b"))
+    found = paired_bootstrap(rows, "a", "b", 9, 20, by=["g"])
+    summary = found.agg(F.count(F.lit(1)), F.sum("n"), F.count_if((F.col("ci99_low") <= F.col("ci95_low")) & (F.col("ci95_high") <= F.col("ci99_high")))).first()
+    assert tuple(summary) == (5_000, 100_000, 5_000)
+    deep = one(rows, "multinomial", 50)
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 40_000)
+    assert deep["delta"] == pytest.approx(one(rows, "multinomial", 50)["delta"])
+
+
+def test_intervals_fit_the_large_sample_error(rows):
+    for metric in ("rmse", "mae"):
+        error = asymptotic_error(rows, "a", "b", metric)
+        la, lb = ((rows.toPandas()[c] - rows.toPandas()["target"]).abs().to_numpy() for c in "ab")
+        if metric == "rmse":
+            la, lb = la**2 / (2 * np.sqrt((la**2).mean())), lb**2 / (2 * np.sqrt((lb**2).mean()))
+        assert error.first()["error"] == pytest.approx((la - lb).std() / 20)
+        for method in ("multinomial", "poisson"):
+            result = paired_bootstrap(rows, "a", "b", 17, 10_000, metric, method=method)
+            row = against_theory(result, error, tolerance=0.15).first()
+            assert row["mean_fits"] and row["ci95_fits"] and row["ci99_fits"]
+            assert not against_theory(result, error.withColumn("error", 2 * F.col("error"))).first()["ci95_fits"]
+
+
 def test_poisson_weights():
     hashes = np.random.default_rng(3).integers(-(2**62), 2**62, size=2000)
     weights = poisson_weights(hashes, 0, 300)
     assert weights.mean() == pytest.approx(1.0, abs=0.01) and weights.var() == pytest.approx(1.0, abs=0.02)
     assert (poisson_weights(hashes, 100, 50) == weights[:, 100:150]).all()
+    from foldwise.operators import bootstrap
+
+    edges = np.concatenate([bootstrap._poisson_table()[:6], np.linspace(0, 1, 999, endpoint=False)])
+    coarse, unsure = bootstrap._coarse_table()
+    step = (edges * 2**bootstrap.COARSE_BITS).astype(int)
+    exact = np.searchsorted(bootstrap._poisson_table(), edges, side="right")
+    assert (unsure[step] | (coarse[step] == exact)).all() and unsure.sum() < 20
     assert abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.08
 
 

@@ -78,21 +78,57 @@ def test_hash_numbers_are_plain_md5(spark):
     assert row["h"] == int(md5("f:12")[:8], 16)
 
 
-@pytest.mark.parametrize("exact_rows", [10_000, 0])
-@pytest.mark.parametrize("shape", ["normal", "heavy", "two_values", "constant"])
-def test_quantiles_equal_numpy(spark, monkeypatch, exact_rows, shape):
+@pytest.mark.parametrize("accuracy,read", [(10_000, 2_000), (20, 90)])
+@pytest.mark.parametrize("shape", ["normal", "heavy", "two_values", "constant", "infinite"])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy, read, shape):
     rng = np.random.default_rng(5)
     values = {
         "normal": rng.normal(size=5000),
         "heavy": np.where(rng.random(5000) < 0.4, 1.0, rng.lognormal(sigma=4, size=5000)),
         "two_values": (rng.random(5000) < 0.5).astype(float),
         "constant": np.full(5000, 3.0),
+        "infinite": np.where(np.arange(5000) % 3 == 0, np.inf, np.where(np.arange(5000) % 7 == 0, -np.inf, rng.normal(size=5000))),
     }[shape]
-    monkeypatch.setattr(quantiles, "BRACKET_VALUES", 50)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "READ_VALUES", read)
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
-    probabilities = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.999, 1.0]
-    found = quantiles.exact_quantiles(df, ["x"], probabilities, exact_rows=exact_rows)["x"]
-    assert found == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12, abs=1e-12)
+    probabilities = [0.5, 0.0, 0.001, 0.25, 1 / 3, 0.999, 1.0]
+    found = quantiles.exact_quantiles(df, ["x"], probabilities)["x"]
+    assert found == pytest.approx([plain_quantile(values, p) for p in probabilities], rel=1e-12, abs=1e-12)
+
+
+def plain_quantile(values, p):
+    """Linear interpolation; two equal neighbours give their value, also when it is infinite."""
+    ordered, position = np.sort(values), (len(values) - 1) * p
+    low, high = ordered[int(np.floor(position))], ordered[int(np.ceil(position))]
+    return low if low == high else low + (high - low) * (position - np.floor(position))
+
+
+def test_quantiles_of_many_columns_take_three_passes(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    table = rng.lognormal(size=(4000, 5))
+    path = str(tmp_path / "wide")
+    spark.createDataFrame(table.tolist(), [f"c{i}" for i in range(5)]).write.parquet(path)
+    reads = []
+
+    class Counted:
+        """A table that counts the aggregations and selections asked of it."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def agg(self, *columns):
+            reads.append("agg")
+            return self.df.agg(*columns)
+
+        def select(self, *columns):
+            reads.append("select")
+            return self.df.select(*columns)
+
+    found = quantiles.exact_quantiles(Counted(spark.read.parquet(path)), [f"c{i}" for i in range(5)], [0.01, 0.99])
+    assert reads == ["agg", "agg", "select"]
+    for i in range(5):
+        assert found[f"c{i}"] == pytest.approx(list(np.quantile(table[:, i], [0.01, 0.99])), rel=1e-12)
 
 
 def test_quantiles_refuse_an_empty_column(spark):
