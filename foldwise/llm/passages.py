@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reliable_checkpoint
+from ..functions.bittable import bit_table, passes, table_bits
+from ..session import release_shuffles, reliable_checkpoint, written
 from .common import annotate, packed
 
 LENGTH = 50
@@ -273,6 +274,15 @@ def crowded_spans(contexts: DataFrame, length: int) -> DataFrame:
     return later.select("doc", "tie", "start", (F.col("start") + length).alias("stop"))
 
 
+def among(rows: DataFrame, names: DataFrame, wanted: bool) -> DataFrame:
+    """The rows whose (doc, tie) may be among ``names``, or those for which it is not: only the first have to be shuffled."""
+    digests = names.select("doc", "tie").distinct().select(F.xxhash64("doc", "tie").alias("digest"))
+    bits = table_bits(digests.agg(F.approx_count_distinct("digest")).first()[0])
+    marked = rows.withColumn("_table", bit_table(digests, bits))
+    passing = passes(F.xxhash64("doc", "tie"), F.col("_table"), bits)
+    return marked.where(passing if wanted else ~passing).drop("_table")
+
+
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 FIELDS = [
     T.StructField("n_bytes", T.LongType()),
@@ -307,11 +317,14 @@ def remove_passages(
         content.cast("binary").alias("text"),
     ]
     places = docs.select(*place)
-    found = reliable_checkpoint(swept(anchor_rows(places, length), length))
+    spark = docs.sparkSession
+    found = written(swept(anchor_rows(places, length), length))
+    release_shuffles(spark)  # those of all anchors
     opened = found.where("rank is not null")
     hot = opened.groupBy("rank").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowded).select("rank")
     part = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("part")
-    contexts = opened.join(places, ["doc", "tie"]).select("rank", "doc", "tie", "start", part)
+    read = among(places, opened, wanted=True).select("doc", "tie", "text")
+    contexts = opened.join(read, ["doc", "tie"]).select("rank", "doc", "tie", "start", part)
     spans = found.where("rank is null").select("doc", "tie", "start", "stop")
     if hot.isEmpty():
         spans = spans.unionAll(window_spans(contexts, length))
@@ -319,8 +332,12 @@ def remove_passages(
         hot = reliable_checkpoint(hot)
         spans = spans.unionAll(window_spans(contexts.join(hot, "rank", "left_anti"), length))
         spans = spans.unionAll(crowded_spans(contexts.join(hot, "rank", "left_semi"), length))
-    grouped = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined_ = docs.select(packed(docs, keep), *place).join(grouped, ["doc", "tie"], "left")
+    grouped = written(spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    release_shuffles(spark)
+    whole = docs.select(packed(docs, keep), *place)
+    none = F.lit(None).cast(grouped.schema["spans"].dataType).alias("spans")
+    joined_ = among(whole, grouped, wanted=True).join(grouped, ["doc", "tie"], "left").select("row", "text", "spans")
+    joined_ = joined_.unionAll(among(whole, grouped, wanted=False).select("row", "text", none))
 
     def start():
         def process(batch):
