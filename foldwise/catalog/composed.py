@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators.blending import fit_crossfit_alpha
 from ..operators.keys import rows_in
 from ..operators.aggregates import scored_problems
-from ..plans.assembling import Evaluation, assemble, crossfit_report, score
+from ..plans.assembling import Evaluation, assemble, crossfit_report, score, score_written, write_assembly
 from ..plans.comparing import comparator_report
 from ..plans.packages import (
     package_violations,
@@ -17,7 +19,8 @@ from ..plans.packages import (
     prepare_stratified,
     prepare_supplied,
 )
-from ..plans.units import assignment_fingerprint, materialise, nested_stages, stage_summary, verify_unit
+from ..plans.units import assignment_fingerprint, materialise, nested_stages, stage_summary, unit_drift, unit_identity, verify_unit
+from ..session import shared_folder
 from . import query
 from .joins import _FINGERPRINT
 from .metrics import facts, facts_sql, metric_sql, round_metrics, rounded
@@ -154,6 +157,15 @@ def l2_paired(spark, d):
     return facts(score(predictions, labels, seed=20260821).paired, long, "a", "b", by=["comparison"])
 
 
+@query("l2_score_written", FLAGSHIP_SQL)
+def l2_written(spark, d):
+    """The assembly written with its manifest, proved against it, and scored."""
+    evaluation = Evaluation(fx.FOLDS, "crossfit", "one_held_out")
+    path = f"{shared_folder(spark)}/assembly-{uuid.uuid4().hex}"
+    write_assembly(assemble(evaluation, _scored(spark, d), *_coefficients(spark, d)), fx.v_label(spark, d), path)
+    return round_metrics(score_written(spark, path).metrics)
+
+
 @query(
     "l1_scored_problems",
     with_views("""select record_id, count(*) as n, 'row_count' as problem from v_splitpred where not (fold_index=3 and H('q:'||record_id)%20=0)
@@ -281,13 +293,49 @@ def l5_assignment(spark, d):
 
 @query(
     "l5_nested_stages",
-    with_views("""select i.fold_index as inner_fold, o.record_id, case when i.role='scored' then 'selection_score' else 'selection_fit' end as stage
-      from v_part o join v_part i on i.record_id=o.record_id and i.fold_index<>2 where o.fold_index=2 and o.role<>'scored'"""),
+    with_views("""select n.i as inner_fold, record_id, case when fold_index=n.i then 'selection_score' else 'selection_fit' end as stage
+      from v_pred, (values (0), (1), (3), (4)) n(i) where fold_index<>2"""),
 )
 def l5_nested(spark, d):
     return nested_stages(fx.v_part(spark, d), 2)
 
 
+_NESTED = """(select n.i as inner_fold, record_id, case when fold_index=n.i then 'selection_score' else 'selection_fit' end as stage
+      from v_pred, (values (0), (1), (3), (4)) n(i) where fold_index<>2)"""
+_IDENTITY = f"""with lines as materialized (select 'outer' as unit, stage as part, record_id as line from {_UNIT_STAGE}
+  union all select 'outer', 'assignment', stage||chr(9)||record_id from {_UNIT_STAGE}
+  union all select cast(inner_fold as varchar), stage, record_id from {_NESTED}
+  union all select cast(inner_fold as varchar), 'assignment', stage||chr(9)||record_id from {_NESTED}),
+""" + _FINGERPRINT.format(by="unit, part,", b="unit, part,", line="line", table="lines", group="group by unit, part").strip()[5:]
+
+
+def _identity(spark, d):
+    return unit_identity(_unit(spark, d), nested_stages(fx.v_part(spark, d), 2))
+
+
+@query("l5_unit_identity", with_views(_IDENTITY))
+def l5_identity(spark, d):
+    return _identity(spark, d)
+
+
+@query(
+    "l5_unit_drift",
+    "select * from (values ('outer', 'parameter_fit', 'digest'), ('3', 'selection_fit', 'rows'), ('4', 'selection_score', 'undeclared'), ('9', 'selection_fit', 'missing'), ('outer', 'overlap:parameter_fit', 'missing')) t(unit, part, status)",
+)
+def l5_drift(spark, d):
+    """A declaration that is wrong in five places finds exactly these."""
+    found = _identity(spark, d)
+    at = lambda unit, part: (F.col("unit") == unit) & (F.col("part") == part)
+    declared = found.where(~at("4", "selection_score")).withColumns(
+        {
+            "digest": F.when(at("outer", "parameter_fit"), F.sha2("digest", 256)).otherwise(F.col("digest")),
+            "n": F.when(at("3", "selection_fit"), F.col("n") + 1).otherwise(F.col("n")),
+        }
+    )
+    wrong = spark.createDataFrame([("9", "selection_fit", 5, "x"), ("outer", "overlap:parameter_fit", 2, ""), ("outer", "overlap:selection_score", 0, "")], found.schema)
+    return unit_drift(found, declared.unionByName(wrong))
+
+
 @query(
     "l6_comparator_report",
     with_views("""with r as (select * from v_ci where not (model=1 and substr(panel,1,1) in ('2','4'))),

@@ -237,6 +237,28 @@ def j9(spark, d):
     return apply_pca_blocks(rows, models, 24)
 
 
+@query(
+    "j9_pca_angles",
+    with_views("""with x as (select record_id, label, unnest(embedding)::double as e, generate_subscripts(embedding,1) as i from v_emb),
+      s as (select i, avg(e) as m, stddev_pop(e) as sd from x where label<>0 group by i),
+      z as (select record_id, x.i, (e-m)/sd as z from x join s on s.i=x.i),
+      n as (select record_id, i<=32 as front, sqrt(sum(z*z)) as length from z group by 1, 2),
+      u as (select z.record_id, i, z/length as u from z join n on n.record_id=z.record_id and n.front=(z.i<=32)),
+      r as (select i, u from u where record_id=(select min_by(record_id, ord) from v_emb))
+      select u.record_id, round(sum(u.u*r.u)/2,5)+0e0 as similarity from u join r on r.i=u.i group by 1"""),
+)
+def j9_angles(spark, d):
+    """All components only turn the scaled blocks, so angles between records are those of the scaled values themselves."""
+    nodes = fx.v_emb(spark, d)
+    rows, names = vector_columns(nodes, "embedding", 64)
+    fit = rows.filter("label <> 0")
+    turned = apply_pca_blocks(rows, [fit_pca_model(fit, names[:32], 32), fit_pca_model(fit, names[32:], 32)], 32)
+    first = nodes.agg(F.min_by("record_id", "ord").alias("record_id"))
+    reference = turned.join(first, "record_id").select("features").scalar()
+    product = F.aggregate(F.zip_with("features", "reference", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+    return turned.withColumn("reference", reference).select("record_id", (F.round(product, 5) + 0.0).alias("similarity"))
+
+
 def _list_sql(expression):
     return with_views(
         f"with x as (select record_id, list_transform(embedding, lambda e: e::double) as v from v_emb), y as (select record_id, {expression} as w from x) "

@@ -81,7 +81,21 @@ def a3(spark, d):
     return file_digests(spark, d, "*.parquet")
 
 
-@query("a3_file_integrity")
+@query(
+    "a3_written_digests",
+    """select 'nation='||s_nationkey as name, sha256(string_agg(s_suppkey||' '||s_name||chr(10), '' order by s_suppkey)) as sha256,
+      cast(sum(strlen(s_suppkey||' '||s_name)+1) as bigint) as bytes from supplier group by s_nationkey""",
+)
+def a3_written(spark, d):
+    """Names, digests and sizes of text files whose bytes follow from a table, one file per nation."""
+    line = F.concat_ws(" ", F.col("s_suppkey").cast("string"), "s_name").alias("value")
+    rows = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", line)
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("nation").sortWithinPartitions("nation", "s_suppkey").drop("s_suppkey").write.partitionBy("nation").text(path)
+    return file_digests(spark, path, "*.txt").withColumn("name", F.substring_index("name", "/", 1))
+
+
+@query("a3_file_integrity", "select * from (values ('nation.parquet', 'digest'), ('region.parquet', 'undeclared'), ('absent.parquet', 'missing')) t(name, status)")
 def a3_integrity(spark, d):
     found = file_digests(spark, d, "*.parquet")
     drifted = F.when(F.col("name") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256"))

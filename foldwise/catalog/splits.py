@@ -128,8 +128,9 @@ def e11(spark, d):
 
 @query(
     "e12_nested_folds",
-    with_views("""select o.fold_index as outer_fold, i.fold_index as inner_fold, o.record_id, case when i.role='scored' then 'selection_score' else 'selection_fit' end as stage
-      from v_part o join v_part i on i.record_id=o.record_id and i.fold_index<>o.fold_index where o.role<>'scored'"""),
+    # a record is scored in its own fold only, so outer and inner stage follow from that fold
+    with_views("""select o.i as outer_fold, n.i as inner_fold, record_id, case when fold_index=n.i then 'selection_score' else 'selection_fit' end as stage
+      from v_pred, (values (0), (1), (2), (3), (4)) o(i), (values (0), (1), (2), (3), (4)) n(i) where o.i<>n.i and fold_index<>o.i"""),
 )
 def e12(spark, d):
     return nested_folds(fx.v_part(spark, d))

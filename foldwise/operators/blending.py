@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
 from ..functions.numbers import is_finite, to_column
-from ..session import collect_small
 from .checks import enforce_label_access
 
 DEFAULT_ALPHA = 0.5
@@ -134,22 +133,21 @@ def crossfit_rows(df: DataFrame, folds: Iterable[int], fold: str = "fold_index")
     return df.withColumn("deployment_fold", F.explode(others))
 
 
-def attach_alpha(
-    scored: DataFrame, coefficients: DataFrame, single: bool = False, fold: str = "fold_index", max_folds: int = 10_000
-) -> DataFrame:
+def attach_alpha(scored: DataFrame, coefficients: DataFrame, single: bool = False, fold: str = "fold_index") -> DataFrame:
     """Give each scored row the weight of its fold, or the single weight.
 
-    Weights are model parameters, one per fold: read once, checked for size, and put into the plan as
-    a literal map, so the scored rows are not shuffled. A fold without a weight is an error.
+    Weights are model parameters, one per fold: a map made once, as a scalar subquery, so the scored rows are not
+    shuffled. A fold with two weights or without one is an error.
     """
-    rows = collect_small(coefficients.select("deployment_fold", "alpha"), max_folds, "coefficient table")
-    if not rows:
+    first = coefficients.select("alpha").head(2)
+    if not first:
         raise ContractViolation("there are no coefficients")
     if single:
-        if len(rows) != 1:
+        if len(first) != 1:
             raise ContractViolation("a single-coefficient policy needs exactly one coefficient")
-        return scored.withColumn("alpha", F.lit(float(rows[0][1])))
-    table = F.create_map(*[F.lit(v) for f, a in rows for v in (int(f), float(a))])
+        return scored.withColumn("alpha", F.lit(float(first[0][0])))
+    entry = F.struct(F.col("deployment_fold").cast("int").alias("key"), F.col("alpha").cast("double").alias("value"))
+    table = coefficients.agg(F.map_from_entries(F.collect_list(entry)).alias("weights")).scalar()
     weight = F.try_element_at(table, F.col(fold).cast("int"))
     error = F.raise_error(F.concat(F.lit("no coefficient for fold "), F.coalesce(F.col(fold).cast("string"), F.lit("null"))))
     return scored.withColumn("alpha", F.coalesce(weight, error.cast("double")))

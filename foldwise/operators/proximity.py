@@ -1,9 +1,13 @@
 """Pairs of points of one group within a distance, for points of any dimension.
 
-A coordinate never differs by more than the distance, so points within the cutoff lie in the same or
-in neighbouring cells of a grid of that side on a few coordinates. Crowded cells are cut into tiles by
-a hash, and each pair of tiles is a group of its own, so neither a crowded cell nor one hot group ends
-up in one task. A task compares two tiles with one matrix product; only true pairs leave it.
+A projection on a unit vector never moves two points further apart, so points within the cutoff lie in the same or in
+neighbouring cells of a grid of that side on a few projections. The directions are seeded; the ones on which the points
+spread most are used, and only if they spread over more than two cells, as a grid costs copies of the rows. (Points that
+lie all around a sphere no larger than the cutoff, like unit vectors, spread on none; their groups are one cell each.)
+
+Crowded cells are cut into tiles by a hash, and each pair of tiles is a group of its own, so neither a crowded cell nor
+one hot group ends up in one task. A pair of cells or tiles is compared in one order only, by one matrix product; only
+true pairs leave the task, and are mirrored then.
 """
 
 from __future__ import annotations
@@ -12,18 +16,37 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
+from ..session import written
 
 TILE_ROWS = 2_000
+DIRECTIONS = 16
+AXES = 3
+
 
+def _projection(point: Column, direction: list[float]) -> Column:
+    products = F.zip_with(point, F.array(*map(F.lit, direction)), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
-def _cells(point, axes, cutoff):
-    """Cells centred at zero: points that spread less than the cutoff around it share one cell."""
-    return [F.floor(F.element_at(point, axis + 1) / F.lit(float(cutoff)) + F.lit(0.5)) for axis in axes]
+
+def spread_directions(nodes: DataFrame, cutoff: float, vector: str = "embedding", axes: int = AXES, seed: int = 5) -> list[list[float]]:
+    """At most ``axes`` seeded unit vectors, by falling spread of the points, over more than two cells each."""
+    first = nodes.select(F.size(vector)).where(F.col(vector).isNotNull()).first()
+    if not axes or first is None or first[0] < 1:
+        return []
+    drawn = np.random.default_rng(seed).normal(size=(DIRECTIONS, first[0]))
+    drawn = (drawn / np.linalg.norm(drawn, axis=1, keepdims=True)).tolist()
+    asked = []
+    for i, direction in enumerate(drawn):
+        place = _projection(as_vector(vector), direction)
+        asked += [F.stddev_pop(place).alias(f"s{i}"), (F.max(place) - F.min(place)).alias(f"w{i}")]
+    row = nodes.agg(*asked).first()
+    wide = [i for i in range(DIRECTIONS) if row[f"w{i}"] is not None and row[f"w{i}"] > 2 * cutoff]
+    return [drawn[i] for i in sorted(wide, key=lambda i: -row[f"s{i}"])[:axes]]
 
 
 def close_pairs(
@@ -32,78 +55,70 @@ def close_pairs(
     group: str = "label",
     key: str = "record_id",
     vector: str = "embedding",
-    axes: tuple[int, ...] = (0, 1, 2),
+    axes: int = AXES,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Ordered pairs (group, source, target, distance) with distance <= cutoff and source != target."""
-    names = [f"_c{i}" for i in range(len(axes))]
+    directions = spread_directions(nodes, cutoff, vector, axes)
+    names = [f"_c{i}" for i in range(len(directions))]
     point = as_vector(vector)
-    placed = nodes.select(
-        F.col(group).alias("_group"),
-        F.col(key).alias("_key"),
-        point.alias("_point"),
-        *[c.alias(n) for c, n in zip(_cells(point, axes, cutoff), names)],
-    )
+    cells = [F.floor(_projection(point, d) / F.lit(float(cutoff))).alias(n) for d, n in zip(directions, names)]
+    placed = nodes.select(F.col(group).alias("_group"), F.col(key).alias("_key"), point.alias("_point"), *cells)
     sizes = placed.groupBy("_group", *names).agg(F.count(F.lit(1)).alias("_rows"))
-    # A cell meets its neighbours, so both sides of a tile pair must know both tile counts. Counts are
-    # spread to the neighbours as "reach": the target cell's count seen from the source cell.
-    shifts = reduce(lambda rows, _: [r + (d,) for r in rows for d in (-1, 0, 1)], names, [()])
-    moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(s, names)]) for s in shifts]))
-    reach = sizes.select("*", moves.alias("_m")).select(
+    # Of a cell and its neighbours only those behind it in the order of the coordinates, so each pair of cells is met once.
+    moves = [m for m in reduce(lambda rows, _: [r + (d,) for r in rows for d in (-1, 0, 1)], names, [()]) if m >= (0,) * len(names)]
+    number = F.explode(F.array(*[F.struct(F.lit(i).alias("_move"), *[F.lit(d).alias(n) for d, n in zip(m, names)]) for i, m in enumerate(moves)]))
+    zero = moves.index((0,) * len(names))
+    reach = sizes.select("*", number.alias("_m")).select(
         "_group",
+        F.col("_m._move").alias("_move"),
         *[F.col(n).alias(f"_t{n}") for n in names],
         *[(F.col(n) - F.col(f"_m.{n}")).alias(n) for n in names],
         F.col("_rows").alias("_target_rows"),
     )
-    cell_pairs = reach.join(sizes.withColumnRenamed("_rows", "_source_rows"), ["_group", *names])
-    cell_pairs = cell_pairs.withColumns(
-        {
-            "_a": F.greatest(F.lit(1), F.ceil(F.col("_source_rows") / F.lit(tile_rows))),
-            "_b": F.greatest(F.lit(1), F.ceil(F.col("_target_rows") / F.lit(tile_rows))),
-        }
-    )
-    # A hash of the key, not of the row order, decides the tile.
-    tile = F.pmod(F.xxhash64("_key"), F.col("_of"))
-    tiles = [f"_t{n}" for n in names]
-    on = ["_group", *names, *tiles, "_i", "_j"]
-    # Source rows: one copy for every tile of every neighbouring cell that has points.
-    source = (
-        placed.join(cell_pairs.select("_group", *names, *tiles, "_a", "_b"), ["_group", *names])
-        .withColumn("_of", F.col("_a"))
-        .withColumn("_i", tile)
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)))
-        .select(*on, "_key", "_point")
-    )
-    target = (
-        placed.select("_group", *[F.col(n).alias(t) for n, t in zip(names, tiles)], "_key", "_point")
-        .join(cell_pairs.select("_group", *names, *tiles, "_a", "_b"), ["_group", *tiles])
-        .withColumn("_of", F.col("_b"))
-        .withColumn("_j", tile)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_a") - 1)))
-        .select(*on, "_key", "_point")
-    )
+    pairs = reach.join(sizes.withColumnRenamed("_rows", "_source_rows"), ["_group", *names])
+    tiles = {"_a": "_source_rows", "_b": "_target_rows"}
+    pairs = pairs.withColumns({n: F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(tile_rows))).cast("int") for n, rows in tiles.items()})
+    inside = F.col("_move") == zero
+    on = ["_group", "_move", *names, "_i", "_j"]
+    # A hash of the key, not of the row order, decides the tile. Inside a cell tile i meets the tiles from i on.
+    near = pairs.select("_group", "_move", *names, "_a", "_b")
+    own = F.pmod(F.xxhash64("_key"), F.col("_a")).cast("int").alias("_i")
+    left = placed.join(near, ["_group", *names]).select("*", own)
+    left = left.withColumn("_j", F.explode(F.sequence(F.when(inside, F.col("_i")).otherwise(F.lit(0)), F.col("_b") - 1)))
+    far = pairs.select("_group", "_move", *names, *[f"_t{n}" for n in names], "_a", "_b")
+    moved = placed.select("_group", "_key", "_point", *[F.col(n).alias(f"_t{n}") for n in names])
+    own = F.pmod(F.xxhash64("_key"), F.col("_b")).cast("int").alias("_j")
+    right = moved.join(far, ["_group", *[f"_t{n}" for n in names]]).select("*", own)
+    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("_j")).otherwise(F.col("_a") - 1))))
+    left, right = (side.select(*on, "_key", "_point") for side in (left, right))
     # Both sides descend from the same table; new names keep their columns apart.
-    target = target.toDF(*[f"{c}_right" for c in target.columns])
+    right = right.toDF(*[f"{c}_right" for c in right.columns])
     limit = float(cutoff)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({group: [], "source": [], "target": [], "distance": []})
+            return pd.DataFrame({group: [], "a": [], "b": [], "distance": []})
+        head = left.iloc[0]
         a, b = np.stack(left["_point"].to_numpy()), np.stack(right["_point_right"].to_numpy())
         # The product form is fast but rounds; it only picks candidates, with room to spare.
         squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
         slack = 1e-9 * (1.0 + (a * a).sum(axis=1).max() + (b * b).sum(axis=1).max())
         i, j = np.nonzero(squares <= limit * limit + slack)
+        one, two = left["_key"].to_numpy()[i], right["_key_right"].to_numpy()[j]
+        once = one < two if head["_move"] == zero and head["_i"] == head["_j"] else one != two
+        i, j, one, two = i[once], j[once], one[once], two[once]
         exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
-        sources, targets = left["_key"].to_numpy()[i], right["_key_right"].to_numpy()[j]
-        kept = (exact <= limit) & (sources != targets)
-        out = pd.DataFrame({"source": sources[kept], "target": targets[kept], "distance": exact[kept]})
-        out.insert(0, group, left["_group"].iloc[0])
+        kept = exact <= limit
+        out = pd.DataFrame({"a": one[kept], "b": two[kept], "distance": exact[kept]})
+        out.insert(0, group, head["_group"])
         return out
 
-    fields = [(group, nodes.schema[group]), ("source", nodes.schema[key]), ("target", nodes.schema[key])]
+    fields = [(group, nodes.schema[group]), ("a", nodes.schema[key]), ("b", nodes.schema[key])]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in fields] + [T.StructField("distance", T.DoubleType())])
-    return source.groupBy(*on).cogroup(target.groupBy(*[f"{c}_right" for c in on])).applyInPandas(compare, schema)
+    found = left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_right" for c in on])).applyInPandas(compare, schema)
+    both = F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target"))))
+    return found.select(group, both, "distance")
 
 
 def proximity_edges(
@@ -120,7 +135,8 @@ def proximity_edges(
     ``listed`` holds (group, source, target); columns out: group, source, target, kind. The self-loop
     sits on the least key of the group.
     """
-    close = close_pairs(nodes, cutoff, group, key, vector, **options).select(group, "source", "target")
+    # The pairs are needed for the edges and for the groups without one, so they are written once.
+    close = written(close_pairs(nodes, cutoff, group, key, vector, **options).select(group, "source", "target"))
     added = close.join(listed.select(group, "source", "target"), [group, "source", "target"], "left_anti")
     edges = listed.select(group, "source", "target", F.lit("listed").alias("kind")).unionByName(
         added.withColumn("kind", F.lit("proximity"))

@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import display_text
-from ..session import collect_small
 from .checks import require_empty
 
 
 def report_grid(
-    models: DataFrame, panels: DataFrame, results: DataFrame, model: str = "model", panel: str = "panel", max_panels: int = 10_000
+    models: DataFrame, panels: DataFrame, results: DataFrame, model: str = "model", panel: str = "panel"
 ) -> DataFrame:
     """Every model with every panel, left-joined to the results; ``available`` marks the holes.
 
-    Panels are the columns of a printed report: read once, checked for number, and expanded per model.
+    Panels are the columns of a report: gathered once, as a scalar subquery, and expanded per model.
     """
-    rows = collect_small(panels.select(panel).distinct(), max_panels, "panel list")
-    names = sorted(row[0] for row in rows)
-    grid = models.select(model).distinct().withColumn(panel, F.explode(F.array(*[F.lit(n) for n in names])))
+    names = panels.agg(F.array_sort(F.collect_set(panel)).alias("panels")).scalar()
+    grid = models.select(model).distinct().withColumn(panel, F.explode(names))
     marked = results.withColumn("available", F.lit(True))
     return grid.join(marked, [model, panel], "left").withColumn("available", F.coalesce("available", F.lit(False)))
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation
 from ..operators.aggregates import SCORED_MODES, aggregate_scored, scored_problems
 from ..operators.blending import attach_alpha, blend, fit_bound_alpha
 from ..operators.bootstrap import REPLICATES, paired_comparisons
-from ..operators.checks import enforce_label_access, ensure_label_free, require_columns, require_empty
-from ..operators.keys import bind_exact, bind_status, coefficient_overlap
+from ..operators.checks import conformance, enforce_label_access, ensure_label_free, require_columns, require_empty
+from ..operators.keys import bind_exact, bind_status, coefficient_overlap, fingerprint
 from ..operators.metrics import regression_metrics
 from ..session import collect_small
 
@@ -138,6 +139,36 @@ def score(
     return Score(regression_metrics(bound, "target", columns), paired)
 
 
+def table_digest(df: DataFrame, name: str) -> DataFrame:
+    """(name, n, digest) of a table: order-free, over all its columns by name."""
+    line = F.to_json(F.struct(*[df[c] for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    return fingerprint(df, [], line).select(F.lit(name).alias("name"), "n", "digest")
+
+
+def write_assembly(assembly: Assembly, labels: DataFrame, path: str) -> DataFrame:
+    """Write predictions, coefficients and the labels they will be scored on, with a manifest of their digests.
+
+    The manifest is taken of the written tables. Existing output is refused.
+    """
+    spark, parts = assembly.predictions.sparkSession, []
+    tables = {"predictions": assembly.predictions, "coefficients": assembly.coefficients, "labels": labels.select("record_id", "target")}
+    for name, table in tables.items():
+        table.write.mode("errorifexists").parquet(f"{path}/{name}")
+        parts.append(table_digest(spark.read.parquet(f"{path}/{name}"), name))
+    manifest = reduce(DataFrame.unionByName, parts)
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def score_written(spark: SparkSession, path: str, **options) -> Score:
+    """Score a written assembly; a table that is not the one of the manifest is refused before any label is bound."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("predictions", "coefficients", "labels")}
+    found = reduce(DataFrame.unionByName, [table_digest(table, name) for name, table in tables.items()])
+    declared = spark.read.parquet(f"{path}/manifest")
+    require_empty(conformance(declared, found, ["name"], ["n", "digest"]), "written tables differ from the manifest")
+    return score(tables["predictions"], tables["labels"], **options)
+
+
 def crossfit_report(bound: DataFrame, coefficients: DataFrame) -> DataFrame:
     """Metrics of both components and of the blend for rows that carry fold and target."""
     weighted = attach_alpha(bound, coefficients)

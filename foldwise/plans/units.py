@@ -13,6 +13,7 @@ from ..operators.checks import conformance, finite_violations, require_empty, ro
 from ..operators.features import FeatureFilter, FilterConfig, apply_feature_filter, fit_feature_filter
 from ..operators.keys import fingerprint, missing_ids, stage_overlaps
 from ..operators.search import (
+    PATIENCE,
     best_iteration,
     refit_ensemble,
     save_run,
@@ -65,12 +66,63 @@ def verify_unit(stages: DataFrame, base: DataFrame, expected: DataFrame | None =
         require_empty(shared, "a training stage overlaps the scored rows")
 
 
+ASSIGNMENT, OVERLAP = "assignment", "overlap:"
+
+
+def unit_identity(stages: DataFrame, nested: DataFrame | None = None) -> DataFrame:
+    """What a unit is made of: (unit, part, n, digest), from one pass over its stages and its nested stages.
+
+    Units are ``outer`` and the numbers of the inner folds. Parts are the stages, with rows and fingerprint of their
+    records; ``assignment``, over all lines of stage and record; and, for the outer unit, ``overlap:`` with a training
+    stage, with the number of records that are scored as well, if there are any.
+    """
+    rows = stages.select(F.lit("outer").alias("unit"), "stage", "record_id")
+    if nested is not None:
+        rows = rows.unionByName(nested.select(F.col("inner_fold").cast("string").alias("unit"), "stage", "record_id"))
+    both = F.array(
+        F.struct(F.col("stage").alias("part"), F.col("record_id").cast("string").alias("line")),
+        F.struct(F.lit(ASSIGNMENT).alias("part"), F.concat_ws("\t", "stage", "record_id").alias("line")),
+    )
+    parts = fingerprint(rows.select("unit", F.inline(both)), ["unit", "part"], "line")
+    shared = stage_overlaps(stages).withColumn("other", F.when(F.col("stage_a") == SCORED_STAGE, F.col("stage_b")).when(F.col("stage_b") == SCORED_STAGE, F.col("stage_a")))
+    counted = shared.where("other is not null").select(
+        F.lit("outer").alias("unit"), F.concat(F.lit(OVERLAP), "other").alias("part"), F.col("n").cast("bigint").alias("n"), F.lit("").alias("digest")
+    )
+    return parts.select("unit", "part", F.col("n").cast("bigint").alias("n"), "digest").unionByName(counted)
+
+
+def unit_drift(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Parts that differ between two tables of :func:`unit_identity`: unit, part, status.
+
+    The status is ``missing``, ``undeclared``, ``rows`` or ``digest``; an overlap of no rows need not be named.
+    """
+    one, two = (df.where("n > 0").select("unit", "part", F.struct("n", "digest").alias(name)) for df, name in ((found, "_f"), (declared, "_d")))
+    status = (
+        F.when(F.col("_f").isNull(), F.lit("missing"))
+        .when(F.col("_d").isNull(), F.lit("undeclared"))
+        .when(F.col("_f.n") != F.col("_d.n"), F.lit("rows"))
+        .when(F.col("_f.digest") != F.col("_d.digest"), F.lit("digest"))
+    )
+    return one.join(two, ["unit", "part"], "full_outer").select("unit", "part", status.alias("status")).where("status is not null")
+
+
 @dataclass
 class PreparedUnit:
+    """Rows for a fit, and the persisted table behind them; ``close`` lets go of it, also at the end of a ``with``."""
+
     rows: DataFrame
     fitted: FeatureFilter
     cached: DataFrame
 
+    def close(self) -> None:
+        self.cached.unpersist()
+
+    def __enter__(self) -> PreparedUnit:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
 
 def prepare_unit(
     features: DataFrame, partitions: DataFrame, labels: DataFrame, columns: Sequence[str], config: FilterConfig,
@@ -122,15 +174,18 @@ def run_fold(
     seeds: Sequence[int] = (),
     path: str | None = None,
     summary: Mapping[str, str] | None = None,
-    early_stopping: bool = True,
+    patience: int | None = PATIENCE,
+    tree_budget: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Search on one selection set, predict the scored rows, write: (predictions, trial records).
 
     Without ``seeds`` the selected model itself predicts. With them the chosen parameters are frozen,
     the filter and the model are refitted on all development rows under each seed, and the mean is
-    taken; the number of trees is then the one the search settled on.
+    taken; the number of trees is then the one the search settled on, or, without patience, the candidate's own.
     """
-    result = search_trials(unit.rows, unit.fitted.retained, candidates, lambda t: base_seed + t, early_stopping=early_stopping)
+    result = search_trials(
+        unit.rows, unit.fitted.retained, candidates, lambda t: base_seed + t, patience=patience, tree_budget=tree_budget
+    )
     trees = best_iteration(result.model) + 1
     if seeds:
         unit = refit_unit(unit)
@@ -144,7 +199,7 @@ def run_fold(
     if path:
         facts = {**(summary or {}), "trial": str(result.trial), "trees": str(trees)}
         predictions = _write(path, predictions, model, unit, facts)
-        unit.cached.unpersist()
+        unit.close()
     return predictions, result.records
 
 
@@ -161,6 +216,7 @@ def run_nested_fold(
     tree_budget: int | None = None,
     path: str | None = None,
     summary: Mapping[str, str] | None = None,
+    patience: int = PATIENCE,
 ) -> tuple[DataFrame, DataFrame]:
     """Nested search over the other folds, then a seeded refit on all development rows of the fold.
 
@@ -176,7 +232,7 @@ def run_nested_fold(
             roles = inner.filter(F.col("inner_fold") == row[0]).select("record_id", role.alias("role"))
             units[row[0]] = prepare_unit(features, roles, labels, columns, config)
         rows = {g: (u.rows, u.fitted.retained) for g, u in units.items()}
-        records, parameters = search_nested(rows, candidates, base_seed, tree_budget)
+        records, parameters = search_nested(rows, candidates, base_seed, tree_budget, patience=patience)
         best = select_nested(records).first()
     finally:
         inner.unpersist()
@@ -191,8 +247,8 @@ def run_nested_fold(
     if path:
         facts = {**(summary or {}), "trial": str(best["trial"]), "trees": str(best["final_tree_count"])}
         predictions = _write(path, predictions, models[0], unit, facts)
-        unit.cached.unpersist()
+        unit.close()
     return predictions, records
 
 
-__all__ = ["materialise", "nested_stages", "verify_unit", "prepare_unit", "run_fold", "run_nested_fold", "refit_unit", "PreparedUnit", "stage_summary", "assignment_fingerprint"]
+__all__ = ["materialise", "nested_stages", "verify_unit", "prepare_unit", "run_fold", "run_nested_fold", "refit_unit", "PreparedUnit", "stage_summary", "assignment_fingerprint", "unit_identity", "unit_drift"]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise import ContractViolation
 from foldwise.plans.assembling import Evaluation, assemble, fit_coefficients, score
@@ -116,3 +117,24 @@ def test_scores_equal_a_plain_computation_and_repeat(spark):
     for wrong in ((predictions, labels.filter("record_id <> 'r3'")), (predictions.drop("blend"), labels)):
         with pytest.raises(ContractViolation):
             score(*wrong, replicates=5)
+
+
+@pytest.mark.parametrize("changed", ["predictions", "labels", "coefficients", None])
+def test_written_tables_are_proved_before_they_are_scored(spark, tmp_path, changed):
+    from foldwise.plans.assembling import score_written, write_assembly
+
+    study = Study(spark, 9, [0, 1])
+    assembly = assemble(Evaluation((0, 1), "crossfit", "one_held_out", 12), study.scored, *study.coefficients())
+    labels = assembly.predictions.select("record_id", (F.length("record_id") * 0.25).alias("target"))
+    path = str(tmp_path / "a")
+    assert {row["name"]: row["n"] for row in write_assembly(assembly, labels, path).collect()}["predictions"] == 12
+    if changed is None:
+        direct = score(assembly.predictions, labels, replicates=20)
+        assert sorted(score_written(spark, path, replicates=20).metrics.collect()) == sorted(direct.metrics.collect())
+        return
+    column = {"predictions": "blend", "labels": "target", "coefficients": "alpha"}[changed]
+    table = spark.createDataFrame(spark.read.parquet(f"{path}/{changed}").collect(), spark.read.parquet(f"{path}/{changed}").schema)
+    least = F.col(column) == F.lit(table.agg(F.min(column)).first()[0])
+    table.withColumn(column, F.when(least, F.col(column) + 1e-9).otherwise(F.col(column))).write.mode("overwrite").parquet(f"{path}/{changed}")
+    with pytest.raises(ContractViolation, match="manifest"):
+        score_written(spark, path, replicates=20)

@@ -76,16 +76,18 @@ def test_each_row_of_a_block_is_drawn_equally_often():
 def test_many_groups_and_one_deep_tree(spark, monkeypatch):
     from foldwise.operators import bootstrap
 
-    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 4)
-    ids = spark.range(5_000 * 20).withColumn("g", F.col("id") % 5_000)
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 16)
+    ids = spark.range(400 * 40).withColumn("g", F.col("id") % 400)
     noise = [F.rand(seed) for seed in (1, 2)]
-    rows = ids.select(F.col("id").alias("record_id"), "g", F.lit(0.0).alias("target"), noise[0].alias("a"), noise[1].alias("b"))
+    rows = ids.select(F.col("id").alias("record_id"), "g", F.lit(0.0).alias("target"), noise[0].alias("a"), noise[1].alias("b")).persist()
     found = paired_bootstrap(rows, "a", "b", 9, 20, by=["g"])
-    summary = found.agg(F.count(F.lit(1)), F.sum("n"), F.count_if((F.col("ci99_low") <= F.col("ci95_low")) & (F.col("ci95_high") <= F.col("ci99_high")))).first()
-    assert tuple(summary) == (5_000, 100_000, 5_000)
-    deep = one(rows, "multinomial", 50)
+    inside = F.count_if((F.col("ci99_low") <= F.col("ci95_low")) & (F.col("ci95_high") <= F.col("ci99_high")))
+    assert tuple(found.agg(F.count(F.lit(1)), F.sum("n"), inside).first()) == (400, 16_000, 400)
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 8)
+    few = rows.where("record_id < 2000")
+    deep = one(few, "multinomial", 50)
     monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 40_000)
-    assert deep["delta"] == pytest.approx(one(rows, "multinomial", 50)["delta"])
+    assert deep["delta"] == pytest.approx(one(few, "multinomial", 50)["delta"])
 
 
 def test_intervals_fit_the_large_sample_error(rows):

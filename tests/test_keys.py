@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldwise import ContractViolation
 from foldwise.operators import keys
 from foldwise.operators.containment import passage_overlap
-from foldwise.operators.proximity import close_pairs, proximity_edges
+from foldwise.operators.proximity import close_pairs, proximity_edges, spread_directions
 
 
 def predictions(spark, ids):
@@ -130,6 +130,28 @@ def test_close_pairs_equal_brute_force_with_a_hot_group(spark, tile_rows):
     assert found == brute_pairs(points, 1.1)
 
 
+@pytest.mark.parametrize("axes,tile_rows", [(3, 2000), (2, 4), (1, 30), (0, 9)])
+def test_close_pairs_of_many_dimensions(spark, axes, tile_rows):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 24)) * 6
+    points = {f"p{i}": (f"g{i % 2}", (middles[i % 12] + rng.normal(size=24) * 0.5).tolist()) for i in range(180)}
+    nodes = spark.createDataFrame([(k, g, p) for k, (g, p) in points.items()], "record_id string, label string, embedding array<double>")
+    directions = np.array(spread_directions(nodes, 3.0, axes=axes)).reshape(-1, 24)
+    assert len(directions) == axes and np.allclose((directions**2).sum(axis=1), 1)
+    found = sorted((r["label"], r["source"], r["target"]) for r in close_pairs(nodes, 3.0, axes=axes, tile_rows=tile_rows).collect())
+    assert found == brute_pairs(points, 3.0) and len(found) > 1000
+
+
+def test_points_on_a_small_sphere_have_no_grid(spark):
+    points = np.random.default_rng(2).normal(size=(60, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, "g", p) for i, p in enumerate(points.tolist())], "record_id long, label string, embedding array<double>")
+    assert spread_directions(nodes, 1.2) == [] == spread_directions(nodes.limit(0), 1.2)
+    assert close_pairs(nodes.limit(0), 1.2).count() == 0
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    assert close_pairs(nodes, 1.2).count() == int((distance <= 1.2).sum()) - 60
+
+
 def test_edges_keep_listed_and_give_loops_to_lonely_groups(spark):
     nodes = spark.createDataFrame(
         [("a", "g", [0.0, 0.0, 0.0]), ("b", "g", [1.0, 0.0, 0.0]), ("c", "g", [9.0, 0.0, 0.0]), ("d", "h", [0.0, 0.0, 0.0]), ("e", "h", [9.0, 0.0, 0.0])],

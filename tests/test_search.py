@@ -10,9 +10,12 @@ from foldwise.operators import reports
 from foldwise.operators.features import FeatureFilter
 from foldwise.operators.search import (
     SEARCH_SPACES,
+    BoostedTrees,
+    best_stage,
     candidate_grid,
     fit_gbt,
     gbt_parameters,
+    penalised,
     reuse_model,
     save_run,
     search_trials,
@@ -110,9 +113,65 @@ def test_search_and_reuse(spark, rows, tmp_path):
         reuse_model(path, table, {"fold": "3"})
 
 
-def test_early_stopping_needs_a_validation_column(rows):
-    model = fit_gbt(rows.withColumn("v", F.col("role") == "selection"), ["a", "b"], {"n_estimators": 4, "max_depth": 3}, 1, validation="v")
-    assert 1 <= model.stages[-1].getNumTrees <= 4
+def test_the_best_stage_is_that_of_a_plain_loop():
+    rng = random.Random(3)
+    for _ in range(200):
+        errors = [rng.choice([1, 2, 3, 4, 5]) / rng.randint(1, 9) for _ in range(rng.randint(1, 25))]
+        patience, best, waited = rng.randint(1, 6), 0, 0
+        for i in range(1, len(errors)):
+            waited = 0 if errors[i] < errors[best] else waited + 1
+            best = best if waited else i
+            if waited >= patience:
+                break
+        assert best_stage(errors, patience) == best
+
+
+@pytest.mark.parametrize("penalties", [{}, {"reg_alpha": 0.3, "reg_lambda": 1.5}])
+def test_an_ensemble_is_cut_at_its_best_tree(rows, penalties):
+    noisy = rows.withColumn("target", F.col("target") + F.hash("record_id") % 5).withColumn("v", F.col("role") == "selection")
+    parameters = {"n_estimators": 14, "max_depth": 4, "learning_rate": 0.9} | penalties
+    whole = fit_gbt(noisy.filter("not v"), ["a", "b"], parameters, 1)
+    selection = noisy.filter("v")
+    prefixes = []
+    for trees in range(1, 15):
+        scored = whole.first(trees).transform(selection)
+        prefixes.append(scored.agg(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0])
+    assert whole.errors(selection) == pytest.approx(prefixes)
+    cut = fit_gbt(noisy, ["a", "b"], parameters, 1, validation="v", patience=2)
+    assert cut.trees == best_stage(prefixes, 2) + 1 < 14
+    row = cut.transform(selection).agg(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()
+    assert row[0] == pytest.approx(prefixes[cut.trees - 1])
+
+
+def test_leaf_values_are_those_of_plain_sums(rows, tmp_path):
+    fit = rows.filter("role = 'fit'")
+    own = fit_gbt(fit, ["a", "b"], {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3}, 1)
+    table = own.leaves(fit).toPandas()
+    reached, alpha, penalty = [0.0] * len(table), 2.0, 3.0
+    found = penalised(own, fit, alpha, penalty)
+    for tree, weight in enumerate(own.model.treeWeights):
+        leaf = [leaves[tree] for leaves in table["_leaves"]]
+        for one in set(leaf):
+            inside = [i for i, x in enumerate(leaf) if x == one]
+            total = sum(table["target"][i] - reached[i] for i in inside)
+            value = math.copysign(max(0.0, abs(total) - alpha), total) / (len(inside) + penalty) * weight * (2 if tree else 1)
+            assert found.leaf_values[tree][one] == pytest.approx(value)
+        reached = [r + found.leaf_values[tree][x] for r, x in zip(reached, leaf)]
+    predicted = [row["prediction"] for row in found.transform(fit).collect()]
+    assert predicted == pytest.approx(reached)
+    plain = [row["prediction"] for row in own.transform(fit).collect()]
+    assert [row["prediction"] for row in penalised(own, fit, 0.0, 0.0).transform(fit).collect()] == pytest.approx(plain)
+    found.save(str(tmp_path / "m"))
+    assert [row["prediction"] for row in BoostedTrees.load(str(tmp_path / "m")).transform(fit).collect()] == predicted
+    with pytest.raises(ContractViolation):
+        fit_gbt(fit, ["a", "b"], {"n_estimators": 1, "reg_lambda": -1.0}, 1)
+
+
+def test_a_tree_budget_is_for_candidates_without_their_own_number(rows):
+    result = search_trials(rows, ["a", "b"], [{"max_depth": 2}], lambda t: t, patience=1, tree_budget=4)
+    assert result.parameters == {"max_depth": 2, "n_estimators": 4} and result.model.trees <= 4
+    with pytest.raises(ContractViolation):
+        search_trials(rows, ["a", "b"], [{"n_estimators": 2}], lambda t: t, tree_budget=4)
 
 
 REPORT = "model string, panel string, n bigint, rmse double, delta double, ci95_low double, ci95_high double, ci99_low double, ci99_high double"
