@@ -37,12 +37,14 @@ def described(docs: DataFrame, key: str, text: str, dimensions: tuple[str, ...])
         F.col(key).alias("doc_id"),
         (F.octet_length(content) + 1).cast("bigint").alias("size"),
         F.crc32(content).cast("bigint").alias("text_crc32"),
+        F.xxhash64(content).alias("digest"),
         *[F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(-1)).cast("bigint").alias(f"d{i}") for i, name in enumerate(dimensions)],
     )
     names = [f"d{i}" for i in range(len(dimensions))]
-    groups = rows.groupBy("text_crc32", "size").agg(F.min(F.struct("doc_id", *names)).alias("first"))
-    groups = groups.select("text_crc32", "size", *[f"first.{name}" for name in names])
-    joined = rows.select("doc_id", "text_crc32", "size").join(groups, ["text_crc32", "size"])
+    same = ["digest", "text_crc32", "size"]  # 96 bits and the size stand for the text
+    groups = rows.groupBy(*same).agg(F.min(F.struct("doc_id", *names)).alias("first"))
+    groups = groups.select(*same, *[f"first.{name}" for name in names])
+    joined = rows.select("doc_id", *same).join(groups, same).drop("digest")
     numbered = joined.withColumns(
         {
             f"d{len(dimensions)}": F.col("size"),
