@@ -5,11 +5,12 @@ emission probability of their own in every state; all other words share one clas
 the word's share of the class by its (smoothed) count. Unseen words are one further type of that class. So every token
 has a probability, and the probabilities of all types sum to one in every state.
 
-Counts of words are taken over the whole corpus. Each round of Baum-Welch sends the model to the tasks; a task runs the
-scaled forward and backward recursion over packed batches of texts and gives back expected counts: of starts and
-transitions, and of emissions per word. These are summed by Spark and are the next model. Every round runs
-over all training texts; the seeded start breaks the symmetry of the states. A score is the logarithm of the text's
-probability by the scaled forward recursion: no pruning, no window.
+Counts of words are taken over the whole corpus, and the training texts are written once as numbers of words. Each round
+of Baum-Welch sends the model to the tasks; a task runs the scaled forward and backward recursion over packed batches of
+texts of like length and gives back expected counts: of starts and transitions, and of emissions per word. These are
+summed by Spark and are the next model. Every round runs over all training texts; the seeded start breaks the symmetry of
+the states. Rounds end when the mean log10 probability of a token has stopped to rise by ``gain``, and after ``rounds`` at
+the latest. A score is the logarithm of the text's probability by the scaled forward recursion: no pruning, no window.
 
 Only the model goes through the driver: states x (frequent + 2) numbers, whatever the size of the corpus. The counts of
 rare words stay distributed and meet the documents in a join of (document, rare words) rows.
@@ -31,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, written
 
 END, RARE = 0, 1
 SMOOTHING = 0.1
 BATCH_TOKENS = 600_000
+HELD_TOKENS = 4_000_000
+GAIN = 0.001
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,30 +61,28 @@ class Hmm:
 class Packed:
     """Sequences side by side, longest first, so that step t works on a prefix of them at once."""
 
-    def __init__(self, sequences: list[list[int]]):
-        lengths = np.array([len(s) for s in sequences])
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        """``flat`` has the numbers of all sequences one after another; each sequence has at least its end."""
         self.order = np.argsort(-lengths, kind="stable")
-        flat = np.concatenate([np.array(sequences[i], np.int32) for i in self.order])
-        lengths = lengths[self.order]
+        place = np.empty(len(lengths), np.int64)
+        place[self.order] = np.arange(len(lengths))
         begins = np.cumsum(lengths) - lengths
-        steps = np.arange(lengths[0] if len(lengths) else 0)
-        self.active = np.searchsorted(-lengths, -steps, side="left")  # sequences longer than t
+        steps = np.arange(lengths.max(initial=0))
+        self.active = np.searchsorted(-lengths[self.order], -steps, side="left")  # sequences longer than t
         self.offsets = np.append(0, np.cumsum(self.active))
         column = np.arange(len(flat)) - np.repeat(begins, lengths)
-        row = np.repeat(np.arange(len(lengths)), lengths)
         self.tokens = np.empty(len(flat), np.int32)
-        self.tokens[self.offsets[column] + row] = flat
-        self.last = self.offsets[lengths - 1] + np.arange(len(lengths))
+        self.tokens[self.offsets[column] + np.repeat(place, lengths)] = flat
 
-    def forward(self, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, model: Hmm, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward variables and the scales; the scales of a sequence multiply to its probability."""
-        emit = np.ascontiguousarray(model.emit.T)
-        alpha = emit[self.tokens]
-        scales = np.empty(len(self.tokens))
+        alpha = np.ascontiguousarray(model.emit.T, dtype=kind)[self.tokens]
+        start, move = model.start.astype(kind), model.move.astype(kind)
+        scales = np.empty(len(self.tokens), kind)
         before = None
         for t, n in enumerate(self.active):
             here = alpha[self.offsets[t] : self.offsets[t] + n]
-            here *= model.start if t == 0 else before[:n] @ model.move
+            here *= start if t == 0 else before[:n] @ move
             total = here.sum(axis=1)
             here /= total[:, None]
             scales[self.offsets[t] : self.offsets[t] + n] = total
@@ -100,42 +101,78 @@ class Packed:
         return result
 
     def expected(self, model: Hmm, counts: dict[str, np.ndarray]) -> None:
-        """Add the expected starts, moves and emissions of the batch to ``counts``."""
-        alpha, scales = self.forward(model)
-        emit = np.ascontiguousarray(model.emit.T)[self.tokens]
+        """Add the expected starts, moves and emissions of the batch, and its log10 probability, to ``counts``."""
+        alpha, scales = self.forward(model, np.float32)
+        counts["gained"] += (np.log10(scales).sum(dtype=float), len(scales))
+        emit = np.ascontiguousarray(model.emit.T, dtype=np.float32)[self.tokens]
         emit /= scales[:, None]
-        share = np.empty_like(alpha)  # probability of each state at each place
-        moved = np.zeros_like(model.move)
-        for t in range(len(self.active) - 1, -1, -1):
-            n, at = self.active[t], self.offsets[t]
-            share[at : at + n] = alpha[at : at + n]
-            if t + 1 < len(self.active):
-                m, after = self.active[t + 1], self.offsets[t + 1]
-                ahead = emit[after : after + m] * beta[:m]
-                moved += alpha[at : at + m].T @ ahead
-                back = ahead @ model.move.T
-                beta = np.concatenate([back, np.ones((n - m, len(model.start)))]) if n > m else back
-                share[at : at + m] *= back
-            else:
-                beta = np.ones((n, len(model.start)))
-        counts["start"] += share[: self.active[0]].sum(axis=0)
+        back_move, moved = model.move.T.astype(np.float32), np.zeros_like(model.move)
+        ones = np.ones((len(self.order), len(model.start)), np.float32)
+        beta = ones[: self.active[-1]]
+        for t in range(len(self.active) - 2, -1, -1):
+            n, m = self.active[t], self.active[t + 1]
+            here = alpha[self.offsets[t] : self.offsets[t] + m]
+            ahead = emit[self.offsets[t + 1] : self.offsets[t + 1] + m]
+            ahead *= beta[:m]
+            moved += here.T @ ahead
+            back = ahead @ back_move
+            here *= back  # from here on the probability of each state at the place
+            beta = np.concatenate([back, ones[: n - m]]) if n > m else back
+        counts["start"] += alpha[: self.active[0]].sum(axis=0, dtype=float)
         counts["move"] += moved * model.move
         width = model.emit.shape[1]
         for state in range(len(model.start)):
-            counts["emit"][state] += np.bincount(self.tokens, weights=share[:, state], minlength=width)
+            counts["emit"][state] += np.bincount(self.tokens, weights=alpha[:, state], minlength=width)
 
 
-def batches_of(items: Iterator, size: Callable = len, limit: int = BATCH_TOKENS) -> Iterator[list]:
-    """Lists of about ``limit`` tokens, which bounds the memory of a task; a longer text is a list of its own."""
-    held, total = [], 0
+def batches_of(items: Iterator, size: Callable = len, limit: int = BATCH_TOKENS, held: int = HELD_TOKENS) -> Iterator[list]:
+    """Lists of items of about ``limit`` tokens, which bounds the memory of a task; a longer text is a list of its own.
+
+    Items wait until ``held`` tokens are there and go by length, so that a batch takes few steps beyond its shortest text.
+    """
+    waiting, total = [], 0
+
+    def cut() -> Iterator[list]:
+        waiting.sort(key=size, reverse=True)
+        part, tokens = [], 0
+        for item in waiting:
+            if part and tokens + size(item) > limit:
+                yield part
+                part, tokens = [], 0
+            part.append(item)
+            tokens += size(item)
+        if part:
+            yield part
+        waiting.clear()
+
     for item in items:
-        if held and total + size(item) > limit:
-            yield held
-            held, total = [], 0
-        held.append(item)
+        waiting.append(item)
         total += size(item)
-    if held:
-        yield held
+        if total >= held:
+            yield from cut()
+            total = 0
+    yield from cut()
+
+
+def numbered_texts(texts: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """The numbers of the words of each text and its end, as little-endian bytes, written to the shared folder."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    kind = number_type(len(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                found = words_of(text)
+                rows.append(np.fromiter((*map(known.get, found, repeat(RARE)), END), kind, len(found) + 1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["numbers"])
+
+    return written(texts.mapInArrow(run, "numbers binary"))
+
+
+def number_type(words: int) -> np.dtype:
+    return np.dtype("<u2" if words + 2 <= 1 << 16 else "<u4")
 
 
 def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
@@ -171,29 +208,38 @@ def first_model(words: list[bytes], counts: np.ndarray, states: int, seed: int)
     return Hmm({word: i + 2 for i, word in enumerate(words)}, np.full(states, 1 / states), move, emit)
 
 
-def baum_welch_round(texts: DataFrame, model: Hmm, background: np.ndarray) -> Hmm:
-    """One round over the texts (a single text column): expected counts per task, summed by word, then normalised."""
+def baum_welch_round(texts: DataFrame, model: Hmm, background: np.ndarray) -> tuple[Hmm, float]:
+    """One round over numbered texts: the next model, and the mean log10 probability of a token under the one before.
+
+    Expected counts are summed per task, then by word, then normalised.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
     states, width = model.emit.shape
+    kind = number_type(width - 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        counts = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((states, width))}
-        texts = (text for batch in batches for text in batch.column(0).to_pylist())
-        for sequences in batches_of(fitted.numbers(words_of(text)) for text in texts):
-            Packed(sequences).expected(fitted, counts)
+        counts = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((states, width)), "gained": np.zeros(2)}
+        rows = (row for batch in batches for row in batch.column(0).to_pylist())
+        for part in batches_of(rows, lambda row: len(row) // kind.itemsize):
+            lengths = np.array([len(row) // kind.itemsize for row in part])
+            Packed(np.frombuffer(b"".join(part), kind), lengths).expected(fitted, counts)
         used = np.flatnonzero(counts["emit"].any(axis=0))
-        rows = [counts["start"], *counts["move"], *counts["emit"][:, used].T]
-        names = [-1 - states, *range(-states, 0), *used.tolist()]
+        gained = np.resize(counts["gained"], states) if states > 1 else counts["gained"][:1]
+        rows = [gained, counts["start"], *counts["move"], *counts["emit"][:, used].T]
+        names = [-2 - states, -1 - states, *range(-states, 0), *used.tolist()]
         yield pa.RecordBatch.from_pydict({"item": pa.array(names, pa.int64()), **{f"s{i}": np.array([row[i] for row in rows]) for i in range(states)}})
 
     columns = [f"s{i}" for i in range(states)]
     parts = texts.mapInArrow(run, "item long, " + ", ".join(f"{name} double" for name in columns))
     summed = parts.groupBy("item").agg(*[F.sum(name).alias(name) for name in columns]).toPandas().set_index("item")
-    table = np.zeros((width + states + 1, states))
-    table[summed.index.to_numpy() + states + 1] = summed[columns].to_numpy()
+    table = np.zeros((width + states + 2, states))
+    table[summed.index.to_numpy() + states + 2] = summed[columns].to_numpy()
+    gained, table = table[0], table[1:]
     start, move, emit = table[0] + SMOOTHING, table[1 : states + 1] + SMOOTHING, table[states + 1 :].T + SMOOTHING * background
-    return Hmm(model.words, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+    tokens = table[states + 1 :].sum()
+    better = Hmm(model.words, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+    return better, float(gained[0] / tokens) if tokens else 0.0
 
 
 @dataclass
@@ -206,6 +252,7 @@ class LanguageModel:
     tokens: int
     base_mass: float
     class_mass: float
+    reached: list[float]  # mean log10 probability of a training token before each round
 
     def base(self, count: Column) -> Column:
         """log10 of the smoothed share of a word in all training tokens, with one further type for unseen words."""
@@ -223,11 +270,11 @@ def fit_hmm(
     states: int = 8,
     frequent: int = 32_768,
     known: int = 131_072,
-    warm_rounds: int = 8,
-    rounds: int = 2,
+    rounds: int = 10,
+    gain: float = GAIN,
     seed: int = 3,
 ) -> LanguageModel:
-    """Train on the rows where ``trained`` holds: ``warm_rounds`` and then ``rounds``, each over all of them.
+    """Train on the rows where ``trained`` holds, in at most ``rounds`` rounds over all of them.
 
     ``frequent`` words have own emissions, the counts of ``known`` words travel with the model.
     """
@@ -243,11 +290,15 @@ def fit_hmm(
     frequencies = np.array([counts[b""], rare + SMOOTHING, *[counts[word] for word in words]]) + SMOOTHING
     model = first_model(words, frequencies, states, seed)
     background = frequencies / frequencies.sum()
-    for _ in range(warm_rounds + rounds):
-        model = baum_welch_round(texts, model, background)
+    numbers, reached = numbered_texts(texts, model.words), []
+    for _ in range(rounds):
+        model, mean = baum_welch_round(numbers, model, background)
+        reached.append(mean)
+        if len(reached) > 2 and mean - reached[-2] < gain:  # the first rounds only break the symmetry
+            break
     rare_types = types - len(words) - bool(ends)
     return LanguageModel(
-        model, counts, counted, tokens, tokens + SMOOTHING * (types + 1), rare + SMOOTHING * (rare_types + 1)
+        model, counts, counted, tokens, tokens + SMOOTHING * (types + 1), rare + SMOOTHING * (rare_types + 1), reached
     )
 
 
@@ -290,7 +341,8 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
             keys, ids = batch.column("key").to_pylist(), batch.column("row_id").to_pylist()
             rows = zip(keys, ids, map(words_of, batch.column("text").to_pylist()), strict=True)
             for group in batches_of(rows, size=lambda row: len(row[2]) + 1):
-                scores = Packed([hmm.numbers(words) for _, _, words in group]).log_probabilities(hmm)
+                flat = np.array([number for _, _, words in group for number in hmm.numbers(words)], np.int32)
+                scores = Packed(flat, np.array([len(words) + 1 for _, _, words in group])).log_probabilities(hmm)
                 own: dict[str, list] = {name: [] for name in FIELDS}
                 rare: tuple[list, list, list] = ([], [], [])
                 for (_, row_id, words), score in zip(group, scores.tolist(), strict=True):

@@ -29,20 +29,25 @@ def by_enumeration(model, sequence):
     return total
 
 
+def packed(sequences):
+    return H.Packed(np.concatenate([np.array(s, np.int32) for s in sequences]), np.array([len(s) for s in sequences]))
+
+
 def test_scaled_forward_is_the_sum_over_all_paths():
     model, rng = some_model(), random.Random(2)
     sequences = [[rng.randrange(6) for _ in range(n)] for n in (1, 5, 3, 1, 6, 2)]
-    found = H.Packed(sequences).log_probabilities(model)
+    found = packed(sequences).log_probabilities(model)
     assert np.allclose(found, [math.log10(by_enumeration(model, s)) for s in sequences])
 
 
 def test_expected_counts_are_sums_over_paths():
     model, sequences = some_model(states=2), [[2, 3, 0], [4], [5, 5, 1, 0]]
-    counts = {"start": np.zeros(2), "move": np.zeros((2, 2)), "emit": np.zeros((2, 6))}
-    H.Packed(sequences).expected(model, counts)
+    counts = {"start": np.zeros(2), "move": np.zeros((2, 2)), "emit": np.zeros((2, 6)), "gained": np.zeros(2)}
+    packed(sequences).expected(model, counts)
     expected = {name: np.zeros_like(value) for name, value in counts.items()}
     for sequence in sequences:
         whole = by_enumeration(model, sequence)
+        expected["gained"] += (math.log10(whole), len(sequence))
         for path in itertools.product(range(2), repeat=len(sequence)):
             p = model.start[path[0]] * model.emit[path[0], sequence[0]]
             for a, b, token in zip(path, path[1:], sequence[1:]):
@@ -53,7 +58,7 @@ def test_expected_counts_are_sums_over_paths():
             for state, token in zip(path, sequence):
                 expected["emit"][state, token] += p / whole
     for name in counts:
-        assert np.allclose(counts[name], expected[name])
+        assert np.allclose(counts[name], expected[name], rtol=1e-4)
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +72,7 @@ def rows():
 def test_scores_against_plain_counts(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string, score string")
     trained = F.coalesce(F.col("doc_id") % 10 != 0, F.lit(True))
-    model = H.fit_hmm(docs, trained, states=2, frequent=6, known=20, warm_rounds=3, rounds=2)
+    model = H.fit_hmm(docs, trained, states=2, frequent=6, known=20, rounds=5, gain=0.0)
     found = H.score_texts(docs, model).collect()
     learnt = [H.words_of(text) for key, text, *_ in rows if key is None or key % 10]
     counts = Counter(word for words in learnt for word in words) + Counter({b"": len(learnt)})
@@ -82,7 +87,7 @@ def test_scores_against_plain_counts(spark, rows):
     for key, text, *_ in rows:
         words = [*H.words_of(text), b""]
         base = sum(math.log10((counts[w] + 0.1) / (tokens + 0.1 * (types + 1))) for w in words)
-        score = H.Packed([model.hmm.numbers(words[:-1])]).log_probabilities(model.hmm)[0]
+        score = packed([model.hmm.numbers(words[:-1])]).log_probabilities(model.hmm)[0]
         score += sum(math.log10((rare.get(w, 0) + 0.1) / mass) for w in words[:-1] if w not in model.hmm.words)
         expected.append((key, len(words), sum(counts[w] > 0 for w in words), base, score))
     order = lambda r: (r[0] is None, r[0], r[1])
@@ -105,5 +110,26 @@ def test_every_round_sees_all_training_texts(spark, monkeypatch):
     docs = spark.range(9_000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 7, ' u', id) as text")
     seen, one_round = [], H.baum_welch_round
     monkeypatch.setattr(H, "baum_welch_round", lambda texts, *more: seen.append(texts.count()) or one_round(texts, *more))
-    H.fit_hmm(docs, F.col("doc_id") % 10 != 0, states=2, frequent=20, known=40, warm_rounds=2, rounds=1)
+    H.fit_hmm(docs, F.col("doc_id") % 10 != 0, states=2, frequent=20, known=40, rounds=3, gain=-1.0)
     assert seen == [8_100] * 3
+
+
+def test_rounds_end_when_nothing_is_gained(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, score string")
+    model = H.fit_hmm(docs, F.lit(True), states=3, frequent=6, known=20, rounds=40, gain=0.002)
+    steps = np.diff(model.reached)
+    assert 3 <= len(model.reached) < 40 and (steps > -1e-3).all()
+    assert steps[-1] < 0.002 and (steps[1:-1] >= 0.002).all()
+    texts = [H.words_of(text) for _, text, *_ in rows]
+    last = H.baum_welch_round(H.numbered_texts(docs.select("text"), model.hmm.words), model.hmm, np.full(8, 1 / 8))[1]
+    sums = packed([model.hmm.numbers(words) for words in texts]).log_probabilities(model.hmm)
+    assert last == pytest.approx(sums.sum() / sum(len(words) + 1 for words in texts), rel=1e-5)
+
+
+def test_batches_go_by_length_and_lose_nothing():
+    rng = random.Random(7)
+    items = ["x" * rng.randint(1, 30) for _ in range(200)]
+    batches = list(H.batches_of(iter(items), limit=50, held=400))
+    assert sorted(item for batch in batches for item in batch) == sorted(items)
+    assert all(sum(map(len, batch)) <= 50 for batch in batches) and len(batches) < 90
+    assert all([len(x) for x in batch] == sorted((len(x) for x in batch), reverse=True) for batch in batches)
