@@ -5,9 +5,15 @@ Two sets with a similarity of at least 4/5 have that share of either in common,
 meet among the first ``n - ceil(4n/5) + 1`` of each (the prefix). Shingles that a sample of the texts holds often come
 last in the order; that decides how many pairs meet, never which are found.
 
-Texts that meet are compared on the whole sets. Where more than ``LISTED`` meet, each is first compared with the
-smallest one only; then, with the groups that follow, all pairs of different groups. So a large group of near copies
-costs a comparison each, while many texts that meet and stay apart cost one for each pair.
+Texts that meet are compared on the whole sets. Where more than ``LISTED`` meet under a shingle, each is first compared
+with the smallest one only, so a large group of near copies costs a comparison each. The crowded shingles under which
+texts of different groups are left are the mixed ones. Prefixes are longer by one than they need to be, so similar sets
+share two shingles there, and if no other shingle has brought them together, both are mixed: they meet again under a pair
+of mixed shingles. Dissimilar texts with one common passage do not. Texts with more than ``WIDE`` mixed shingles meet all
+others under each of them instead. Pairs of different groups that meet so are listed in blocks, never by one task.
+
+A sweep streams through its sorted rows and holds a few of them. To verify, a text travels once for each pair that it is
+the second of, and the first of many pairs once for each ``BLOCK`` of them.
 
 Null and blank texts have no shingle and no link. Copies are one text.
 """
@@ -22,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bittable import bit_table, passes, table_bits
 from ..session import reliable_checkpoint
 from .components import component_roots
 
@@ -30,7 +37,9 @@ LISTED = 8
 SAMPLE = 4_096
 COMMON = 65_536
 CACHE = 400_000
-PAIRS = 1 << 16
+BLOCK = 1_024
+WIDE = 64
+SHORT = 16
 
 
 class Shingles:
@@ -57,15 +66,15 @@ class Shingles:
         return np.unique(mixed.view(np.int64))
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (how often in the sample, hash), as many as a similar set must meet."""
+def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, shared: int = 1) -> np.ndarray:
+    """The first shingles in the order (how often in the sample, hash), among which similar sets have ``shared`` in common."""
     if not len(tokens):
         return tokens
     often = np.zeros(len(tokens), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         often = np.where(common[at] == tokens, rank[at], 0)
-    return tokens[np.lexsort((tokens, often))[: len(tokens) - (4 * len(tokens) + 4) // 5 + 1]]
+    return tokens[np.lexsort((tokens, often))[: len(tokens) - (4 * len(tokens) + 4) // 5 + shared]]
 
 
 def similar(left: np.ndarray, right: np.ndarray) -> bool:
@@ -96,9 +105,9 @@ def often_seen(texts: DataFrame, count: int, sample: int = SAMPLE) -> tuple[np.n
     return found[:, 0].copy(), found[:, 1].copy()
 
 
-def prefix_rows(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, text_hash, size): each different text once under each shingle of its prefix."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, rank))
+def prefix_sets(texts: DataFrame, common: np.ndarray, rank: np.ndarray, shared: int = 1) -> DataFrame:
+    """(text_hash, size, tokens): each different text once, with the shingles of its prefix."""
+    order = texts.sparkSession.sparkContext.broadcast((common, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -106,120 +115,184 @@ def prefix_rows(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataF
             sets = [shingles(text) for text in batch.column("text").to_pylist()]
             columns = [
                 batch.column("text_hash"),
-                pa.array([len(tokens) for tokens in sets], pa.int32()),
-                pa.array([prefix(tokens, *shared.value) for tokens in sets], pa.list_(pa.int64())),
+                pa.array([len(tokens) for tokens in sets], pa.int64()),
+                pa.array([prefix(tokens, *order.value, shared) for tokens in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["text_hash", "size", "tokens"])
 
-    made = texts.select("text_hash", "text").mapInArrow(run, "text_hash long, size int, tokens array<long>")
-    single = made.groupBy("text_hash").agg(F.first(F.struct("size", "tokens")).alias("one"))
-    return single.select(F.explode("one.tokens").alias("token"), "text_hash", F.col("one.size").alias("size"))
+    made = texts.select("text_hash", "text").mapInArrow(run, "text_hash long, size long, tokens array<long>")
+    return made.groupBy("text_hash").agg(F.first(F.struct("size", "tokens")).alias("one")).select("text_hash", "one.*")
+
+
+def fits(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return 5 * np.minimum(one, other) >= 4 * np.maximum(one, other)
+
+
+PAIR_NAMES = ["a", "b", "token", "text_hash", "size"]
+PAIR_SCHEMA = "a long, b long, token long, text_hash long, size long"
 
 
-def sweep_tokens(meet):
-    """Runs ``meet`` on the rows of each token that more than one text holds; rows are sorted by token."""
+class FirstMeetings:
+    """Rows sorted by (token, size, text): all pairs of up to ``listed`` texts; of more, each with the first, and the rows.
+
+    Between batches the rows of a token that may still have few are held, or the first row of a crowded one.
+    """
+
+    def __init__(self, listed: int):
+        self.listed = listed
+        self.held = tuple(np.empty(0, np.int64) for _ in range(3))
+        self.crowded = False  # whether the row held is the first of a crowded token, and done
+
+    def __call__(self, columns: list[np.ndarray], final: bool = False) -> pa.RecordBatch:
+        token, text, size = rows = [np.concatenate(pair) for pair in zip(self.held, columns, strict=True)]
+        if not len(token):
+            return self.rows_of([], rows, np.empty(0, np.int64))
+        new = np.append(True, token[1:] != token[:-1])
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(token)))
+        crowded = many > self.listed
+        crowded[0] |= self.crowded
+        waits = (run == run[-1]) & ~crowded[-1] & (not final)
+        pairs = []
+        for step in range(1, self.listed):
+            left = np.flatnonzero((run[step:] == run[:-step]) & ~crowded[run[step:]] & ~waits[step:])
+            pairs.append((left, left + step))
+        full = np.flatnonzero(crowded[run])
+        later = full[full > first[run[full]]]
+        pairs.append((first[run[later]], later))
+        at = full[1:] if self.crowded else full  # the first row of a crowded token is given out once
+        answer = self.rows_of(pairs, rows, at)
+        keep = np.flatnonzero(waits) if not crowded[-1] else first[-1:]
+        self.held, self.crowded = tuple(values[keep] for values in rows), bool(crowded[-1])
+        return answer
+
+    def rows_of(self, pairs: list, rows: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+        """Pairs whose sizes fit, each once and the smaller hash first, and the rows ``at`` of crowded tokens."""
+        token, text, size = rows
+        left, right = (np.concatenate([pair[i] for pair in pairs] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
+        good = fits(size[left], size[right]) & (text[left] != text[right])
+        found = np.unique(np.sort(np.column_stack([text[left[good]], text[right[good]]]), axis=1), axis=0)
+        gap, rest = pa.nulls(len(found), pa.int64()), pa.nulls(len(at), pa.int64())
+        arrays = [pa.concat_arrays([pa.array(found[:, i], pa.int64()), rest]) for i in range(2)]
+        arrays += [pa.concat_arrays([gap, pa.array(values[at], pa.int64())]) for values in (token, text, size)]
+        return pa.RecordBatch.from_arrays(arrays, names=PAIR_NAMES)
+
+
+def first_meetings(rows: DataFrame, listed: int) -> DataFrame:
+    """Pairs (a, b) of the rows (token, text_hash, size), and the rows of crowded tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        meet = FirstMeetings(listed)
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                yield meet([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        yield meet([np.empty(0, np.int64)] * 3, final=True)
+
+    dealt = rows.select("token", "text_hash", "size").repartition("token").sortWithinPartitions("token", "size", "text_hash")
+    return dealt.mapInArrow(run, PAIR_SCHEMA)
+
+
+def later_meetings(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of different groups among the rows (key, text_hash, size, root, wide) of a key, in blocks of rows.
+
+    Of the two texts of a pair one has to be ``wide``.
+    """
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = counted.where("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int").alias("own")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rows.join(mixed, "key").select("key", "text_hash", "size", "root", F.col("wide").cast("int").alias("wide"), own, other)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_hash", "size", "root", "wide", "own")
+
+    def good(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        (i, j, text, size, root, wide, own), (_, _, text_, size_, root_, wide_, own_) = left, right
+        return fits(size, size_) & (root != root_) & ((wide | wide_) > 0) & (((i == j) & (text != text_)) | (own != own_))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_last(batches):
+            if batch is not None and not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            held = columns if held is None else [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-            whole = int(np.searchsorted(held[0], held[0][-1], side="left"))
-            if whole:
-                yield from meet([column[:whole] for column in held])
-                held = [column[whole:] for column in held]
-        if held is not None:
-            yield from meet(held)
-
-    return run
-
-
-def runs_of(token: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(token[1:] != token[:-1]) + 1
-    starts, ends = np.append(0, edges), np.append(edges, len(token))
-    many = ends - starts > 1
-    return list(zip(starts[many].tolist(), ends[many].tolist(), strict=True))
-
-
-def fits(one: int, sizes: np.ndarray) -> np.ndarray:
-    """Sizes that a set of size ``one`` can be similar to."""
-    return 5 * np.minimum(one, sizes) >= 4 * np.maximum(one, sizes)
-
-
-def met(pairs: list[np.ndarray], **more: np.ndarray) -> pa.RecordBatch:
-    """Each pair once, smaller hash first; ``more`` are rows of crowded tokens, which have no pair."""
-    found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.empty((0, 2), np.int64)
-    extra = {name: more.get(name, np.empty(0, np.int64)) for name in ("token", "text_hash", "size")}
-    gap, rest = pa.nulls(len(found), pa.int64()), pa.nulls(len(extra["token"]), pa.int64())
-    columns = [pa.concat_arrays([pa.array(found[:, i], pa.int64()), rest]) for i in range(2)]
-    columns += [pa.concat_arrays([gap, pa.array(values, pa.int64())]) for values in extra.values()]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", *extra])
-
-
-def first_meetings(listed: int):
-    """All pairs of up to ``listed`` texts; of more texts each with the smallest, and the rows themselves."""
-
-    def meet(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, text, size = columns
-        pairs, crowded = [], []
-        for start, end in runs_of(token):
-            order = start + np.lexsort((text[start:end], size[start:end]))
-            names, sizes = text[order], size[order].astype(np.int64)
-            for i in range(len(names) - 1 if end - start <= listed else 1):
-                near = names[i + 1 :][fits(sizes[i], sizes[i + 1 :])]
-                pairs.append(np.column_stack([np.full(len(near), names[i]), near]))
-            if end - start > listed:
-                crowded.append(order)
-        at = np.concatenate(crowded) if crowded else np.empty(0, np.int64)
-        yield met(pairs, token=token[at], text_hash=text[at], size=size[at].astype(np.int64))
-
-    return meet
-
-
-def later_meetings(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """All pairs of texts that meet and are in different groups."""
-    token, text, size, root = columns
-    pairs, total = [], 0
-    for start, end in runs_of(token):
-        order = start + np.argsort(size[start:end], kind="stable")
-        names, sizes, groups = text[order], size[order], root[order]
-        if (groups == groups[0]).all():
-            continue
-        for i in range(len(names) - 1):
-            near = names[i + 1 :][fits(sizes[i], sizes[i + 1 :]) & (groups[i + 1 :] != groups[i])]
-            pairs.append(np.column_stack([np.full(len(near), names[i]), near]))
-            total += len(near)
-            if total > PAIRS:
-                yield met(pairs)
-                pairs, total = [], 0
-    yield met(pairs)
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+            columns = [] if batch is None else [column.to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)] if columns else held
+            if not columns:
+                return
+            new = np.append(True, np.any([column[1:] != column[:-1] for column in columns[:3]], axis=0))
+            edges = np.append(np.flatnonzero(new), len(new))
+            done = len(edges) - (1 if batch is None else 2)
+            end, sizes = edges[done], np.diff(edges[: done + 1])
+            run_of, values = np.repeat(np.arange(done), sizes), [column[:end] for column in columns[1:]]
+            found = [np.empty((0, 2), np.int64)]
+            short = sizes[run_of] <= SHORT
+            for step in range(1, min(SHORT, end)):  # short runs of all keys at once
+                left = np.flatnonzero((run_of[step:] == run_of[:-step]) & short[step:])
+                left = left[good([v[left] for v in values], [v[left + step] for v in values])]
+                found.append(np.column_stack([values[2][left], values[2][left + step]]))
+            for at in np.flatnonzero(sizes > SHORT).tolist():
+                part = [v[edges[at] : edges[at + 1]] for v in values]
+                one, two = np.nonzero(np.triu(good([v[:, None] for v in part], [v[None, :] for v in part]), 1))
+                found.append(np.column_stack([part[2][one], part[2][two]]))
+            held = [column[end:] for column in columns]
+            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed_keys(left: DataFrame, wide: int = WIDE) -> DataFrame:
+    """(key, text_hash, size, root, wide) from the rows (token, text_hash, size, root) of mixed shingles."""
+    texts = left.groupBy("text_hash", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    few = texts.where(F.size("tokens") <= wide)
+    place = F.posexplode("tokens").alias("at", "token")
+    other = F.explode(F.slice("tokens", F.col("at") + 2, wide)).alias("other")
+    pairs = few.select("*", place).select("text_hash", "size", "root", "token", other)
+    pairs = pairs.select(F.xxhash64("token", "other").alias("key"), "text_hash", "size", "root", F.lit(True).alias("wide"))
+    many = texts.where(F.size("tokens") > wide).select("text_hash", F.explode("tokens").alias("token"))
+    met = left.join(many.select("token").distinct(), "token", "left_semi")
+    met = met.join(many.select("text_hash").distinct().withColumn("wide", F.lit(True)), "text_hash", "left")
+    single = met.select(F.xxhash64("token").alias("key"), "text_hash", "size", "root", F.coalesce("wide", F.lit(False)).alias("wide"))
+    return pairs.unionAll(single)
+
+
+def _and_last(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def verified(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """The pairs (a, b) that are similar on their whole sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    used = texts.join(needed, "text_hash", "left_semi")
-    sets = shingle_sets(used).groupBy("text_hash").agg(F.first("tokens").alias("tokens"))
-    sets = reliable_checkpoint(sets)
-    left = sets.select(F.col("text_hash").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("text_hash").alias("b"), F.col("tokens").alias("right"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    bits = table_bits(ends.count())
+    table = bit_table(ends, bits).alias("table")
+    used = texts.select("text_hash", "text", table).where(passes(F.col("text_hash"), F.col("table"), bits)).select("text_hash", "text")
+    used = used.join(ends, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b")
+    heads = dealt.select("a", "salt").distinct().join(used, F.col("a") == F.col("text_hash")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    others = dealt.join(used, F.col("b") == F.col("text_hash")).select("a", "salt", "b", "text")
+    together = heads.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, head = Shingles(), np.empty(0, np.int64)
         for batch in batches:
-            ends = []
-            for name in ("left", "right"):
-                column = batch.column(name)
-                ends.append((column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)))
-            (at, x), (to, y) = ends
-            good = [similar(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found: tuple[list, list] = ([], [])
+            for a, b, text in zip(*[batch.column(name).to_pylist() for name in ("a", "b", "text")], strict=True):
+                tokens = shingles(text)
+                if b is None:
+                    head = tokens
+                elif similar(head, tokens):
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()) for values in found], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return together.mapInArrow(run, "a long, b long")
 
 
-def overlap_links(texts: DataFrame, prints: DataFrame, links: DataFrame, listed: int = LISTED) -> DataFrame:
+def overlap_links(texts: DataFrame, prints: DataFrame, links: DataFrame, listed: int = LISTED, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Links (u, v) of fingerprints that, with ``links``, connect all texts with a similarity of at least 4/5.
 
     ``texts`` has text_hash and text, ``prints`` one row (text_hash, print) per different text.
@@ -230,18 +303,19 @@ def overlap_links(texts: DataFrame, prints: DataFrame, links: DataFrame, listed:
         two = prints.select(F.col("text_hash").alias("b"), F.col("print").alias("v"))
         return reliable_checkpoint(pairs.join(one, "a").join(two, "b").where("u <> v").select("u", "v").distinct())
 
-    columns = "a long, b long, token long, text_hash long, size long"
-    rows = prefix_rows(texts, *often_seen(texts, prints.count()))
-    swept = rows.repartition("token").sortWithinPartitions("token").mapInArrow(sweep_tokens(first_meetings(listed)), columns)
-    swept = reliable_checkpoint(swept)
+    order = often_seen(texts, prints.count())
+    rows = prefix_sets(texts, *order, shared=2).select(F.explode("tokens").alias("token"), "text_hash", "size")
+    swept = reliable_checkpoint(first_meetings(rows, listed))
     pairs = reliable_checkpoint(swept.where("a is not null").select("a", "b").distinct())
-    found = named(verified(pairs, texts))
+    found = named(verified(pairs, texts, block))
     crowded = swept.where("token is not null").select("token", "text_hash", "size")
     if crowded.isEmpty():
         return found
     roots = component_roots(links.unionByName(found))
     grouped = prints.join(roots, prints["print"] == roots["node"], "left").select("text_hash", F.coalesce("root", "print").alias("root"))
-    dealt = crowded.join(grouped, "text_hash").select("token", "text_hash", "size", "root").repartition("token").sortWithinPartitions("token")
-    later = dealt.mapInArrow(sweep_tokens(later_meetings), columns).select("a", "b").distinct()
+    crowded = crowded.join(grouped, "text_hash")
+    mixed = crowded.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = reliable_checkpoint(crowded.join(mixed, "token", "left_semi"))
+    later = later_meetings(mixed_keys(left, wide), block)
     later = reliable_checkpoint(later.join(pairs, ["a", "b"], "left_anti"))
-    return found.unionByName(named(verified(later, texts)))
+    return found.unionByName(named(verified(later, texts, block)))

@@ -71,14 +71,18 @@ def test_the_stage_finds_what_all_pairs_find(spark, table, small):
     assert {row["doc_id"] for row in found.collect()} == set(expected(texts).values())
 
 
-@pytest.mark.parametrize("listed", [1, 8])
-def test_links_without_fingerprints_reach_every_similar_pair(spark, table, listed):
+@pytest.mark.parametrize("listed,block,wide,rows_a_batch", [(1, 1_024, 64, 10_000), (8, 3, 4, 10_000), (2, 5, 1, 7)])
+def test_links_without_fingerprints_reach_every_similar_pair(spark, table, listed, block, wide, rows_a_batch):
     """Each text is its own node here, so the links have to connect all that is similar."""
     texts = list(dict.fromkeys(text for text in planted() if text and text.strip()))
     rows = table([(i, text) for i, text in enumerate(texts)], "text_hash long, text string")
     prints = rows.selectExpr("text_hash", "text_hash as print")
     none = table([], "u long, v long")
-    links = {(row["u"], row["v"]) for row in jaccard.overlap_links(rows, prints, none, listed).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        links = {(row["u"], row["v"]) for row in jaccard.overlap_links(rows, prints, none, listed, block, wide).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     sets = [plain_set(text) for text in texts]
     assert all(plain_similar(sets[a], sets[b]) for a, b in links)
     linked = brute_roots(range(len(texts)), lambda a, b: (a, b) in links or (b, a) in links)
@@ -92,3 +96,17 @@ def test_the_given_documents_against_all_pairs(spark, small):
     names = sorted(row["doc_id"] for row in rows)
     stay = {names[root] for root in expected(texts).values()}
     assert {row["doc_id"] for row in pipeline.near_duplicates(spark, docs, small).collect()} == stay
+
+
+def test_dissimilar_texts_with_a_common_shingle_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng, compared = random.Random(3), []
+    texts = ["one line that all share " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(1500)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    whole = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    # no sample, so the common shingle comes wherever its hash puts it, in the prefixes of many texts as well
+    monkeypatch.setattr(jaccard, "often_seen", lambda *_: (jaccard.np.empty(0, "int64"), jaccard.np.empty(0, "int64")))
+    links = jaccard.overlap_links(rows, rows.selectExpr("text_hash", "text_hash as print"), spark.createDataFrame([], "u long, v long"))
+    assert {tuple(sorted(row)) for row in links.collect()} == {(0, 1500), (1, 1501)}
+    assert sum(compared) < 3 * len(texts)
