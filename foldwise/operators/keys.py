@@ -216,31 +216,31 @@ def population_diff(
     return joined.filter(F.col("status").isNotNull()).select(*key, "status")
 
 
-def fingerprint(df: DataFrame, by: Iterable[str] = (), line="record_id", name: str = "digest") -> DataFrame:
+def fingerprint(df: DataFrame, by: Iterable[str] = (), line="record_id", name: str = "digest", repeats: bool = True) -> DataFrame:
     """Order-free SHA-256 fingerprint of the lines of each group, and their number.
 
     Repeated lines are first reduced to one ``digest:count`` entry. Entries are hashed in a tree: over
     the sorted entries of each bucket of six leading hexadecimal digits, over the sorted buckets of
     three digits, and over those. Equal multisets of lines give equal fingerprints on any
-    partitioning; no task ever holds more than one bucket or 4,096 digests.
+    partitioning; no group ever holds more than one bucket or 4,096 digests.
+
+    Lines travel as 32 bytes, once to be counted and once to their three digits, where both lower levels of the
+    tree are made. Without ``repeats`` (lines that hardly ever repeat in a group, such as keys) they are counted there.
     """
     by = list(by)
-    lines = df.select(*by, F.sha2(to_column(line).cast("string"), 256).alias("_d"))
-    counted = lines.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("_n"))
-    level = counted.select(
-        *by, F.substring("_d", 1, 6).alias("_bucket"), "_n", F.concat_ws(":", "_d", "_n").alias("_entry")
-    )
-    for digits in (3, 0):
-        joined = F.array_join(F.array_sort(F.collect_list("_entry")), "\n")
-        level = level.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_n"), F.sha2(joined, 256).alias("_digest"))
-        level = level.select(
-            *by,
-            F.substring("_bucket", 1, digits).alias("_bucket"),
-            "_n",
-            F.concat_ws(":", "_bucket", "_digest").alias("_entry"),
-        )
-    joined = F.array_join(F.array_sort(F.collect_list("_entry")), "\n")
-    return level.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(joined, 256).alias(name))
+    rows = df.select(*by, F.unhex(F.sha2(to_column(line).cast("string"), 256)).alias("_d"))
+    if repeats:
+        rows = rows.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    placed = rows.withColumn("_top", F.substring(F.lower(F.hex("_d")), 1, 3)).repartition(*by, "_top")
+    if not repeats:
+        placed = placed.groupBy(*by, "_top", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    digest = F.lower(F.hex("_d"))
+    level = placed.select(*by, "_top", F.substring(digest, 1, 6).alias("_bucket"), "_n", F.concat_ws(":", digest, "_n").alias("_entry"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("_entry")), "\n"), 256)
+    for shorter, kept in (("_bucket", ["_top", "_bucket"]), ("_top", ["_top"])):
+        level = level.groupBy(*by, *kept).agg(F.sum("_n").alias("_n"), joined.alias("_digest"))
+        level = level.select(*by, *kept, "_n", F.concat_ws(":", shorter, "_digest").alias("_entry"))
+    return level.groupBy(*by).agg(F.sum("_n").alias("n"), joined.alias(name))
 
 
 def top_k_per_key(

@@ -47,12 +47,12 @@ def nested_stages(partitions: DataFrame, fold: int) -> DataFrame:
 
 def stage_summary(stages: DataFrame) -> DataFrame:
     """Rows and fingerprint of each stage."""
-    return fingerprint(stages, ["stage"], "record_id")
+    return fingerprint(stages, ["stage"], "record_id", repeats=False)
 
 
 def assignment_fingerprint(stages: DataFrame) -> DataFrame:
     """One fingerprint over all (stage, record) lines."""
-    return fingerprint(stages, [], F.concat_ws("\t", "stage", "record_id"))
+    return fingerprint(stages, [], F.concat_ws("\t", "stage", "record_id"), repeats=False)
 
 
 def verify_unit(stages: DataFrame, base: DataFrame, expected: DataFrame | None = None, allow_overlap: bool = False) -> None:
@@ -83,7 +83,7 @@ def unit_identity(stages: DataFrame, nested: DataFrame | None = None) -> DataFra
         F.struct(F.col("stage").alias("part"), F.col("record_id").cast("string").alias("line")),
         F.struct(F.lit(ASSIGNMENT).alias("part"), F.concat_ws("\t", "stage", "record_id").alias("line")),
     )
-    parts = fingerprint(rows.select("unit", F.inline(both)), ["unit", "part"], "line")
+    parts = fingerprint(rows.select("unit", F.inline(both)), ["unit", "part"], "line", repeats=False)
     shared = stage_overlaps(stages).withColumn("other", F.when(F.col("stage_a") == SCORED_STAGE, F.col("stage_b")).when(F.col("stage_b") == SCORED_STAGE, F.col("stage_a")))
     counted = shared.where("other is not null").select(
         F.lit("outer").alias("unit"), F.concat(F.lit(OVERLAP), "other").alias("part"), F.col("n").cast("bigint").alias("n"), F.lit("").alias("digest")

@@ -171,3 +171,12 @@ def test_a_second_label_source_names_each_record_once(spark):
     assert keys.override_labels(base, part, 0.5).count() == 2
     with pytest.raises(ContractViolation, match="same records"):
         keys.override_labels(base, part, 0.5, complete=True)
+
+
+def test_fingerprints_travel_once_and_count_repeats_anywhere(spark):
+    lines = [(g, v) for g in ("a", "b", None) for v in ["x", "x", "y", None, *map(str, range(300))]]
+    table = spark.createDataFrame(lines, "g string, v string")
+    counted, plain = (keys.fingerprint(table, ["g"], "v", repeats=r) for r in (True, False))
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (counted, plain)]
+    assert plans == [3, 2]  # lines are counted, placed, and 4,096 digests a group are put together
+    assert sorted(map(str, counted.collect())) == sorted(map(str, plain.collect())) and plain.first()["n"] == 304
