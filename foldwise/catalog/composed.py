@@ -20,7 +20,7 @@ from ..plans.packages import (
     prepare_supplied,
 )
 from ..plans.units import assignment_fingerprint, materialise, nested_stages, stage_summary, unit_drift, unit_identity, verify_unit
-from ..session import shared_folder
+from ..session import shared_folder, written
 from . import query
 from .joins import _FINGERPRINT
 from .metrics import facts, facts_sql, metric_sql, round_metrics, rounded
@@ -324,7 +324,7 @@ def l5_identity(spark, d):
 )
 def l5_drift(spark, d):
     """A declaration that is wrong in five places finds exactly these."""
-    found = _identity(spark, d)
+    found = written(_identity(spark, d))  # a few rows, compared and declared
     at = lambda unit, part: (F.col("unit") == unit) & (F.col("part") == part)
     declared = found.where(~at("4", "selection_score")).withColumns(
         {
