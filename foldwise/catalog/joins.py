@@ -203,7 +203,7 @@ select {b} cast(sum(n) as bigint) as n, sha256(string_agg(e, chr(10) order by e)
     with_views(_FINGERPRINT.format(by="stage,", b="stage,", line="record_id", table="v_stage", group="group by stage").strip()),
 )
 def d18(spark, d):
-    return fingerprint(fx.v_stage(spark, d), ["stage"])
+    return fingerprint(fx.v_stage(spark, d), ["stage"], repeats=False)
 
 
 @query(
@@ -211,7 +211,7 @@ def d18(spark, d):
     with_views(_FINGERPRINT.format(by="", b="", line="stage||chr(9)||record_id", table="v_stage", group="").strip()),
 )
 def d18_assignment(spark, d):
-    return fingerprint(fx.v_stage(spark, d), [], F.concat_ws("\t", "stage", "record_id"))
+    return fingerprint(fx.v_stage(spark, d), [], F.concat_ws("\t", "stage", "record_id"), repeats=False)
 
 
 @query(
