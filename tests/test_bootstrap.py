@@ -140,3 +140,28 @@ def test_groups_and_comparisons(rows):
 
     seeds = {r["level"]: r["seed"] for r in subgroup_bootstrap(long, "a", "b", 100, 2, 50).collect()}
     assert seeds == {"0": 2100, "1": 2110, "2": 2120}
+
+
+def test_pairs_and_pieces_draw_every_row_equally_often(monkeypatch):
+    from foldwise.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "PAIR_ROWS", 4)
+    draws = np.array([0, 1, 60_000, 61_001])
+    sums = np.array([block_sums(row, 2 * row, draws, np.random.default_rng(6))[0] for row in np.eye(11)])
+    assert (sums.sum(axis=0) == draws).all()
+    assert sums[:, 2] == pytest.approx([60_000 / 11] * 11, rel=0.06) and sums[:, 3] == pytest.approx([61_001 / 11] * 11, rel=0.06)
+    spread = block_sums(np.eye(11)[0], np.zeros(11), np.full(4000, 33), np.random.default_rng(7))[0]
+    assert spread.var() == pytest.approx(33 / 11 * 10 / 11, rel=0.12)  # binomial, so draws do not hang together
+
+
+@pytest.mark.parametrize("block_rows", [16_384, 50])
+def test_poisson_weights_per_block_are_those_per_row_in_distribution(rows, monkeypatch, block_rows):
+    from foldwise.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", block_rows)
+    each, blocks = one(rows, "poisson", 4000), one(rows.repartition(7), "poisson_blocks", 4000)
+    assert blocks["method"] == "poisson" and blocks["delta"] == pytest.approx(each["delta"], abs=1e-12)
+    assert blocks["ci95_high"] - blocks["ci95_low"] == pytest.approx(each["ci95_high"] - each["ci95_low"], rel=0.1)
+    assert blocks["bootstrap_mean"] == pytest.approx(one(rows, "poisson_blocks", 4000)["bootstrap_mean"], abs=1e-12)
+    losses = bootstrap._losses(rows, "target", "a", "b", "mae", [], "record_id", 17)
+    assert "Sort " not in bootstrap._poisson_replicates(losses.withColumn("g", F.lit(1)), 5, "mae", ["g"], "record_id")._jdf.queryExecution().optimizedPlan().toString()
