@@ -156,7 +156,7 @@ def a7(spark, d):
 
 @query(
     "a8_row_ids",
-    "select 'doc_'||lpad(cast(row_number() over (order by doc_id)-1 as varchar),5,'0') as record_id, doc_id from documents",
+    "select 'doc_'||printf('%05d', row_number() over (order by doc_id)-1) as record_id, doc_id from documents",
 )
 def a8(spark, d):
     numbered = source_row_number(read_table(spark, d, "documents"))
