@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import quality as Q
 
@@ -66,6 +67,29 @@ def test_threshold_keeps_the_wanted_share():
     assert Q.calibrated(good, np.array([]), 0.99) == math.inf
 
 
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_threshold_over_all_scores_is_the_one_of_the_arrays(spark, monkeypatch, bins):
+    monkeypatch.setattr(Q, "SCORE_BINS", bins)
+    rng = np.random.default_rng(bins)
+    good, bad = (np.round(rng.beta(*shape, size=n), 3) for shape, n in (((4, 6), 20_000), ((6, 4), 3_000)))
+    scored = spark.createDataFrame([(True, s) for s in good.tolist()] + [(False, s) for s in bad.tolist()], "good boolean, score double")
+    for share in (0.9, 0.998, 1.0):
+        assert Q.calibrated_threshold(scored, share) == Q.calibrated(good, bad, share)
+    assert Q.calibrated_threshold(scored.where("good"), 0.9) == math.inf
+
+
+def test_every_label_counts_for_the_threshold(spark):
+    """More labels than any bound of a sample: the cut is the one of all scores."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("w"), i, F.when(i < F.col("id") % 13, F.lit("#")).otherwise(F.lit("")))))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", F.when((F.col("doc_id") % 13 > 8) | (F.col("doc_id") % 5 == 0), F.lit(0)).otherwise(F.lit(1)).alias("quality"))
+    model = Q.fit_quality(docs, labels)
+    judged = Q.judge_quality(docs, model, ["doc_id"]).select("row.doc_id", "anomaly", "base_failed").join(labels, "doc_id").toPandas()
+    judged = judged[~judged["base_failed"]]
+    good, bad = (judged.loc[judged["quality"] == q, "anomaly"].to_numpy() for q in (1, 0))
+    assert len(judged) > 8192 and model.threshold == Q.calibrated(good, bad, 0.998)
+
+
 def corpus():
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(900)]
