@@ -24,6 +24,7 @@ from ..functions.vectors import as_vector
 from ..session import written
 
 TILE_ROWS = 2_000
+EXACT_ROWS = 20_000
 DIRECTIONS = 16
 AXES = 3
 
@@ -98,7 +99,8 @@ def close_pairs(
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({group: [], "a": [], "b": [], "distance": []})
+            nothing = np.empty(0, dtype=object)
+            return pd.DataFrame({group: nothing, "a": nothing, "b": nothing, "distance": np.empty(0)})
         head = left.iloc[0]
         a, b = np.stack(left["_point"].to_numpy()), np.stack(right["_point_right"].to_numpy())
         # The product form is fast but rounds; it only picks candidates, with room to spare.
@@ -108,7 +110,10 @@ def close_pairs(
         one, two = left["_key"].to_numpy()[i], right["_key_right"].to_numpy()[j]
         once = one < two if head["_move"] == zero and head["_i"] == head["_j"] else one != two
         i, j, one, two = i[once], j[once], one[once], two[once]
-        exact = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+        exact = np.empty(len(i))  # in parts, as the differences take a whole point for each pair
+        for start in range(0, len(i), EXACT_ROWS):
+            part = slice(start, start + EXACT_ROWS)
+            exact[part] = np.sqrt(((a[i[part]] - b[j[part]]) ** 2).sum(axis=1))
         kept = exact <= limit
         out = pd.DataFrame({"a": one[kept], "b": two[kept], "distance": exact[kept]})
         out.insert(0, group, head["_group"])
@@ -142,6 +147,7 @@ def proximity_edges(
         added.withColumn("kind", F.lit("proximity"))
     )
     groups = nodes.groupBy(group).agg(F.min(key).alias("source"))
-    lonely = groups.join(edges.select(group), group, "left_anti")
+    # One row per group and task meets the groups; the edges of a group would all be read by one task.
+    lonely = groups.join(edges.select(group).distinct(), group, "left_anti")
     loops = lonely.select(group, "source", F.col("source").alias("target"), F.lit("self").alias("kind"))
     return edges.unionByName(loops)

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -180,3 +181,16 @@ def test_fingerprints_travel_once_and_count_repeats_anywhere(spark):
     plans = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (counted, plain)]
     assert plans == [3, 2]  # lines are counted, placed, and 4,096 digests a group are put together
     assert sorted(map(str, counted.collect())) == sorted(map(str, plain.collect())) and plain.first()["n"] == 304
+
+
+def test_tiles_without_a_close_pair_and_pairs_in_parts(spark, monkeypatch):
+    from foldwise.operators import proximity
+
+    monkeypatch.setattr(proximity, "EXACT_ROWS", 3)
+    points = {f"p{i}": (f"g{i % 2}", [float(i // 4), 0.25 * (i % 3)]) for i in range(40)}
+    nodes = spark.createDataFrame([(k, g, p) for k, (g, p) in points.items()], "record_id string, label string, embedding array<double>")
+    found = sorted((r["label"], r["source"], r["target"]) for r in close_pairs(nodes, 0.3, axes=0, tile_rows=2).collect())
+    assert found == brute_pairs(points, 0.3) and found
+    edges = proximity_edges(nodes, nodes.limit(0).select("label", "record_id", "record_id").toDF("label", "source", "target"), 0.3)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[label#\d+\], \[label#\d+\]\n", plan)  # groups meet the distinct groups of the edges
