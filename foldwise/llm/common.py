@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+BATCH_ROWS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,6 +29,13 @@ def packed(df: DataFrame, keep: list[str]) -> Column:
     return F.struct(*[df[f"`{name}`"] for name in keep]).alias("row")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a task holds the Python objects of one part at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def annotate(
     df: DataFrame,
     keep: list[str],
@@ -35,7 +43,7 @@ def annotate(
     start: Callable[[], Callable[[pa.RecordBatch], dict]],
     fields: list[T.StructField],
 ) -> DataFrame:
-    """One pass over the rows in Arrow batches, without a shuffle: a struct ``row`` with the kept columns, and the fields.
+    """One pass over the rows in small Arrow batches, without a shuffle: a struct ``row`` with the kept columns, and the fields.
 
     ``start`` is called once in each task and gives the function that turns a batch into one list per field.
     """
@@ -44,12 +52,11 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process = start()
-        for batch in batches:
-            if batch.num_rows:
-                made = process(batch)
-                columns = [pa.array(made[field.name], kind) for field, kind in zip(fields, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), *columns], names=["row", *[field.name for field in fields]]
-                )
+        for batch in small_batches(batches):
+            made = process(batch)
+            columns = [pa.array(made[field.name], kind) for field, kind in zip(fields, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), *columns], names=["row", *[field.name for field in fields]]
+            )
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *fields]))

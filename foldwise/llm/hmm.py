@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import reliable_checkpoint, written
+from .common import small_batches
 
 END, RARE = 0, 1
 SMOOTHING = 0.1
 BATCH_TOKENS = 600_000
 HELD_TOKENS = 4_000_000
+HELD_WORDS = 2_000_000  # words are objects, numbers are not
 GAIN = 0.001
+SUM_ROWS = 8_192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,29 +76,32 @@ class Packed:
         column = np.arange(len(flat)) - np.repeat(begins, lengths)
         self.tokens = np.empty(len(flat), np.int32)
         self.tokens[self.offsets[column] + np.repeat(place, lengths)] = flat
+        # a long text has many steps of few sequences, so a step is little more than a few small matrix products
+        self.steps = list(zip(self.offsets.tolist(), self.offsets[1:].tolist()))
 
     def forward(self, model: Hmm, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward variables and the scales; the scales of a sequence multiply to its probability."""
         alpha = np.ascontiguousarray(model.emit.T, dtype=kind)[self.tokens]
-        start, move = model.start.astype(kind), model.move.astype(kind)
+        start, move, ones = model.start.astype(kind), model.move.astype(kind), np.ones(len(model.start), kind)
         scales = np.empty(len(self.tokens), kind)
+        into = np.empty((len(self.order), len(start)), kind)
+        into[:] = start
         before = None
-        for t, n in enumerate(self.active):
-            here = alpha[self.offsets[t] : self.offsets[t] + n]
-            here *= start if t == 0 else before[:n] @ move
-            total = here.sum(axis=1)
-            here /= total[:, None]
-            scales[self.offsets[t] : self.offsets[t] + n] = total
+        for low, high in self.steps:
+            here, coming = alpha[low:high], into[: high - low]
+            if before is not None:
+                np.dot(before[: high - low], move, coming)
+            here *= coming
+            np.dot(here, ones, scales[low:high])
+            here /= scales[low:high, None]
             before = here
         return alpha, scales
 
     def log_probabilities(self, model: Hmm) -> np.ndarray:
         """log10 probability of each sequence, in the order they were given."""
         _, scales = self.forward(model)
-        sums = np.zeros(len(self.order))
-        logs = np.log10(scales)
-        for t, n in enumerate(self.active):
-            sums[:n] += logs[self.offsets[t] : self.offsets[t] + n]
+        row = np.arange(len(scales)) - np.repeat(self.offsets[:-1], self.active)
+        sums = np.bincount(row, weights=np.log10(scales), minlength=len(self.order))
         result = np.empty(len(sums))
         result[self.order] = sums
         return result
@@ -106,18 +112,20 @@ class Packed:
         counts["gained"] += (np.log10(scales).sum(dtype=float), len(scales))
         emit = np.ascontiguousarray(model.emit.T, dtype=np.float32)[self.tokens]
         emit /= scales[:, None]
-        back_move, moved = model.move.T.astype(np.float32), np.zeros_like(model.move)
-        ones = np.ones((len(self.order), len(model.start)), np.float32)
-        beta = ones[: self.active[-1]]
-        for t in range(len(self.active) - 2, -1, -1):
-            n, m = self.active[t], self.active[t + 1]
-            here = alpha[self.offsets[t] : self.offsets[t] + m]
-            ahead = emit[self.offsets[t + 1] : self.offsets[t + 1] + m]
-            ahead *= beta[:m]
+        back_move, moved = np.ascontiguousarray(model.move.T, dtype=np.float32), np.zeros_like(model.move)
+        beta = np.ones((len(self.order), len(model.start)), np.float32)  # stays one for a sequence that ends at the step
+        for low, high in reversed(self.steps[1:]):
+            ahead = emit[low:high]
+            ahead *= beta[: high - low]
+            np.dot(ahead, back_move, beta[: high - low])
+        # ``emit`` now holds what follows each place of a later step; the place before it is a step earlier in the same row
+        first = self.steps[0][1] if self.steps else 0
+        earlier = np.arange(first, len(self.tokens)) - np.repeat(self.active[:-1], self.active[1:])
+        for low in range(0, len(earlier), SUM_ROWS):  # in parts, whose sums are added up in double precision
+            places, ahead = earlier[low : low + SUM_ROWS], emit[first + low : first + low + SUM_ROWS]
+            here = alpha[places]
             moved += here.T @ ahead
-            back = ahead @ back_move
-            here *= back  # from here on the probability of each state at the place
-            beta = np.concatenate([back, ones[: n - m]]) if n > m else back
+            alpha[places] = here * (ahead @ back_move)  # from here on the probability of each state at the place
         counts["start"] += alpha[: self.active[0]].sum(axis=0, dtype=float)
         counts["move"] += moved * model.move
         width = model.emit.shape[1]
@@ -161,7 +169,7 @@ def numbered_texts(texts: DataFrame, words: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for text in batch.column(0).to_pylist():
                 found = words_of(text)
@@ -184,7 +192,7 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(words_of(text))
                 counts[b""] += 1
@@ -337,31 +345,31 @@ def score_texts(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
         # per word: its base, and what its share of the rare class adds to the score
         known = {word: (base, 0.0 if not word or word in hmm.words else base + shift) for word, base in bases.items()}
         no_end = not counts[b""]
-        for batch in batches:
-            keys, ids = batch.column("key").to_pylist(), batch.column("row_id").to_pylist()
-            rows = zip(keys, ids, map(words_of, batch.column("text").to_pylist()), strict=True)
-            for group in batches_of(rows, size=lambda row: len(row[2]) + 1):
-                flat = np.array([number for _, _, words in group for number in hmm.numbers(words)], np.int32)
-                scores = Packed(flat, np.array([len(words) + 1 for _, _, words in group])).log_probabilities(hmm)
-                own: dict[str, list] = {name: [] for name in FIELDS}
-                rare: tuple[list, list, list] = ([], [], [])
-                for (_, row_id, words), score in zip(group, scores.tolist(), strict=True):
-                    tally = Counter(words)
-                    seen, base = len(words) + 1 - no_end, known[b""][0]
-                    for word, times in tally.items():
-                        if hit := known.get(word):
-                            base += times * hit[0]
-                            score += times * hit[1]
-                        else:
-                            seen -= times
-                            rare[0].append(row_id)
-                            rare[1].append(word)
-                            rare[2].append(times)
-                    for name, value in zip(FIELDS, (len(words) + 1, seen, base, score), strict=True):
-                        own[name].append(value)
-                marks = [b" %d" % row_id for _, row_id, _ in group]
-                yield rows_of(key=[name for name, _, _ in group], row_id=[at for _, at, _ in group], word=marks, times=[0] * len(group), **own)
-                yield rows_of(row_id=rare[0], word=rare[1], times=rare[2])
+        parts = (zip(*[batch.column(name).to_pylist() for name in ("key", "row_id", "text")], strict=True) for batch in small_batches(batches))
+        rows = ((name, row_id, words_of(value)) for part in parts for name, row_id, value in part)
+        for group in batches_of(rows, size=lambda row: len(row[2]) + 1, held=HELD_WORDS):
+            lengths = np.array([len(words) + 1 for _, _, words in group])
+            numbers = chain.from_iterable(hmm.numbers(words) for _, _, words in group)
+            scores = Packed(np.fromiter(numbers, np.int32, lengths.sum()), lengths).log_probabilities(hmm)
+            own: dict[str, list] = {name: [] for name in FIELDS}
+            rare: tuple[list, list, list] = ([], [], [])
+            for (_, row_id, words), score in zip(group, scores.tolist(), strict=True):
+                tally = Counter(words)
+                seen, base = len(words) + 1 - no_end, known[b""][0]
+                for word, times in tally.items():
+                    if hit := known.get(word):
+                        base += times * hit[0]
+                        score += times * hit[1]
+                    else:
+                        seen -= times
+                        rare[0].append(row_id)
+                        rare[1].append(word)
+                        rare[2].append(times)
+                for name, value in zip(FIELDS, (len(words) + 1, seen, base, score), strict=True):
+                    own[name].append(value)
+            marks = [b" %d" % row_id for _, row_id, _ in group]
+            yield rows_of(key=[name for name, _, _ in group], row_id=[at for _, at, _ in group], word=marks, times=[0] * len(group), **own)
+            yield rows_of(row_id=rare[0], word=rare[1], times=rare[2])
 
     def rows_of(**columns: list) -> pa.RecordBatch:
         size = len(columns["row_id"])

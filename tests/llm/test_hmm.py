@@ -133,3 +133,16 @@ def test_batches_go_by_length_and_lose_nothing():
     assert sorted(item for batch in batches for item in batch) == sorted(items)
     assert all(sum(map(len, batch)) <= 50 for batch in batches) and len(batches) < 90
     assert all([len(x) for x in batch] == sorted((len(x) for x in batch), reverse=True) for batch in batches)
+
+
+def test_a_step_of_a_long_text_makes_few_calls(monkeypatch):
+    calls = []
+    dot = np.dot
+    monkeypatch.setattr(H.np, "dot", lambda *args: calls.append(1) or dot(*args))
+    model = H.first_model([b"a", b"b"], np.array([3.0, 2.0, 9.0, 8.0]), 3, 5)
+    lengths = np.array([1, 200, 7])
+    packed = H.Packed(np.tile([2, 3, 1, 0], 52), lengths)
+    counts = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((3, 4)), "gained": np.zeros(2)}
+    packed.expected(model, counts)
+    assert 0 < len(calls) <= 3 * 200
+    assert counts["start"].sum() == pytest.approx(3, rel=1e-5) and counts["emit"].sum() == pytest.approx(208, rel=1e-5) and counts["move"].sum() == pytest.approx(205, rel=1e-5)
