@@ -29,7 +29,8 @@ from .common import packed
 
 NO_MERGE = 2**31 - 1
 REST = 2**30  # longer than any array
-EDGE = -1
+EDGE = 2**31 - 1  # no token has this number
+LOW = 2**32 - 1
 BUCKETS = 1 << 16
 KNOWN_PIECES = 1 << 20
 PIECE_BYTES = 48
@@ -125,48 +126,36 @@ def bound(value: Column, body) -> Column:
 def encode_piece(piece: Column, vocabulary: Vocabulary, merges: Column) -> Column:
     """The ids of one piece of text, by folding merges over its bytes."""
 
-    def ranks_of(pairs: Column) -> Column:
-        """The joined token of each (left, right), or the rank that never merges."""
+    def entry(left: Column, right: Column) -> Column:
+        """A token, below the rank of its pair with the next one: the joined token, or the rank that never merges."""
+        found = F.try_element_at(F.get(merges, pair_bucket(left, right)), pair_key(left, right))
+        return pair_key(F.coalesce(found, F.lit(NO_MERGE)).cast("bigint"), left)
 
-        def one(pair: Column) -> Column:
-            left, right = pair["left"], pair["right"]
-            found = F.try_element_at(F.get(merges, pair_bucket(left, right)), pair_key(left, right))
-            return F.coalesce(found, F.lit(NO_MERGE))
-
-        return F.transform(pairs, one)
-
-    def pair(left: Column, right: Column) -> Column:
-        return F.struct(left.alias("left"), right.alias("right"))
+    def token(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(LOW))
 
     digits = F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit(".."), F.lit(0))
     byte_ids = vocabulary.byte_ids()
     single = F.transform(digits, lambda two: F.element_at(byte_ids, F.conv(two, 16, 10).cast("int") + 1).cast("bigint"))
-    edge = F.array(F.lit(EDGE).cast("bigint"))
-
-    def start(tokens: Column) -> Column:
-        pairs = F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, REST), pair)
-        return F.struct(tokens.alias("tokens"), ranks_of(pairs).alias("ranks"))
+    edge = F.lit(EDGE).cast("bigint")
 
     def merge(state: Column, best: Column) -> Column:
-        tokens, ranks, whole = state["tokens"], state["ranks"], best.cast("bigint")
-
-        def at(place: Column) -> Column:
-            beside = ranks_of(F.array(pair(tokens[place - 2], whole), pair(whole, tokens[place + 1])))
-            return F.struct(
-                F.concat(F.slice(tokens, 1, place - 1), F.array(whole), F.slice(tokens, place + 2, REST)).alias("tokens"),
-                F.concat(F.slice(ranks, 1, place - 2), beside, F.slice(ranks, place + 2, REST)).alias("ranks"),
-            )
-
-        return bound(F.array_position(ranks, best).cast("int"), at)
+        """The entries with one pair merged; ``best`` has its rank, and below that the place of its left token, from 0."""
+        place, whole = token(best).cast("int"), F.shiftright(best, 32)
+        beside = F.array(entry(token(state[place - 1]), whole), entry(whole, token(state[place + 2])))
+        return F.concat(F.slice(state, 1, place - 1), beside, F.slice(state, place + 3, REST))
 
     def step(state: Column, _: Column) -> Column:
-        return bound(F.array_min(state["ranks"]), lambda best: F.when(best == NO_MERGE, state).otherwise(merge(state, best)))
+        best = F.array_min(F.transform(state, lambda one, place: one.bitwiseAND(F.lit(~LOW)).bitwiseOR(place)))
+        return bound(best, lambda best: F.when(best >= NO_MERGE << 32, state).otherwise(merge(state, best)))
 
     def folded(tokens: Column) -> Column:
-        done = F.aggregate(F.slice(tokens, 3, REST), start(tokens), step)["tokens"]
-        return F.slice(done, 2, F.greatest(F.size(done) - 2, F.lit(0))).cast("array<int>")
+        start = F.transform(tokens, lambda left, place: entry(left, F.coalesce(F.get(tokens, place + 1), edge)))
+        # the ids are read where the fold ends: an expression that is named twice is computed twice
+        ids = lambda state: F.transform(F.slice(state, 2, F.greatest(F.size(state) - 2, F.lit(0))), lambda one: token(one).cast("int"))
+        return F.aggregate(F.slice(tokens, 3, REST), start, step, ids)
 
-    return bound(F.concat(edge, single, edge), folded)
+    return bound(F.concat(F.array(edge), single, F.array(edge)), folded)
 
 
 def pieces_of(text: Column, vocabulary: Vocabulary) -> Column:

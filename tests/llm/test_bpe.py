@@ -62,3 +62,9 @@ def test_a_vocabulary_without_gaps_and_with_every_byte(tmp_path):
         bpe.read_ranks(str(path))
     with pytest.raises(ValueError, match="every byte"):
         bpe.Vocabulary([b"a"], "x")
+
+
+def test_the_fold_is_computed_once_for_each_piece(spark, vocabulary):
+    df = spark.createDataFrame([("a",)], "piece string").select(F.col("piece"), F.lit(None).cast("array<map<bigint,int>>").alias("merges"))
+    plan = df.select(bpe.encode_piece(F.col("piece"), vocabulary, F.col("merges")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_min(") == plan.count("regexp_extract_all(")  # a fold named twice would have more
