@@ -29,17 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bittable import bit_table, passes, table_bits
-from ..session import reliable_checkpoint
+from ..session import release_shuffles, reliable_checkpoint
+from .common import small_batches
 from .components import component_roots
 
 SHINGLE = 5
 LISTED = 8
 SAMPLE = 4_096
 COMMON = 65_536
-CACHE = 400_000
+CACHE = 100_000
 BLOCK = 1_024
 WIDE = 64
 SHORT = 16
+STRIP = 256
+PAIRS = 1 << 17
 
 
 class Shingles:
@@ -87,7 +90,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for batch in batches:
+        for batch in small_batches(batches):
             found = pa.array([shingles(text) for text in batch.column("text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), found], names=["text_hash", "tokens"])
 
@@ -111,7 +114,7 @@ def prefix_sets(texts: DataFrame, common: np.ndarray, rank: np.ndarray, shared:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingles(text) for text in batch.column("text").to_pylist()]
             columns = [
                 batch.column("text_hash"),
@@ -210,6 +213,10 @@ def later_meetings(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         (i, j, text, size, root, wide, own), (_, _, text_, size_, root_, wide_, own_) = left, right
         return fits(size, size_) & (root != root_) & ((wide | wide_) > 0) & (((i == j) & (text != text_)) | (own != own_))
 
+    def listed(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _and_last(batches):
@@ -233,11 +240,16 @@ def later_meetings(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 found.append(np.column_stack([values[2][left], values[2][left + step]]))
             for at in np.flatnonzero(sizes > SHORT).tolist():
                 part = [v[edges[at] : edges[at + 1]] for v in values]
-                one, two = np.nonzero(np.triu(good([v[:, None] for v in part], [v[None, :] for v in part]), 1))
-                found.append(np.column_stack([part[2][one], part[2][two]]))
+                for top in range(0, len(part[0]), STRIP):  # some rows against all behind them
+                    rest = [v[top:] for v in part]
+                    one, two = np.nonzero(np.triu(good([v[:STRIP, None] for v in rest], [v[None, :] for v in rest]), 1))
+                    found.append(np.column_stack([rest[2][one], rest[2][two]]))
+                    if sum(map(len, found)) > PAIRS:
+                        yield listed(found)
+                        found = []
             held = [column[end:] for column in columns]
-            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+            if found:
+                yield listed(found)
 
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -278,7 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, head = Shingles(), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             found: tuple[list, list] = ([], [])
             for a, b, text in zip(*[batch.column(name).to_pylist() for name in ("a", "b", "text")], strict=True):
                 tokens = shingles(text)
@@ -301,7 +313,9 @@ def overlap_links(texts: DataFrame, prints: DataFrame, links: DataFrame, listed:
     def named(pairs: DataFrame) -> DataFrame:
         one = prints.select(F.col("text_hash").alias("a"), F.col("print").alias("u"))
         two = prints.select(F.col("text_hash").alias("b"), F.col("print").alias("v"))
-        return reliable_checkpoint(pairs.join(one, "a").join(two, "b").where("u <> v").select("u", "v").distinct())
+        links = reliable_checkpoint(pairs.join(one, "a").join(two, "b").where("u <> v").select("u", "v").distinct())
+        release_shuffles(texts.sparkSession)  # of the texts that were compared
+        return links
 
     order = often_seen(texts, prints.count())
     rows = prefix_sets(texts, *order, shared=2).select(F.explode("tokens").alias("token"), "text_hash", "size")

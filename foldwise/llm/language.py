@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, small_batches
 
 COLUMNS = 1 << 15
 UNKNOWN = "und"
@@ -90,7 +90,7 @@ def document_frequencies(texts: DataFrame, text: str, columns: int) -> tuple[np.
 
     def run(batches):
         total, rows = np.zeros(columns, np.int64), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for value in batch.column(0).to_pylist():
                 found, _ = gram_counts(value, columns)
                 total[found] += 1

@@ -4,9 +4,12 @@ import random
 
 import pytest
 from conftest_llm import brute_roots
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline as pipeline
 from foldwise.llm import jaccard, simhash
+from foldwise.llm.common import BATCH_ROWS, annotate
 from foldwise.session import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,3 +113,14 @@ def test_dissimilar_texts_with_a_common_shingle_are_not_compared_pair_by_pair(sp
     links = jaccard.overlap_links(rows, rows.selectExpr("text_hash", "text_hash as print"), spark.createDataFrame([], "u long, v long"))
     assert {tuple(sorted(row)) for row in links.collect()} == {(0, 1500), (1, 1501)}
     assert sum(compared) < 3 * len(texts)
+
+
+def test_a_task_holds_few_rows_at_a_time(spark):
+    rows = spark.range(0, 3 * BATCH_ROWS + 5, 1, 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    start = lambda: lambda batch: {"held": [batch.num_rows] * batch.num_rows}
+    seen = annotate(rows, ["doc_id"], {"text": F.col("text")}, start, [T.StructField("held", T.LongType())])
+    assert [row["doc_id"] for row in seen.select("row.doc_id").collect()] == list(range(3 * BATCH_ROWS + 5))
+    assert seen.agg(F.max("held")).first()[0] == BATCH_ROWS
+    crowd = spark.range(600).select(F.lit(1).alias("key"), F.col("id").alias("text_hash"), F.lit(9).alias("size"), F.col("id").alias("root"), F.lit(True).alias("wide"))
+    found = jaccard.later_meetings(crowd).collect()
+    assert len(found) == len(set(found)) == 600 * 599 // 2 and all(row["a"] < row["b"] for row in found)
