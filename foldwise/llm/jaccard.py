@@ -8,12 +8,16 @@ last in the order; that decides how many pairs meet, never which are found.
 Texts that meet are compared on the whole sets. Where more than ``LISTED`` meet under a shingle, each is first compared
 with the smallest one only, so a large group of near copies costs a comparison each. The crowded shingles under which
 texts of different groups are left are the mixed ones. Prefixes are longer by one than they need to be, so similar sets
-share two shingles there, and if no other shingle has brought them together, both are mixed: they meet again under a pair
-of mixed shingles. Dissimilar texts with one common passage do not. Texts with more than ``WIDE`` mixed shingles meet all
+share two shingles there, and if no other shingle has brought them together, both are mixed: they meet again under the
+first of the two. Dissimilar texts with one common shingle do not. Texts with more than ``WIDE`` mixed shingles meet all
 others under each of them instead. Pairs of different groups that meet so are listed in blocks, never by one task.
 
-A sweep streams through its sorted rows and holds a few of them. To verify, a text travels once for each pair that it is
-the second of, and the first of many pairs once for each ``BLOCK`` of them.
+A shingle's place in the order bounds the overlap: if sets of ``n`` and ``m`` have their first common one at the places
+``i`` and ``j``, they share ``min(n - i, m - j)`` at most, and at the second one more than that. So a row reaches sets up to
+``(5n - 9i) / 4`` only; texts of one large cluster that differ too much to be similar are mostly told apart by that.
+
+A sweep streams through its sorted rows and holds a few of them. To verify, texts that meet much of the same are dealt into
+slots of ``BLOCK``, and a text travels once to each pair of slots, not once for each pair.
 
 Null and blank texts have no shingle and no link. Copies are one text.
 """
@@ -43,6 +47,7 @@ WIDE = 64
 SHORT = 16
 STRIP = 256
 PAIRS = 1 << 17
+CHECKED = 1 << 13
 
 
 class Shingles:
@@ -132,23 +137,35 @@ def fits(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(one, other) >= 4 * np.maximum(one, other)
 
 
-PAIR_NAMES = ["a", "b", "token", "text_hash", "size"]
-PAIR_SCHEMA = "a long, b long, token long, text_hash long, size long"
+def reach(size, place, before: int = 0):
+    """Four times the largest size that can be similar, if a common shingle is at this place with ``before`` common ones in front."""
+    return 5 * size - 9 * (place - before)
+
+
+def within(size: np.ndarray, far: np.ndarray, size_: np.ndarray, far_: np.ndarray) -> np.ndarray:
+    """Whether both sets reach the other."""
+    return (4 * size_ <= far) & (4 * size <= far_)
+
+
+PAIR_NAMES = ["a", "b", "token", "text_hash", "size", "place"]
+PAIR_SCHEMA = "a long, b long, token long, text_hash long, size long, place long"
 
 
 class FirstMeetings:
-    """Rows sorted by (token, size, text): all pairs of up to ``listed`` texts; of more, each with the first, and the rows.
+    """Rows sorted by (token, size, text) with their place: pairs of up to ``listed`` texts; of more, each with the first, and the rows.
+
+    A listed pair may have met under one common shingle in front of this one, if that is crowded, and not under two.
 
     Between batches the rows of a token that may still have few are held, or the first row of a crowded one.
     """
 
     def __init__(self, listed: int):
         self.listed = listed
-        self.held = tuple(np.empty(0, np.int64) for _ in range(3))
+        self.held = tuple(np.empty(0, np.int64) for _ in range(4))
         self.crowded = False  # whether the row held is the first of a crowded token, and done
 
     def __call__(self, columns: list[np.ndarray], final: bool = False) -> pa.RecordBatch:
-        token, text, size = rows = [np.concatenate(pair) for pair in zip(self.held, columns, strict=True)]
+        token, _, size, place = rows = [np.concatenate(pair) for pair in zip(self.held, columns, strict=True)]
         if not len(token):
             return self.rows_of([], rows, np.empty(0, np.int64))
         new = np.append(True, token[1:] != token[:-1])
@@ -158,9 +175,11 @@ class FirstMeetings:
         crowded = many > self.listed
         crowded[0] |= self.crowded
         waits = (run == run[-1]) & ~crowded[-1] & (not final)
+        far = reach(size, place, 1)
         pairs = []
         for step in range(1, self.listed):
             left = np.flatnonzero((run[step:] == run[:-step]) & ~crowded[run[step:]] & ~waits[step:])
+            left = left[within(size[left], far[left], size[left + step], far[left + step])]
             pairs.append((left, left + step))
         full = np.flatnonzero(crowded[run])
         later = full[full > first[run[full]]]
@@ -173,101 +192,151 @@ class FirstMeetings:
 
     def rows_of(self, pairs: list, rows: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
         """Pairs whose sizes fit, each once and the smaller hash first, and the rows ``at`` of crowded tokens."""
-        token, text, size = rows
+        _, text, size, _ = rows
         left, right = (np.concatenate([pair[i] for pair in pairs] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
         good = fits(size[left], size[right]) & (text[left] != text[right])
         found = np.unique(np.sort(np.column_stack([text[left[good]], text[right[good]]]), axis=1), axis=0)
         gap, rest = pa.nulls(len(found), pa.int64()), pa.nulls(len(at), pa.int64())
         arrays = [pa.concat_arrays([pa.array(found[:, i], pa.int64()), rest]) for i in range(2)]
-        arrays += [pa.concat_arrays([gap, pa.array(values[at], pa.int64())]) for values in (token, text, size)]
+        arrays += [pa.concat_arrays([gap, pa.array(values[at], pa.int64())]) for values in rows]
         return pa.RecordBatch.from_arrays(arrays, names=PAIR_NAMES)
 
 
 def first_meetings(rows: DataFrame, listed: int) -> DataFrame:
-    """Pairs (a, b) of the rows (token, text_hash, size), and the rows of crowded tokens."""
+    """Pairs (a, b) of the rows (token, text_hash, size, place), and the rows of crowded tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meet = FirstMeetings(listed)
         for batch in batches:
             if batch.num_rows:
                 yield meet([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-        yield meet([np.empty(0, np.int64)] * 3, final=True)
+        yield meet([np.empty(0, np.int64)] * 4, final=True)
 
-    dealt = rows.select("token", "text_hash", "size").repartition("token").sortWithinPartitions("token", "size", "text_hash")
+    dealt = rows.select("token", "text_hash", "size", "place").repartition("token").sortWithinPartitions("token", "size", "text_hash")
     return dealt.mapInArrow(run, PAIR_SCHEMA)
 
 
 def later_meetings(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) of different groups among the rows (key, text_hash, size, root, wide) of a key, in blocks of rows.
+    """Pairs (a, b) of different groups among the rows of ``mixed_keys`` with a key in common, in blocks of rows.
 
-    Of the two texts of a pair one has to be ``wide``.
+    A pair is given under the first key that both have, if a second one lets them be similar as well, and under every common
+    key if one of the two is ``wide``. Without a column ``far`` sizes alone decide.
     """
-    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = counted.where("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    if "far" not in rows.columns:
+        rows = rows.withColumns({"far": F.lit(np.iinfo(np.int64).max), "at": F.lit(0), "tokens": F.expr("array()"), "fars": F.expr("array()")})
+    rows = mixed_rows(rows, "key")
+    mixed = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int").alias("own")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.join(mixed, "key").select("key", "text_hash", "size", "root", F.col("wide").cast("int").alias("wide"), own, other)
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_hash", "size", "root", "wide", "own")
+    numbers = ["text_hash", "size", "root", F.col("wide").cast("int").alias("wide"), "far", "at"]
+    lists = [F.col(name).cast("array<long>").alias(name) for name in ("tokens", "fars")]
+    dealt = rows.join(mixed, "key").select("key", *numbers, *lists, own, other)
+    numbers = ["text_hash", "size", "root", "wide", "far", "at", "own"]
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *numbers, "tokens", "fars")
 
     def good(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        (i, j, text, size, root, wide, own), (_, _, text_, size_, root_, wide_, own_) = left, right
-        return fits(size, size_) & (root != root_) & ((wide | wide_) > 0) & (((i == j) & (text != text_)) | (own != own_))
-
-    def listed(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+        (i, j, text, size, root, _, far, _, own), (_, _, text_, size_, root_, _, far_, _, own_) = left, right
+        return fits(size, size_) & within(size, far, size_, far_) & (root != root_) & (((i == j) & (text != text_)) | (own != own_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _and_last(batches):
-            if batch is not None and not batch.num_rows:
+            if batch is not None and batch.num_rows:
+                part = pa.Table.from_batches([batch])
+                held = part if held is None else pa.concat_tables([held, part])
+            elif batch is not None or held is None:
                 continue
-            columns = [] if batch is None else [column.to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)] if columns else held
-            if not columns:
-                return
+            columns = [column.to_numpy().astype(np.int64) for column in held.columns[:-2]]
             new = np.append(True, np.any([column[1:] != column[:-1] for column in columns[:3]], axis=0))
             edges = np.append(np.flatnonzero(new), len(new))
             done = len(edges) - (1 if batch is None else 2)
             end, sizes = edges[done], np.diff(edges[: done + 1])
             run_of, values = np.repeat(np.arange(done), sizes), [column[:end] for column in columns[1:]]
-            found = [np.empty((0, 2), np.int64)]
+            chosen, found = FirstTwo(values, held[:end]), []
             short = sizes[run_of] <= SHORT
             for step in range(1, min(SHORT, end)):  # short runs of all keys at once
                 left = np.flatnonzero((run_of[step:] == run_of[:-step]) & short[step:])
                 left = left[good([v[left] for v in values], [v[left + step] for v in values])]
-                found.append(np.column_stack([values[2][left], values[2][left + step]]))
+                found.append(chosen(left, left + step))
             for at in np.flatnonzero(sizes > SHORT).tolist():
                 part = [v[edges[at] : edges[at + 1]] for v in values]
                 for top in range(0, len(part[0]), STRIP):  # some rows against all behind them
                     rest = [v[top:] for v in part]
                     one, two = np.nonzero(np.triu(good([v[:STRIP, None] for v in rest], [v[None, :] for v in rest]), 1))
-                    found.append(np.column_stack([rest[2][one], rest[2][two]]))
+                    found.append(chosen(one + edges[at] + top, two + edges[at] + top))
                     if sum(map(len, found)) > PAIRS:
                         yield listed(found)
                         found = []
-            held = [column[end:] for column in columns]
+            held = held[end:]
             if found:
                 yield listed(found)
 
+    def listed(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+class FirstTwo:
+    """Of pairs of rows those whose key is the first that both texts have, and which reach each other at the second as well."""
+
+    def __init__(self, values: list[np.ndarray], rows: pa.Table):
+        _, _, self.text, self.size, _, self.wide, _, self.at, _ = values
+        tokens, fars = (rows.column(name).combine_chunks() for name in ("tokens", "fars"))
+        ends = np.cumsum(np.append(0, tokens.value_lengths().to_numpy()))
+        self.start, self.many = ends[:-1], np.diff(ends)
+        known, self.token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        self.far, self.kinds = fars.flatten().to_numpy(), max(1, len(known))
+        entry = np.repeat(np.arange(len(self.many)), self.many) * self.kinds + self.token
+        self.order = np.argsort(entry)
+        self.entry = entry[self.order]
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        kept = [self.pick(left[top : top + CHECKED], right[top : top + CHECKED]) for top in range(0, len(left), CHECKED)]
+        left, right = (np.concatenate([np.empty(0, np.int64), *[pair[i] for pair in kept]]) for i in (0, 1))
+        return np.column_stack([self.text[left], self.text[right]])
+
+    def pick(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = (self.wide[left] | self.wide[right]) > 0
+        checked = np.flatnonzero(~good)
+        if len(checked):
+            one, two = left[checked], right[checked]
+            place = np.arange(self.many[one].max())
+            mine = self.start[one][:, None] + np.minimum(place, self.many[one][:, None] - 1)
+            wanted = two[:, None] * self.kinds + self.token[mine]
+            found = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+            shared = (self.entry[found] == wanted) & (place < self.many[one][:, None])
+            first = shared.argmax(axis=1) == self.at[one]
+            shared &= place > self.at[one][:, None]
+            row, second = np.arange(len(one)), shared.argmax(axis=1)
+            far, far_ = self.far[mine[row, second]], self.far[self.order[found[row, second]]]
+            good[checked] = first & shared.any(axis=1) & within(self.size[one], far, self.size[two], far_)
+        return left[good], right[good]
+
+
+def mixed_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, text_hash, size, root, far, ...) that reach a size among those of their key, if these have several groups."""
+    ends = rows.groupBy(key).agg(F.min("size").alias("_least"), F.max("far").alias("_most"))
+    near = rows.join(ends, key).where("far >= 4 * _least and 4 * size <= _most").drop("_least", "_most")
+    groups = near.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return near.join(groups.where("low <> high").select(key), key, "left_semi")
+
+
 def mixed_keys(left: DataFrame, wide: int = WIDE) -> DataFrame:
-    """(key, text_hash, size, root, wide) from the rows (token, text_hash, size, root) of mixed shingles."""
-    texts = left.groupBy("text_hash", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    few = texts.where(F.size("tokens") <= wide)
-    place = F.posexplode("tokens").alias("at", "token")
-    other = F.explode(F.slice("tokens", F.col("at") + 2, wide)).alias("other")
-    pairs = few.select("*", place).select("text_hash", "size", "root", "token", other)
-    pairs = pairs.select(F.xxhash64("token", "other").alias("key"), "text_hash", "size", "root", F.lit(True).alias("wide"))
-    many = texts.where(F.size("tokens") > wide).select("text_hash", F.explode("tokens").alias("token"))
-    met = left.join(many.select("token").distinct(), "token", "left_semi")
-    met = met.join(many.select("text_hash").distinct().withColumn("wide", F.lit(True)), "text_hash", "left")
-    single = met.select(F.xxhash64("token").alias("key"), "text_hash", "size", "root", F.coalesce("wide", F.lit(False)).alias("wide"))
-    return pairs.unionAll(single)
+    """(key, text_hash, size, root, wide, far, at, tokens, fars) from the rows (token, text_hash, size, root, place) of mixed shingles.
+
+    ``tokens`` are all of a text, in order, ``at`` is the place of the key among them, and ``far`` and ``fars`` say what the
+    text reaches if the key is the first common one, or one of them the second. The lists of ``wide`` texts are left out.
+    """
+    texts = left.groupBy("text_hash", "size", "root").agg(F.array_sort(F.collect_set(F.struct("place", "token"))).alias("all"))
+    is_wide = F.size("all") > wide
+    listed = F.when(is_wide, F.slice("all", 1, 0)).otherwise(F.col("all"))
+    fars = F.transform(listed, lambda one: reach(F.col("size"), one["place"], 1)).alias("fars")
+    one = texts.select("text_hash", "size", "root", is_wide.alias("wide"), listed["token"].alias("tokens"), fars, F.posexplode("all").alias("at", "one"))
+    far = reach(F.col("size"), F.col("one.place")).alias("far")
+    return one.select(F.col("one.token").alias("key"), "text_hash", "size", "root", "wide", far, "at", "tokens", "fars")
 
 
 def _and_last(batches: Iterator) -> Iterator:
@@ -275,28 +344,43 @@ def _and_last(batches: Iterator) -> Iterator:
     yield None
 
 
+def hubs(pairs: DataFrame, block: int) -> DataFrame:
+    """(text_hash, hub, slot) of every text of a pair; those of a dense group mostly have one hub, and ``block`` of them a slot."""
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"))
+    near = both.join(near.toDF("b", "hub"), "b").groupBy("a").agg(F.min("hub").alias("hub"))
+    slots = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("slots"))
+    slot = F.pmod(F.xxhash64("a"), F.col("slots")).alias("slot")
+    return near.join(slots, "hub").select(F.col("a").alias("text_hash"), "hub", slot)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) that are similar on their whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    """The pairs (a, b) that are similar on their whole sets; a text travels once to each pair of slots that it has a pair in."""
+    ends = reliable_checkpoint(hubs(pairs, block))
     bits = table_bits(ends.count())
-    table = bit_table(ends, bits).alias("table")
+    table = bit_table(ends.select("text_hash"), bits).alias("table")
     used = texts.select("text_hash", "text", table).where(passes(F.col("text_hash"), F.col("table"), bits)).select("text_hash", "text")
-    used = used.join(ends, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b")
-    heads = dealt.select("a", "salt").distinct().join(used, F.col("a") == F.col("text_hash")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    others = dealt.join(used, F.col("b") == F.col("text_hash")).select("a", "salt", "b", "text")
-    together = heads.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    used = used.join(ends.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    dealt = pairs.join(ends.toDF("a", "hub_a", "slot_a"), "a").join(ends.toDF("b", "hub_b", "slot_b"), "b")
+    dealt = reliable_checkpoint(dealt.select(F.xxhash64("hub_a", "slot_a", "hub_b", "slot_b").alias("slot"), "a", "b"))
+    none = F.lit(None).cast("long")
+    sides = dealt.select("slot", "a", none.alias("b")).unionAll(dealt.select("slot", none.alias("a"), "b")).distinct()
+    sides = sides.withColumn("text_hash", F.coalesce("a", "b")).join(used, "text_hash").select("slot", "a", "b", "text")
+    together = sides.unionAll(dealt.withColumn("text", F.lit(None).cast("string")))
+    together = together.repartition("slot").sortWithinPartitions("slot", F.asc_nulls_first("b"), F.asc_nulls_first("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, head = Shingles(), np.empty(0, np.int64)
+        shingles, here, held, other = Shingles(), None, {}, np.empty(0, np.int64)
         for batch in small_batches(batches):
             found: tuple[list, list] = ([], [])
-            for a, b, text in zip(*[batch.column(name).to_pylist() for name in ("a", "b", "text")], strict=True):
-                tokens = shingles(text)
+            for slot, a, b, text in zip(*[batch.column(name).to_pylist() for name in ("slot", "a", "b", "text")], strict=True):
+                if slot != here:
+                    here, held = slot, {}
                 if b is None:
-                    head = tokens
-                elif similar(head, tokens):
+                    held[a] = shingles(text)
+                elif a is None:
+                    other = shingles(text)
+                elif similar(held[a], other):
                     found[0].append(a)
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()) for values in found], names=["a", "b"])
@@ -318,18 +402,19 @@ def overlap_links(texts: DataFrame, prints: DataFrame, links: DataFrame, listed:
         return links
 
     order = often_seen(texts, prints.count())
-    rows = prefix_sets(texts, *order, shared=2).select(F.explode("tokens").alias("token"), "text_hash", "size")
+    rows = prefix_sets(texts, *order, shared=2).select(F.posexplode("tokens").alias("place", "token"), "text_hash", "size")
+    rows = rows.withColumn("place", F.col("place").cast("long"))
     swept = reliable_checkpoint(first_meetings(rows, listed))
     pairs = reliable_checkpoint(swept.where("a is not null").select("a", "b").distinct())
     found = named(verified(pairs, texts, block))
-    crowded = swept.where("token is not null").select("token", "text_hash", "size")
+    crowded = swept.where("token is not null").select("token", "text_hash", "size", "place")
     if crowded.isEmpty():
         return found
     roots = component_roots(links.unionByName(found))
     grouped = prints.join(roots, prints["print"] == roots["node"], "left").select("text_hash", F.coalesce("root", "print").alias("root"))
-    crowded = crowded.join(grouped, "text_hash")
-    mixed = crowded.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = reliable_checkpoint(crowded.join(mixed, "token", "left_semi"))
+    crowded = crowded.join(grouped, "text_hash").withColumn("far", reach(F.col("size"), F.col("place"), 1))
+    left = reliable_checkpoint(mixed_rows(crowded, "token"))
     later = later_meetings(mixed_keys(left, wide), block)
     later = reliable_checkpoint(later.join(pairs, ["a", "b"], "left_anti"))
+    release_shuffles(texts.sparkSession)  # of the rows that met
     return found.unionByName(named(verified(later, texts, block)))

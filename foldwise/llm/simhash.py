@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reliable_checkpoint
+from ..session import release_shuffles, reliable_checkpoint
 from .common import annotate
 from .components import component_roots
 from .jaccard import overlap_links
@@ -194,6 +194,7 @@ def near_groups(
         links = reliable_checkpoint(links)
         prints = known.select("text_hash", "print").distinct()
         links = links.unionByName(overlap_links(source.select("text_hash", "text"), prints, links))
+        release_shuffles(docs.sparkSession)  # those of the links are not needed again
     roots = component_roots(links)
     placed = unique.join(roots, unique["print"] == roots["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")

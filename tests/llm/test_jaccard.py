@@ -124,3 +124,32 @@ def test_a_task_holds_few_rows_at_a_time(spark):
     crowd = spark.range(600).select(F.lit(1).alias("key"), F.col("id").alias("text_hash"), F.lit(9).alias("size"), F.col("id").alias("root"), F.lit(True).alias("wide"))
     found = jaccard.later_meetings(crowd).collect()
     assert len(found) == len(set(found)) == 600 * 599 // 2 and all(row["a"] < row["b"] for row in found)
+
+
+def test_texts_that_differ_too_much_from_a_large_cluster_are_not_compared_with_each_of_it(spark, monkeypatch):
+    rng, compared = random.Random(8), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def changed(step):
+        """A word is another at every ``step`` places, from a start of the copy's own."""
+        start = rng.randrange(step)
+        return " ".join(f"v{rng.randrange(10**6)}" if at % step == start else word for at, word in enumerate(base))
+
+    texts = [changed(200) for _ in range(60)] + [changed(28) for _ in range(60)]
+    sets = [plain_set(text) for text in texts]
+    assert not any(plain_similar(a, b) for a in sets[60:] for b in sets if a is not b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    whole = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    none = spark.createDataFrame([], "u long, v long")
+    links = jaccard.overlap_links(rows, rows.selectExpr("text_hash", "text_hash as print"), none)
+    linked = {tuple(sorted(row)) for row in links.collect()}
+    assert set(brute_roots(range(60), lambda a, b: (a, b) in linked or (b, a) in linked).values()) == {0}
+    assert all(b < 60 for _, b in linked) and compared[-1] < 60  # 60 x 60 pairs at most
+
+
+def test_texts_that_meet_much_of_the_same_travel_together(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(30, 60) if (a + b) % 3], "a long, b long")
+    assert {row["hub"] for row in jaccard.hubs(pairs, 1024).collect()} <= {0, 1}
+    sizes = [row["count"] for row in jaccard.hubs(pairs, 20).groupBy("hub", "slot").count().collect()]
+    assert sum(sizes) == 60 and len(sizes) <= 5
