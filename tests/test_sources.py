@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import types as T
 
 from foldwise import ContractViolation
 from foldwise.sources.contracts import align_vectors, read_contract, scan_features, table_shapes
-from foldwise.sources.integrity import file_integrity
+from foldwise.sources.integrity import file_digests, file_integrity
 from foldwise.sources.sinks import write_predictions, write_stages
 
 SCHEMA = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("target", T.DoubleType())])
@@ -51,6 +53,37 @@ def test_integrity(spark, tmp_path):
     assert found == [("changed", "digest"), ("extra", "undeclared"), ("gone", "missing")]
 
 
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path):
+    rng = random.Random(5)
+    noise = rng.randbytes(300_000)
+    files = {
+        "noise.parquet": noise,
+        "ends.txt": b"a\r\nb\n\n" * 9_000,
+        "open.txt": b"a\n\xff\x00" * 9_000,
+        "marked.csv": b"\xef\xbb\xbfx,y\n" * 5_000,
+        "marked open.csv": b"\xef\xbb\xbf" + noise + b"z",
+        "no suffix+%41": noise[::-1] + b"\n",
+        "feeds": b"\n" * 20_000,
+        "zeros.bin": bytes(70_000),
+        "packed.gz": gzip.compress(noise),
+        "false.gz": noise[:90_000],
+        "false.bz2": noise[7:],
+        "below/deep.zst": noise[9:],
+        "small": b"abc",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    expected = {name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in files.items()}
+    for block in ("128m", "40k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            found = file_digests(spark, str(tmp_path), value_bytes=1_000).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(found) == len(files) and {r["name"]: (r["sha256"], r["bytes"]) for r in found} == expected
+
+
 def test_feature_and_vector_scans(spark):
     cache = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "record_id string, x double")
     assert scan_features(cache, cache.select("record_id").limit(1)).count() == 1
