@@ -7,7 +7,7 @@ lie all around a sphere no larger than the cutoff, like unit vectors, spread on
 
 Crowded cells are cut into tiles by a hash, and each pair of tiles is a group of its own, so neither a crowded cell nor
 one hot group ends up in one task. A pair of cells or tiles is compared in one order only, by one matrix product; only
-true pairs leave the task, and are mirrored then.
+true pairs leave the task, and are mirrored then. They are neither shuffled nor written on the way to the result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
-from ..session import written
 
 TILE_ROWS = 2_000
 EXACT_ROWS = 20_000
@@ -50,6 +49,16 @@ def spread_directions(nodes: DataFrame, cutoff: float, vector: str = "embedding"
     return [drawn[i] for i in sorted(wide, key=lambda i: -row[f"s{i}"])[:axes]]
 
 
+def listed_places(sources: pd.Series, listed: pd.Series, keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of the source, of the target among the keys) of all listed targets that are among the keys."""
+    many = listed.map(len).to_numpy()
+    if not many.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    named = pd.DataFrame({"row": np.repeat(np.arange(len(sources)), many), "key": np.concatenate([x for x in listed if len(x)])})
+    met = named.merge(pd.DataFrame({"to": np.arange(len(keys)), "key": keys.to_numpy()}), "inner", "key")
+    return met["row"].to_numpy(), met["to"].to_numpy()
+
+
 def close_pairs(
     nodes: DataFrame,
     cutoff: float,
@@ -58,13 +67,26 @@ def close_pairs(
     vector: str = "embedding",
     axes: int = AXES,
     tile_rows: int = TILE_ROWS,
+    without: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordered pairs (group, source, target, distance) with distance <= cutoff and source != target."""
+    """Ordered pairs (group, source, target, distance) with distance <= cutoff and source != target.
+
+    Pairs of ``without`` (group, source, target) are left out where they are found, so that the pairs themselves are never
+    shuffled: the targets of a source travel with it, to each tile those that are dealt there.
+    """
     directions = spread_directions(nodes, cutoff, vector, axes)
     names = [f"_c{i}" for i in range(len(directions))]
     point = as_vector(vector)
     cells = [F.floor(_projection(point, d) / F.lit(float(cutoff))).alias(n) for d, n in zip(directions, names)]
-    placed = nodes.select(F.col(group).alias("_group"), F.col(key).alias("_key"), point.alias("_point"), *cells)
+    narrow = nodes.schema[vector].dataType.simpleString() == "array<float>"  # half as much to shuffle; widened in the tasks
+    placed = nodes.select(F.col(group).alias("_group"), F.col(key).alias("_key"), (F.col(vector) if narrow else point).alias("_point"), *cells)
+    nothing = F.array().cast(T.ArrayType(nodes.schema[key].dataType))
+    if without is None:
+        placed = placed.withColumn("_listed", nothing)
+    else:
+        source, target = (F.col(name).cast(nodes.schema[key].dataType) for name in ("source", "target"))
+        targets = without.groupBy(F.col(group).alias("_group"), source.alias("_key")).agg(F.collect_set(target).alias("_listed"))
+        placed = placed.join(targets, ["_group", "_key"], "left").withColumn("_listed", F.coalesce("_listed", nothing))
     sizes = placed.groupBy("_group", *names).agg(F.count(F.lit(1)).alias("_rows"))
     # Of a cell and its neighbours only those behind it in the order of the coordinates, so each pair of cells is met once.
     moves = [m for m in reduce(lambda rows, _: [r + (d,) for r in rows for d in (-1, 0, 1)], names, [()]) if m >= (0,) * len(names)]
@@ -87,12 +109,14 @@ def close_pairs(
     own = F.pmod(F.xxhash64("_key"), F.col("_a")).cast("int").alias("_i")
     left = placed.join(near, ["_group", *names]).select("*", own)
     left = left.withColumn("_j", F.explode(F.sequence(F.when(inside, F.col("_i")).otherwise(F.lit(0)), F.col("_b") - 1)))
+    left = left.withColumn("_listed", F.filter("_listed", lambda k: F.pmod(F.xxhash64(k), F.col("_b")) == F.col("_j")))
     far = pairs.select("_group", "_move", *names, *[f"_t{n}" for n in names], "_a", "_b")
-    moved = placed.select("_group", "_key", "_point", *[F.col(n).alias(f"_t{n}") for n in names])
+    moved = placed.select("_group", "_key", "_point", "_listed", *[F.col(n).alias(f"_t{n}") for n in names])
     own = F.pmod(F.xxhash64("_key"), F.col("_b")).cast("int").alias("_j")
     right = moved.join(far, ["_group", *[f"_t{n}" for n in names]]).select("*", own)
     right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("_j")).otherwise(F.col("_a") - 1))))
-    left, right = (side.select(*on, "_key", "_point") for side in (left, right))
+    right = right.withColumn("_listed", F.filter("_listed", lambda k: F.pmod(F.xxhash64(k), F.col("_a")) == F.col("_i")))
+    left, right = (side.select(*on, "_key", "_point", "_listed") for side in (left, right))
     # Both sides descend from the same table; new names keep their columns apart.
     right = right.toDF(*[f"{c}_right" for c in right.columns])
     limit = float(cutoff)
@@ -100,9 +124,10 @@ def close_pairs(
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             nothing = np.empty(0, dtype=object)
-            return pd.DataFrame({group: nothing, "a": nothing, "b": nothing, "distance": np.empty(0)})
+            no = np.empty(0, dtype=bool)
+            return pd.DataFrame({group: nothing, "a": nothing, "b": nothing, "distance": np.empty(0), "ab": no, "ba": no})
         head = left.iloc[0]
-        a, b = np.stack(left["_point"].to_numpy()), np.stack(right["_point_right"].to_numpy())
+        a, b = (np.stack(points.to_numpy()).astype(np.float64, copy=False) for points in (left["_point"], right["_point_right"]))
         # The product form is fast but rounds; it only picks candidates, with room to spare.
         squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
         slack = 1e-9 * (1.0 + (a * a).sum(axis=1).max() + (b * b).sum(axis=1).max())
@@ -117,13 +142,19 @@ def close_pairs(
         kept = exact <= limit
         out = pd.DataFrame({"a": one[kept], "b": two[kept], "distance": exact[kept]})
         out.insert(0, group, head["_group"])
-        return out
+        place = i[kept] * len(b) + j[kept]
+        row, to = listed_places(left["_key"], left["_listed"], right["_key_right"])
+        out["ab"] = ~np.isin(place, row * len(b) + to)
+        row, to = listed_places(right["_key_right"], right["_listed_right"], left["_key"])
+        out["ba"] = ~np.isin(place, to * len(b) + row)
+        return out[out["ab"] | out["ba"]]
 
     fields = [(group, nodes.schema[group]), ("a", nodes.schema[key]), ("b", nodes.schema[key])]
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in fields] + [T.StructField("distance", T.DoubleType())])
+    more = [("distance", T.DoubleType()), ("ab", T.BooleanType()), ("ba", T.BooleanType())]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in fields] + [T.StructField(n, kind) for n, kind in more])
     found = left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_right" for c in on])).applyInPandas(compare, schema)
-    both = F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target"))))
-    return found.select(group, both, "distance")
+    ways = [F.struct(F.col(x).alias("source"), F.col(y).alias("target"), F.col(x + y).alias("_new")) for x, y in ("ab", "ba")]
+    return found.select(group, F.inline(F.array(*ways)), "distance").where("_new").drop("_new")
 
 
 def proximity_edges(
@@ -140,14 +171,13 @@ def proximity_edges(
     ``listed`` holds (group, source, target); columns out: group, source, target, kind. The self-loop
     sits on the least key of the group.
     """
-    # The pairs are needed for the edges and for the groups without one, so they are written once.
-    close = written(close_pairs(nodes, cutoff, group, key, vector, **options).select(group, "source", "target"))
-    added = close.join(listed.select(group, "source", "target"), [group, "source", "target"], "left_anti")
-    edges = listed.select(group, "source", "target", F.lit("listed").alias("kind")).unionByName(
-        added.withColumn("kind", F.lit("proximity"))
-    )
-    groups = nodes.groupBy(group).agg(F.min(key).alias("source"))
-    # One row per group and task meets the groups; the edges of a group would all be read by one task.
-    lonely = groups.join(edges.select(group).distinct(), group, "left_anti")
+    listed = listed.select(group, "source", "target")
+    added = close_pairs(nodes, cutoff, group, key, vector, without=listed, **options).select(group, "source", "target")
+    edges = listed.withColumn("kind", F.lit("listed")).unionByName(added.withColumn("kind", F.lit("proximity")))
+    # A group with a listed edge has one, so close pairs are looked for once more only in the others. One row per group
+    # and task meets the groups; the edges of a group would all be read by one task.
+    bare = nodes.join(listed.select(group).distinct(), group, "left_anti")
+    near = close_pairs(bare, cutoff, group, key, vector, **options).select(group).distinct()
+    lonely = bare.groupBy(group).agg(F.min(key).alias("source")).join(near, group, "left_anti")
     loops = lonely.select(group, "source", F.col("source").alias("target"), F.lit("self").alias("kind"))
     return edges.unionByName(loops)

@@ -194,3 +194,22 @@ def test_tiles_without_a_close_pair_and_pairs_in_parts(spark, monkeypatch):
     edges = proximity_edges(nodes, nodes.limit(0).select("label", "record_id", "record_id").toDF("label", "source", "target"), 0.3)
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[label#\d+\], \[label#\d+\]\n", plan)  # groups meet the distinct groups of the edges
+
+
+@pytest.mark.parametrize("axes,tile_rows", [(0, 2000), (0, 9), (3, 4)])
+def test_listed_pairs_are_left_out_where_they_are_found(spark, axes, tile_rows):
+    rng = np.random.default_rng(6)
+    points = {i: (f"g{i % 3}", [float(np.float32(x)) for x in rng.uniform(-2, 2, size=3)]) for i in range(90)}
+    rows = [(k, g, p) for k, (g, p) in points.items()]
+    nodes = spark.createDataFrame([*rows, (900, "h", [0.0] * 3), (901, "h", [0.0] * 3), (902, "i", [9.0] * 3)], "record_id long, label string, embedding array<float>")
+    close = brute_pairs(points, 1.3)
+    listed = [(g, a, b) for g, a, b in close if g != "g2" and (a * b) % 4 == 1] + [("g0", 0, b) for b in range(90)] + [("g1", 1, 7777), ("g2", 5, 0)]
+    table = spark.createDataFrame([*listed, listed[0]], "label string, source int, target int")
+    found = close_pairs(nodes, 1.3, axes=axes, tile_rows=tile_rows, without=table).where("label <> 'h'").select("label", "source", "target")
+    left = sorted(set(close) - set(listed))
+    assert sorted(map(tuple, found.collect())) == left and 0 < len(left) < len(close)
+    edges = proximity_edges(nodes, table.distinct(), 1.3, axes=axes, tile_rows=tile_rows)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan  # no table of all pairs in between, and none is shuffled to meet the listed ones
+    kinds = {kind: sorted((r["label"], r["source"], r["target"]) for r in edges.collect() if r["kind"] == kind) for kind in ("proximity", "self")}
+    assert kinds == {"proximity": sorted([*left, ("h", 900, 901), ("h", 901, 900)]), "self": [("i", 902, 902)]}
